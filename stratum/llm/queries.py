@@ -4,19 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from . import mixing, warc
+from .common import Scratch, table
 from .jaccard_join import ngram_jaccard_components
+from .packing import pack_documents
+from .sharding import bounded_load_shards
+from .token_files import token_file_round_trip
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), cap=2048)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), n=5, threshold=80)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    index = scratch.write(warc.write_warc(table(spark, sf_dir, "pages"), scratch.path("bundles")), "index")
+    return warc.read_warc(index)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0)
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = bounded_load_shards(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op5_mixing, op6_sharding, op9_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.SQL, "op5_mixing": mixing.SQL}
