@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, warc
+from . import mixing, pii, quality, warc
 from .common import Scratch, table
 from .jaccard_join import ngram_jaccard_components
 from .packing import pack_documents
@@ -28,6 +28,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(index)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", F.col("__p_quality").alias("p_quality"), F.col("__p_toxic").alias("p_toxic"), F.col("__kept").alias("kept"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0)
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
@@ -42,8 +47,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op5_mixing, op6_sharding, op9_token_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_quality, op5_mixing, op6_sharding, op9_token_output, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
