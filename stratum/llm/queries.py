@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, pii, quality, warc
+from . import ann, cover_tree, mixing, pii, quality, warc
 from .common import Scratch, table
 from .jaccard_join import ngram_jaccard_components
 from .packing import pack_documents
@@ -43,6 +43,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_quality, op5_mixing, op6_sharding, op9_token_output, op10_personal_data)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_warc, op4_quality, op5_mixing, op6_sharding, op7_nearest_neighbours, op8_embedding_near_dedup, op9_token_output, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
