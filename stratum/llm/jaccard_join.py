@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, ship, small
+from .common import Scratch, parts, ship, small
 from .components import components
 from .text import ID_BITS, ID_MASK, MAX_DOCS, U, mix, per_text, shingle_keys, text_blocks
 
@@ -34,12 +34,17 @@ RHO, RANGE_FEW, RANGE_MANY = 1.95, 0.8, 1.6
 #: Documents from which on a shingle is common; most common shingles sent to the executors.
 COMMON, COMMON_MOST = 24, 2_000_000
 #: Keys sent on in one go; documents to a block of a cohort.
-FLUSH, BLOCK = 2_000_000, 256
+FLUSH, BLOCK = 500_000, 256
 
 
 def _domains(docs: DataFrame) -> int:
-    """Bits of the number of domain slices: a slice gathers what two input partitions hold at most."""
-    return max(3, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions()))))
+    """Bits of the number of domain slices: at least 128, and one for each input partition."""
+    return max(7, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions()))))
+
+
+def _tasks(docs: DataFrame, bits: int) -> int:
+    """Tasks that share the slices."""
+    return min(1 << bits, max(parts(docs.sparkSession), 1 << (bits - 2)))
 
 
 def _common(docs: DataFrame, text: str, n: int, bits: int) -> np.ndarray:
@@ -87,7 +92,7 @@ def _common(docs: DataFrame, text: str, n: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array((keys[first][hit].astype(np.int64) + (p << 32))), pa.array(sums[hit].astype(np.int64))], ["id", "times"])
 
     blobs = docs.select(text).mapInArrow(send, "p int, one binary, many binary, times binary")
-    found = blobs.repartition(1 << bits, "p").mapInArrow(count, "id long, times long").persist()
+    found = blobs.repartition(_tasks(docs, bits), "p").mapInArrow(count, "id long, times long").persist()
     least, left = COMMON, 0
     steps = found.groupBy(F.floor(F.log2("times") * 8).cast("int").alias("step")).agg(F.count("*").alias("c"), F.min("times").alias("least")).orderBy(F.desc("step")).collect()
     for row in steps:
@@ -245,6 +250,7 @@ def _pairs(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer, bits
         for batch in batches:
             for p, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 got.setdefault(p, []).append(tuple(blobs))
+        found = []
         for p in list(got):
             s, d, q = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*got.pop(p), strict=True), (np.uint32, np.int64, np.uint16), strict=True))
             order = np.lexsort((d, s))
@@ -253,22 +259,24 @@ def _pairs(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer, bits
             counts = np.diff(np.append(first, len(s)))
             size = np.repeat(counts, counts)
             wide = size > 2 * COMMON
-            out = []
             for step in range(1, min(int(counts.max()), 2 * COMMON)):
                 i = np.flatnonzero((s[step:] == s[:-step]) & ~wide[step:])
                 if not len(i):
                     break
                 i = i[(d[i] != d[i + step]) & (np.abs(q[i] - q[i + step]) <= reach)]
-                out.append(np.stack([d[i], d[i + step], np.zeros(len(i), np.int64)]))
+                found.append(np.stack([d[i], d[i + step], np.zeros(len(i), np.int64)]))
             lead = np.repeat(d[first], counts)[wide]
-            out.append(np.stack([lead, d[wide], np.ones(len(lead), np.int64)]))
-            pairs = np.unique(np.concatenate(out, axis=1), axis=1) if sum(x.shape[1] for x in out) else np.zeros((3, 0), np.int64)
+            found.append(np.stack([lead, d[wide], np.ones(len(lead), np.int64)]))
+            if sum(x.shape[1] for x in found) > FLUSH:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             for k in range(0, pairs.shape[1], 100_000):
                 a, b, w = pairs[:, k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w == 1)], ["a", "b", "wide"])
 
     blobs = docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(send, "p int, sig binary, doc binary, size binary")
-    return blobs.repartition(1 << bits, "p").mapInArrow(match, "a long, b long, wide boolean").distinct()
+    return blobs.repartition(_tasks(docs, bits), "p").mapInArrow(match, "a long, b long, wide boolean").distinct()
 
 
 def _sets(docs: DataFrame, id_col: str, text: str, n: int, wanted: DataFrame, rows: int) -> DataFrame:
