@@ -150,6 +150,8 @@ def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     asked = indexed.where(queries)
 
     trial = asked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATE).toArrow()
+    if not trial.num_rows:
+        return spark.createDataFrame([], schema)
     trial_ids, trial_q = trial["id"].to_numpy(), matrix(trial["v"])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
