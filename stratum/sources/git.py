@@ -118,7 +118,7 @@ def file_list(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     at = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     rows = rows.select(F.substring(at, len(root) + 1, 1 << 30).alias("path"), F.col("content"), F.col("length").alias("size_bytes"))
-    rows = rows.where(~in_ignored_dir(F.col("path")))
+    rows = rows.where(~in_ignored_dir(F.col("path")) & ~F.col("path").startswith(".git/"))
     return rows.withColumn("content_hash", content_hash(F.col("path"), F.col("content")))
 
 

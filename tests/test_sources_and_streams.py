@@ -6,6 +6,7 @@ import subprocess
 from pyspark.sql import functions as F
 
 from stratum.operators import gold
+from stratum.plans import cli
 from stratum.sources import git as git_source, text
 from stratum.streaming import streams
 
@@ -31,13 +32,22 @@ def test_repository_end_to_end(spark, tmp_path):
     commit(repo, {"src/app.py": "4", "src/utils.py": "3"}, 4)
     got = git_source.ingest(spark, "https://host/owner/repo.git", str(repo))
     assert got["repo"].first()["repo_slug"] == "owner__repo" and len(got["repo"].first()["head_commit"]) == 40
-    hashes = {r["path"]: r["content_hash"] for r in got["files"].where("not startswith(path, '.git/')").collect()}
+    hashes = {r["path"]: r["content_hash"] for r in got["files"].collect()}
     assert set(hashes) == {"README.md", "src/app.py", "src/utils.py", "logo.png"} and hashes["logo.png"] == "" and len(hashes["README.md"]) == 64
     first = got["commits"].orderBy("ord").first()
     assert first["message"] == "change 4\n\nmore" and {f["path"] for f in first["files_changed"]} == {"src/app.py", "src/utils.py"}
     spots = gold.hotspots(got["touches"]).collect()
     assert (spots[0]["path"], spots[0]["touch_count"]) == ("src/app.py", 4) and spots[0]["last_touched"].startswith("2026-01-04")
     assert [tuple(r) for r in gold.co_changes(got["touches"]).collect()] == [("src/app.py", "src/utils.py", 3)]
+    raw, out, snap = (str(tmp_path / n) for n in ("raw", "gold", "snap"))
+    assert cli.main(["ingest", "--repo", f"file://{repo}", "--repo", "file:///none", "--raw-root", raw]) == 0
+    assert cli.main(["transform", "--raw-root", raw, "--out", out]) == 0
+    assert cli.main(["load", "--gold", out, "--out", snap]) == 0 and cli.main(["load", "--gold", out, "--out", snap]) == 0
+    assert cli.main(["index", "--raw-root", raw, "--out", str(tmp_path / "v")]) == 0
+    name = next(p.name for p in (tmp_path / "snap").iterdir() if p.name != "index")
+    assert spark.read.json(f"{snap}/index").count() == 1 and spark.read.json(f"{snap}/{name}/risk_levels").count() == 5
+    assert cli.main(["snapshot", "--snapshots", snap, "--slice", "hotspots", "--repo", name]) == 0
+    assert cli.main(["ingest", "--repo", "file:///none", "--raw-root", str(tmp_path / "x")]) == 1
 
 
 def test_numstat_lines(spark):
