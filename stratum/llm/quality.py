@@ -21,7 +21,7 @@ from .common import Scratch, ship, small
 from .text import ID_BITS, ID_MASK, U, text_blocks, word_hashes, word_spans
 
 #: Labelled rows to fit on at most (those with the smallest hashes of their ids), words to a head.
-TRAIN_ROWS, HEAD_WORDS, LEAST_DOCS = 20_000, 300, 5
+TRAIN_ROWS, HEAD_WORDS, LEAST_DOCS = 10_000, 300, 5
 HEADS = ("quality", "toxic")
 DENSE = 12
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -129,7 +129,7 @@ def fit_heads(stats: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) ->
         y = labels[:, h] if n else np.zeros(0)
         known = ~np.isnan(y)
         if known.any() and len(set(y[known].tolist())) == 2:
-            weights[:, h] = _logistic(x[known], y[known], penalty)
+            weights[:, h] = _logistic(x if known.all() else x[known], y[known], penalty)
         elif h == 0:
             weights[0, h] = 3.0  # nothing to learn from: everything is good
         else:
