@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import Scratch, ship, small
 from .text import ID_BITS, ID_MASK, U, text_blocks, word_hashes, word_spans
 
-#: Labelled rows to fit on at most (those with the smallest hashes of their ids), words to a head.
-TRAIN_ROWS, HEAD_WORDS, LEAST_DOCS = 10_000, 300, 5
+#: Labelled rows to fit on at most (those with the smallest hashes of their ids), words to a head, and how often and how clearly a word must tell.
+TRAIN_ROWS, HEAD_WORDS, LEAST_DOCS, LEAST_Z = 10_000, 300, 5, 6.0
 HEADS = ("quality", "toxic")
 DENSE = 12
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -112,7 +112,7 @@ def fit_heads(stats: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) ->
             continue
         p, q = (pos + 0.5) / (a + 1), (df - pos + 0.5) / (b + 1)
         z = np.abs(np.log(p / q)) * np.sqrt(np.minimum(df, n - df + 1))
-        z[df < LEAST_DOCS] = 0
+        z[(df < LEAST_DOCS) | (z < LEAST_Z)] = 0
         best = np.argsort(-z, kind="stable")[:HEAD_WORDS]
         chosen |= set(best[z[best] > 0].tolist())
     picked = np.array(sorted(chosen), dtype=np.int64)
