@@ -224,3 +224,13 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, id_col: str = "vec_i
     out = everyone.join(linked, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+
+
+#: The same in SQL, over ``embeddings``, for a cosine of 0.95.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id, vec_id AS seen FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT vec_id, MIN(seen) AS component_id FROM r GROUP BY 1)
+SELECT v.vec_id, (SELECT COUNT(*) FROM l WHERE l.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c USING (vec_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, cover_tree, mixing, pii, quality, warc
+from . import ann, cover_tree, jaccard_join, mixing, pii, quality, warc
 from .common import Scratch, table
 from .jaccard_join import ngram_jaccard_components
 from .packing import pack_documents
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op5_mixing": mixing.SQL}
+    return {"op2_ngram_jaccard_join": jaccard_join.SQL, "op3_warc": warc.SQL, "op5_mixing": mixing.SQL, "op8_embedding_near_dedup": cover_tree.SQL}
