@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratum.functions import paths
-from stratum.operators import chunking, corpus, gold, imports, metrics, serving, sync, vectors
+from stratum.operators import chunking, corpus, gold, imports, metrics, serving, sync, tasks, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -610,6 +610,25 @@ def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.select(F.col("budget").alias("o_orderpriority"), F.col("depth").alias("o_custkey"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS answer, 'Multiple Choice question: ' || p_name || chr(10) || '- ' || p_brand || '=A' || chr(10) || '- ' || p_type || '=B' || chr(10) || chr(10) || 'Respond only with the letter of the correct answer.' AS prompt FROM part")
+def choice_conversations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.array("p_brand", "p_type").alias("choices"), (F.col("p_size") % 2).alias("answer"))
+    rows = tasks.choice_conversations(rows, "p_name", "choices", "answer")
+    return rows.select("p_partkey", F.col("messages")[1]["content"].alias("answer"), F.col("messages")[0]["content"].alias("prompt"))
+
+
+@query("""WITH m AS (SELECT conv_id, COUNT(*) AS n, SUM(length(text)) AS total, MAX(length(text)) AS longest, bool_or(role NOT IN ('user', 'assistant')) AS odd, bool_or(length(text) = 0) AS empty FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN n > 4 THEN 'too many messages' WHEN empty THEN 'empty message' WHEN longest > 1000 THEN 'message too long' WHEN total > 2000 THEN 'conversation too long' WHEN odd THEN 'unknown role' WHEN conv_id % 10 = 0 THEN 'temperature out of range' END AS error FROM m""")
+def request_bounds(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.conversations(table(spark, d, "conversations")).withColumns({"temperature": F.when(F.col("conv_id") % 10 == 0, 3.0).otherwise(1.0), "top_k": F.lit(50), "max_tokens": F.lit(256)})
+    return tasks.request_errors(rows, 4, 1000, 2000).select("conv_id", "error")
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM k WHERE r <= 10 AND trim(text) <> '' GROUP BY 1""")
+def agent_prompt(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.agent_prompt(table(spark, d, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
