@@ -32,5 +32,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds:
         rows, nodes = e.agg(F.count("*"), F.countDistinct("u")).first()
         if rows == nodes and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break  # every node has one parent, and no parent has a parent
+    else:
+        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
