@@ -17,7 +17,7 @@ from .vectors import common_width, matrix, usable
 #: Rows the tree is fitted on at most, children of a node, rows a leaf is meant for, leaves at most.
 FIT_ROWS, BRANCH, LEAF_ROWS, LEAVES_MOST = 20_000, 8, 200, 4_096
 #: Queries that recall is calibrated on, recall aimed at, rows of a leaf searched together.
-CALIBRATE, RECALL, BLOCK = 64, 0.97, 4_096
+CALIBRATE, RECALL, BLOCK = 128, 0.95, 8_192
 
 
 @dataclass
@@ -114,6 +114,20 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
+def _blocks(sizes: dict[int, int], leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each leaf: leaves that follow one another share a block up to ``BLOCK`` rows."""
+    first, many, block, used = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), 0, 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if used and used + n > BLOCK:
+            block, used = block + 1, 0
+        first[leaf], many[leaf] = block, max(1, -(-n // BLOCK))
+        used += n
+        if n > BLOCK:
+            block, used = block + int(many[leaf]), 0
+    return first, many
+
+
 def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found of each query row, its own excluded.
 
@@ -165,42 +179,59 @@ def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     truth = indexed.mapInArrow(brute, "q int, id long, leaf int, score double").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "leaf").toPandas()
-    visits = len(sizes)
+    visits = tree.value.leaves
     if len(truth):
         place = [{leaf: r for r, leaf in enumerate(tree.value.best_bins(q, tree.value.leaves))} for q in trial_q]
         at = np.sort([place[q][leaf] for q, leaf in zip(truth["q"], truth["leaf"], strict=True)])
         visits = int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
 
-    blocks = {leaf: -(-n // BLOCK) for leaf, n in sizes.items()}
+    first, many = _blocks(sizes, tree.value.leaves)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = matrix(b.column(1)) if b.num_rows else np.zeros((0, 1))
-            out = [(i, leaf, block) for i in range(b.num_rows) for leaf in tree.value.best_bins(q[i], visits) for block in range(blocks.get(leaf, 0))]
-            take = pa.array([x[0] for x in out], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["id", "v", "leaf", "block"])
+            leaf = b.column(2).to_numpy()
+            part = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many[leaf]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((first[leaf] + part).astype(np.int32))], ["id", "v", "leaf", "block"])
 
-    probes = asked.repartition(parts(spark)).mapInArrow(probe, "id long, v array<double>, leaf int, block int")
-    number = F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))
-    dealt = indexed.withColumn("block", F.expr("pmod(xxhash64(id), 1)").cast("int") if max(blocks.values()) == 1 else F.pmod(F.xxhash64("id"), F.element_at(number, F.col("leaf")).cast("long")).cast("int"))
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, rows_, blocks, listed = matrix(b.column(1)) if b.num_rows else (), [], [], []
+            for i in range(b.num_rows):
+                own: dict[int, list[int]] = {}
+                for leaf in tree.value.best_bins(q[i], visits):
+                    for block in range(int(first[leaf]), int(first[leaf] + many[leaf])):
+                        own.setdefault(block, []).append(leaf)
+                rows_ += [i] * len(own)
+                blocks += own.keys()
+                listed += own.values()
+            take = pa.array(rows_, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(blocks, pa.int32()), pa.array(listed, pa.list_(pa.int32()))], ["id", "v", "block", "leaves"])
+
+    probes = asked.repartition(parts(spark)).mapInArrow(probe, "id long, v array<double>, block int, leaves array<int>")
+    dealt = indexed.mapInArrow(deal, "id long, v array<double>, leaf int, block int")
 
     def block_search(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return none
-        ids, x = left["id"].to_numpy(), matrix(left["v"])
-        own, q = right["id"].to_numpy(), matrix(right["v"])
+        ids, x, leaf = left["id"].to_numpy(), matrix(left["v"]), left["leaf"].to_numpy()
+        own, q, wanted = right["id"].to_numpy(), matrix(right["v"]), right["leaves"].to_pylist()
+        low, place = int(leaf.min()), leaf - int(leaf.min())
         out = []
         for a in range(0, len(own), 256):
-            scores = x @ q[a : a + 256].T
-            for j in range(scores.shape[1]):
-                s = np.where(ids == own[a + j], -np.inf, scores[:, j])
-                best = _best(ids, s, k)
-                best = best[ids[best] != own[a + j]]
-                out.append((np.full(len(best), own[a + j]), ids[best], s[best]))
+            scores = q[a : a + 256] @ x.T
+            asked_ = np.zeros((len(scores), int(place.max()) + 1), dtype=bool)
+            for j, leaves in enumerate(wanted[a : a + 256]):
+                asked_[j, [n - low for n in leaves if 0 <= n - low < asked_.shape[1]]] = True
+            scores[~asked_[:, place]] = -np.inf
+            for j in range(len(scores)):
+                scores[j, ids == own[a + j]] = -np.inf
+                best = _best(ids, scores[j], k)
+                best = best[scores[j, best] > -np.inf]
+                out.append((np.full(len(best), own[a + j]), ids[best], scores[j, best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
-    found = dealt.groupBy("leaf", "block").cogroup(probes.groupBy("leaf", "block")).applyInArrow(block_search, "query_id long, vec_id long, score double")
+    found = dealt.groupBy("block").cogroup(probes.groupBy("block")).applyInArrow(block_search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
