@@ -22,9 +22,9 @@ from .components import components
 from .vectors import common_width, matrix, usable
 
 #: Rows the upper levels are built on, cells at most, rows that a cell is meant for.
-SAMPLE, CELLS_MOST, CELL_ROWS = 5_000, 512, 4_096
-#: Members of a block, visitors of a block, rows a lowest node holds.
-BLOCK, GUESTS, LEAF = 2_048, 50_000, 48
+SAMPLE, CELLS_MOST, CELL_ROWS = 5_000, 512, 8_192
+#: Members of a block, visitors of a block, rows a lowest node holds, rows to a side of one matrix product.
+BLOCK, GUESTS, LEAF, SIDE = 8_192, 50_000, 48, 2_048
 _EPS = 1e-7
 
 
@@ -97,11 +97,12 @@ def dual_traversal(a: np.ndarray, b: np.ndarray, cosine: float) -> Iterator[tupl
         if d + p.radius + q.radius < reach - _EPS:
             yield p.rows, q.rows, None
         elif not p.children and not q.children:
-            for k in range(0, len(q.rows), BLOCK):
-                some = q.rows[k : k + BLOCK]
-                hits = a[p.rows] @ b[some].T >= cosine
-                if hits.any():
-                    yield p.rows, some, hits
+            for i in range(0, len(p.rows), SIDE):
+                for j in range(0, len(q.rows), SIDE):
+                    left, right = p.rows[i : i + SIDE], q.rows[j : j + SIDE]
+                    hits = a[left] @ b[right].T >= cosine
+                    if hits.any():
+                        yield left, right, hits
         elif p.children and (p.radius >= q.radius or not q.children):
             stack += [(c, q) for c in p.children]
         else:
