@@ -205,7 +205,7 @@ def report_value(lines: DataFrame, key: str) -> DataFrame:
 
 def sweep_grid(budgets: DataFrame, depths: DataFrame, done: DataFrame) -> DataFrame:
     """Budgets and depths, two short lists, without the runs that are there already."""
-    return budgets.crossJoin(F.broadcast(depths)).join(done, ["budget", "depth"], "left_anti")
+    return budgets.crossJoin(depths).join(done, ["budget", "depth"], "left_anti")
 
 
 def best_tag(rows: DataFrame, tag: str = "tag", step: str = "step") -> DataFrame:
