@@ -21,7 +21,7 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 #: Pieces and words kept by a worker between blocks.
 KEEP_PIECES, KEEP_WORDS = 500_000, 150_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _loaded: dict[str, Encoder] = {}
