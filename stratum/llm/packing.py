@@ -117,7 +117,7 @@ def _placed(rows: dict[str, list], cap: int, base: int) -> pa.RecordBatch:
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = 2048, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document goes.
 
-    Ids are those of byte-level BPE without special tokens, then ``end_id``.  A document of more
+    Ids are those of byte-level BPE with none added (one that the text spells is kept), then ``end_id``.  A document of more
     than ``cap`` ids is cut into pieces of ``cap``, the first one shorter; no other is cut.
 
     Pieces are packed in groups of at most ``GROUP`` within the tasks that encode them, without a

@@ -3,7 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenisation always cuts: before white space that
 follows a visible character, and after a single line break.  Each distinct piece of a block is
 then encoded once, by the model of the ``tokenizers`` library, and remembered while it is
-frequent; the ids are the same as those of the whole text.
+frequent; the ids are the same as those of the whole text.  The tokenizer file's added tokens
+(``<|endoftext|>``) are cut out of a text first, as the tokenizer does, and stand for their own ids.
 """
 
 from __future__ import annotations
@@ -36,15 +37,22 @@ def default_vocabulary() -> str:
 class Encoder:
     def __init__(self, path: str) -> None:
         import json
+        import re
 
         import regex
         from tokenizers import models
 
-        model = json.load(open(path, encoding="utf-8"))["model"]  # noqa: SIM115
+        file = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
+        model, added = file["model"], file.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that look at what stands around them are not supported")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.model = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
-        self.code = "H" if len(model["vocab"]) <= 1 << 16 else "I"
-        self.dtype = np.uint16 if len(model["vocab"]) <= 1 << 16 else np.uint32
+        narrow = max([*model["vocab"].values(), *(t["id"] for t in added)], default=0) < 1 << 16
+        self.code, self.dtype = ("H", np.uint16) if narrow else ("I", np.uint32)
+        self.added = {t["content"].encode(): array(self.code, [t["id"]]).tobytes() for t in added}
+        # the longest first: where several begin at one place, the tokenizer takes the longest
+        self.find_added = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         # Fixed value: the pre-tokenisation pattern of this vocabulary.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.pieces: dict[bytes, bytes] = {}
@@ -60,7 +68,19 @@ class Encoder:
             ids = self.known[word] = array(self.code, [t.id for t in self.model.tokenize(plain)]).tobytes()
         return ids
 
+    def _added_spans(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the added tokens in a block's texts."""
+        data = buf.tobytes()
+        spans: list[tuple[int, int]] = []
+        if any(t in data for t in self.added):
+            for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                spans += [m.span() for m in self.find_added.finditer(data, i, j)]
+        both = np.array(spans, dtype=np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
     def _encode(self, piece: bytes) -> bytes:
+        if piece in self.added:
+            return self.added[piece]
         text = piece.decode()
         if text[1:].isalpha() and text[0] == " ":
             return self._word(text)
@@ -83,8 +103,12 @@ class Encoder:
         cut = np.zeros(n, dtype=bool)
         cut[1:] = space[1:] & visible[:-1]
         cut[2:] |= starts[2:] & (buf[1:-1] == 10) & visible[:-2]
-        edges = offs[:-1][offs[:-1] < n]
-        # cuts that look across the start of a text aren't sure
+        begins, finish = self._added_spans(buf, offs)
+        for i, j in zip(begins.tolist(), finish.tolist(), strict=True):
+            cut[i:j] = False
+        edges = np.concatenate((offs[:-1], begins, finish))
+        edges = edges[edges < n]
+        # cuts that look across the start of a text, or the edge of an added token, aren't sure
         for k in (0, 1):
             near = edges[edges + k < n] + k
             cut[near] = False
