@@ -12,7 +12,10 @@ thousands share.  They are counted over all documents and left out of the signat
 loses nothing: leaving the same shingles out of both sets can only shrink the difference.  A
 document with ``k`` ranges or fewer left is *plain*: pairs of two plain documents are found by
 signatures over their whole sets instead, gathered to cohorts, and each cohort is compared
-exactly in blocks.  Every reported link is checked on the exact shingle sets.
+exactly in blocks.  Where a whole set fills ``k`` ranges or fewer too, the same range need not
+exist: such a set is also signed by its first shingles in the order of the domain, as many as
+it may lack plus one, of which two sets that reach the threshold share one.  Every reported
+link is checked on the exact shingle sets.
 """
 
 from __future__ import annotations
@@ -110,7 +113,7 @@ class Signer:
     """Signatures of the texts of a block."""
 
     def __init__(self, common: np.ndarray, bits: int, threshold: int) -> None:
-        self.common, self.shift, self.g = common, U(ID_BITS - bits - 32), threshold / 100
+        self.common, self.shift, self.g, self.threshold = common, U(ID_BITS - bits - 32), threshold / 100, threshold
         self.bloom: np.ndarray | None = None
 
     def is_common(self, ids: np.ndarray) -> np.ndarray:
@@ -127,8 +130,11 @@ class Signer:
         out[maybe] = self.common[at] == short[maybe]
         return out
 
-    def sign(self, keys: np.ndarray, sizes: np.ndarray, per: float, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(signatures, their texts, texts with too few ranges), from sorted keys; sizes of the whole sets."""
+    def sign(self, keys: np.ndarray, sizes: np.ndarray, per: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signatures, their texts, texts with too few ranges), from sorted keys; sizes of the whole sets.
+
+        ``whole``: the keys are whole sets; those with too few ranges are signed by single shingles too.
+        """
         band = np.floor(np.log(np.maximum(sizes, 1)) / math.log(RHO) + 1e-9).astype(np.int64)
         docs, ids = (keys >> U(ID_BITS)).astype(np.int64), keys & ID_MASK
         all_sigs, all_docs, few = [], [], np.zeros(len(sizes), dtype=bool)
@@ -150,13 +156,21 @@ class Signer:
                 first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (j[1:] != j[:-1]))))
                 content = np.add.reduceat(mix(x), first)
                 d, j = d[first], j[first]
-                sig = mix(content ^ mix(((band[d] + step).astype(U) << U(34)) | j | U(tag << 60)))
+                sig = mix(content ^ mix(((band[d] + step).astype(U) << U(34)) | j | U(int(whole) << 60)))
                 ranges = np.bincount(d, minlength=len(sizes))
                 place = np.arange(len(d)) - (np.cumsum(ranges) - ranges)[d]
                 kept = place <= k[d]
                 all_sigs.append(sig[kept])
                 all_docs.append(d[kept])
-            few |= use & (ranges <= k)
+            short = use & (ranges <= k)
+            few |= short
+            if whole and short[docs].any():
+                lack = sizes - -(-self.threshold * sizes // 100)
+                place = np.arange(len(docs)) - np.searchsorted(docs, np.arange(len(sizes)))[docs]
+                kept = short[docs] & (place <= lack[docs])
+                d = docs[kept]
+                all_sigs.append(mix(mix(ids[kept]) ^ mix(((band[d] + step).astype(U) << U(34)) | U(2 << 60))))
+                all_docs.append(d)
         if not all_sigs:
             return np.zeros(0, U), np.zeros(0, np.int64), few
         return np.concatenate(all_sigs), np.concatenate(all_docs), few
@@ -189,12 +203,12 @@ def _features(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer) -
                 sizes = per_text(keys, texts)
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 x = keys & ID_MASK
-                _, _, few = signer.sign(keys[~signer.is_common(x)], sizes, RANGE_FEW, 0)
+                _, _, few = signer.sign(keys[~signer.is_common(x)], sizes, RANGE_FEW, False)
                 plain = np.flatnonzero(few & (sizes > 0))
                 sigs: list[np.ndarray | None] = [None] * texts
                 prints: list[bytes | None] = [None] * texts
                 if len(plain):
-                    s, d, _ = signer.sign(keys[few[(keys >> U(ID_BITS)).astype(np.int64)]], sizes, RANGE_MANY, 1)
+                    s, d, _ = signer.sign(keys[few[(keys >> U(ID_BITS)).astype(np.int64)]], sizes, RANGE_MANY, True)
                     order = np.argsort(d, kind="stable")
                     cut = np.searchsorted(d[order], np.arange(texts + 1))
                     for i in plain:
@@ -235,7 +249,7 @@ def _pairs(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer, bits
             for at, buf, offs in text_blocks(batch.column(1)):
                 keys = shingle_keys(buf, offs, n)
                 sizes = per_text(keys, len(offs) - 1)
-                s, d, _ = signer.sign(keys[~signer.is_common(keys & ID_MASK)], sizes, RANGE_FEW, 0)
+                s, d, _ = signer.sign(keys[~signer.is_common(keys & ID_MASK)], sizes, RANGE_FEW, False)
                 ok = valid[at + d]
                 s, d = s[ok], d[ok]
                 if len(s):
