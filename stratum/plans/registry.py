@@ -71,7 +71,7 @@ def hotspots_topn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TOUCHES}, {PAIRS} SELECT * FROM p")
 def co_change_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return gold.co_changes(touches(spark, d), min_support=2, most=8)
+    return gold.co_changes(touches(spark, d), min_support=2)
 
 
 @query(f"WITH {TOUCHES}, {PAIRS}, {DEGREE} SELECT * FROM g")
@@ -95,7 +95,7 @@ def authorship_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TOUCHES}, {SPOTS}, {PAIRS}, {DEGREE}, {AUTHORS}, {RISK} SELECT * FROM risk")
 def risk_levels(spark: SparkSession, d: str) -> DataFrame:
     rows = touches(spark, d)
-    return gold.risk_levels(gold.hotspots(rows, 200), gold.co_changes(rows, 2, 8), gold.authorship(rows))
+    return gold.risk_levels(gold.hotspots(rows, 200), gold.co_changes(rows, 2), gold.authorship(rows))
 
 
 @query(f"""WITH {TOUCHES}, {SPOTS}, {PAIRS}, {DEGREE}, {AUTHORS}, {RISK}, x AS (SELECT h.*, COALESCE(risk_level, 'low') AS risk_level FROM h LEFT JOIN (SELECT path, risk_level FROM risk) USING (path))
