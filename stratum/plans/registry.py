@@ -204,8 +204,7 @@ def file_hash_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {DOC_NAMES} SELECT doc_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN lower(path) LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.yml' THEN 'yaml' WHEN path LIKE '%.json' THEN 'json' END AS language FROM names WHERE doc_id % 9 <> 0 AND doc_id % 9 <> 2""")
 def file_language(spark: SparkSession, d: str) -> DataFrame:
-    rows = doc_names(spark, d).where(~F.pmod("doc_id", F.lit(9)).isin(0, 2))
-    return rows.select("doc_id", paths.language(F.col("path"), F.col("text")).alias("language"))
+    return doc_names(spark, d).select("doc_id", paths.language(F.col("path"), F.col("text")).alias("language"))
 
 
 @query("""WITH e AS (SELECT page_id AS page, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) SELECT page, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS href FROM e""")

@@ -32,3 +32,8 @@ def test_degrees_and_risk_count_these_pairs(spark, pairs):
     assert {r["path"]: r["co_change_degree"] for r in registry.coupling_degree(spark, DATA).collect()} == degrees
     rows = registry.risk_levels(spark, DATA).collect()
     assert rows and all(r["co_change_degree"] == degrees[r["path"]] for r in rows)
+
+
+def test_every_document_has_a_language_row(spark):
+    ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect())
+    assert sorted(r["doc_id"] for r in registry.file_language(spark, DATA).select("doc_id").collect()) == ids
