@@ -605,7 +605,7 @@ def first_row_per_group(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderpriority, o_custkey FROM (SELECT DISTINCT o_orderpriority FROM orders) p, (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey < 20) c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderpriority = p.o_orderpriority AND o.o_custkey = c.o_custkey)")
 def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("budget"), F.col("o_custkey").alias("depth")).distinct()
-    grid = metrics.sweep_grid(rows.select("budget").distinct(), rows.where("depth < 20").select("depth").distinct(), rows)
+    grid = metrics.sweep_grid(rows.select("budget").distinct(), rows.select("depth").distinct(), rows)
     return grid.select(F.col("budget").alias("o_orderpriority"), F.col("depth").alias("o_custkey"))
 
 

@@ -37,3 +37,9 @@ def test_degrees_and_risk_count_these_pairs(spark, pairs):
 def test_every_document_has_a_language_row(spark):
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect())
     assert sorted(r["doc_id"] for r in registry.file_language(spark, DATA).select("doc_id").collect()) == ids
+
+
+def test_the_grid_covers_all_customers(spark):
+    runs = {tuple(r) for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderpriority", "o_custkey").collect()}
+    want = sorted((p, c) for p in {p for p, _ in runs} for c in {c for _, c in runs} if (p, c) not in runs)
+    assert sorted(tuple(r) for r in registry.sweep_grid(spark, DATA).collect()) == want
