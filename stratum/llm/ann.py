@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Scratch, parts, ship
-from .vectors import common_width, matrix, usable
+from .vectors import by_width, matrix, usable, widths
 
 #: Rows the tree is fitted on at most, children of a node, rows a leaf is meant for, leaves at most.
 FIT_ROWS, BRANCH, LEAF_ROWS, LEAVES_MOST = 20_000, 8, 200, 4_096
-#: Queries that recall is calibrated on, recall aimed at, rows of a leaf searched together.
-CALIBRATE, RECALL, BLOCK = 128, 0.95, 8_192
+#: Queries that recall is calibrated on, recall aimed at, rows searched together at most and, where there are more tasks than that asks for, at least.
+CALIBRATE, RECALL, BLOCK, BLOCK_LEAST = 128, 0.95, 8_192, 256
 
 
 @dataclass
@@ -47,15 +47,16 @@ class Tree:
             stack += [(first + k, rows[near == k]) for k in range(n) if (near == k).any()]
         return out
 
-    def best_bins(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves by a queue of nodes with the largest product with their centres."""
+    def best_bins(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, or more until they hold ``least`` rows, by a queue of nodes with the largest product with their centres."""
         dots = self.centers @ q
-        queue, out = [(-dots[0], 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(-dots[0], 0)], [], 0
+        while queue and (len(out) < most or held < least):
             _, node = heapq.heappop(queue)
             first, n = self.children[node]
             if not n:
                 out.append(self.leaf[node])
+                held += 0 if sizes is None else int(sizes[self.leaf[node]])
             for k in range(first, first + n):
                 heapq.heappush(queue, (-dots[k], k))
         return out
@@ -114,16 +115,15 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def _blocks(sizes: dict[int, int], leaves: int) -> tuple[np.ndarray, np.ndarray]:
-    """First block and number of blocks of each leaf: leaves that follow one another share a block up to ``BLOCK`` rows."""
-    first, many, block, used = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), 0, 0
-    for leaf in range(leaves):
-        n = sizes.get(leaf, 0)
-        if used and used + n > BLOCK:
+def _blocks(sizes: np.ndarray, alone: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each leaf: leaves that follow one another share a block up to ``most`` rows, those from ``alone`` on share none."""
+    first, many, block, used = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if used and (used + n > most or leaf >= alone):
             block, used = block + 1, 0
-        first[leaf], many[leaf] = block, max(1, -(-n // BLOCK))
+        first[leaf], many[leaf] = block, max(1, -(-n // most))
         used += n
-        if n > BLOCK:
+        if n > most:
             block, used = block + int(many[leaf]), 0
     return first, many
 
@@ -134,58 +134,65 @@ def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     ``queries``: a condition on column ``id``.  The tree is fitted on at most ``FIT_ROWS`` rows (those
     with the smallest hashes of their ids), but every row is indexed.  How many leaves a query
     visits is widened until the true neighbours of ``CALIBRATE`` queries, found by comparing them
-    with all rows, are in the visited leaves with the aimed-at recall.  Leaves are searched in
-    blocks of rows, so a leaf of any size is spread; scores are inner products in float64.
-
-    Rows with null ids or unusable vectors, or of another width than most, take no part; rows
-    that share an id are separate candidates, except that none with the query's id is returned.
-    An empty table gives an empty result.
+    with all rows, are in the visited leaves with the aimed-at recall, and for each query until
+    its leaves hold more than ``k`` rows.  Leaves are searched in blocks of rows, at least two for
+    each task of a shuffle where there are rows enough, so a leaf of any size is spread; scores
+    are inner products in float64.
+
+    Rows with null ids or unusable vectors take no part.  A vector's candidates are those of its
+    own width; widths other than the most frequent are a leaf each, compared whole.  Rows that
+    share an id are separate candidates, except that none with the query's id is returned.  Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = table.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ann")
     rows = usable(table, id_col, vector_col)
-    width = common_width(rows)
-    rows = rows.where(F.size("v") == width)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample.num_rows:
+    schema, known = "query_id long, rank int, vec_id long, score double", widths(rows, "v")
+    if not known:
         return spark.createDataFrame([], schema)
-    total = rows.count()
-    tree = spark.sparkContext.broadcast(fit_tree(matrix(sample["v"]), int(min(LEAVES_MOST, max(1, total // LEAF_ROWS)))))
+    width, total = known[0][0], sum(n for _, n in known)
+    sample = rows.where(F.size("v") == width).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
+    tree = fit_tree(matrix(sample["v"]), int(min(LEAVES_MOST, max(1, known[0][1] // LEAF_ROWS))))
+    other = {w: tree.leaves + i for i, (w, _) in enumerate(known[1:])}
+    shared = spark.sparkContext.broadcast((tree, other))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, other = shared.value
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.value.assign(matrix(b.column(1))).astype(np.int32))], ["id", "v", "leaf"])
+            for at, x in by_width(b.column(1)):
+                leaf = np.full(len(at), other[x.shape[1]]) if x.shape[1] in other else tree.assign(x)
+                rows_ = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*rows_.columns, pa.array(leaf.astype(np.int32))], ["id", "v", "leaf"])
 
     indexed = scratch.write(rows.mapInArrow(index, "id long, v array<double>, leaf int"), "index")
-    sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # LEAVES_MOST numbers at most
+    sizes = np.zeros(tree.leaves + len(other), np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # LEAVES_MOST numbers and one for each width at most
+        sizes[r["leaf"]] = r["count"]
     asked = indexed.where(queries)
 
-    trial = asked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATE).toArrow()
-    if not trial.num_rows:
-        return spark.createDataFrame([], schema)
+    trial = asked.where(F.size("v") == width).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATE).toArrow()
     trial_ids, trial_q = trial["id"].to_numpy(), matrix(trial["v"])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x, leaf = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
-            if not len(ids):
+            if not b.num_rows:
                 continue
+            ids, x, leaf = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
             scores = x @ trial_q.T
             got = [(j, ids[i], leaf[i], scores[i, j]) for j in range(len(trial_ids)) for i in _best(ids, np.where(ids == trial_ids[j], -np.inf, scores[:, j]), k) if ids[i] != trial_ids[j]]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(got, columns=["q", "id", "leaf", "score"]).astype({"q": "int32", "id": "int64", "leaf": "int32", "score": "float64"}), preserve_index=False)
 
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    truth = indexed.mapInArrow(brute, "q int, id long, leaf int, score double").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "leaf").toPandas()
-    visits = tree.value.leaves
-    if len(truth):
-        place = [{leaf: r for r, leaf in enumerate(tree.value.best_bins(q, tree.value.leaves))} for q in trial_q]
-        at = np.sort([place[q][leaf] for q, leaf in zip(truth["q"], truth["leaf"], strict=True)])
-        visits = int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
+    visits = tree.leaves
+    if trial.num_rows:
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        truth = indexed.where(F.size("v") == width).mapInArrow(brute, "q int, id long, leaf int, score double").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "leaf").toPandas()
+        if len(truth):
+            place = [{leaf: r for r, leaf in enumerate(tree.best_bins(q, tree.leaves))} for q in trial_q]
+            at = np.sort([place[q][leaf] for q, leaf in zip(truth["q"], truth["leaf"], strict=True)])
+            visits = int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
 
-    first, many = _blocks(sizes, tree.value.leaves)
+    first, many = _blocks(sizes, tree.leaves, min(BLOCK, max(BLOCK_LEAST, -(-total // (2 * parts(spark))))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,18 +201,20 @@ def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((first[leaf] + part).astype(np.int32))], ["id", "v", "leaf", "block"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, other = shared.value
         for b in batches:
-            q, rows_, blocks, listed = matrix(b.column(1)) if b.num_rows else (), [], [], []
-            for i in range(b.num_rows):
-                own: dict[int, list[int]] = {}
-                for leaf in tree.value.best_bins(q[i], visits):
-                    for block in range(int(first[leaf]), int(first[leaf] + many[leaf])):
-                        own.setdefault(block, []).append(leaf)
-                rows_ += [i] * len(own)
-                blocks += own.keys()
-                listed += own.values()
-            take = pa.array(rows_, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(blocks, pa.int32()), pa.array(listed, pa.list_(pa.int32()))], ["id", "v", "block", "leaves"])
+            for at, q in by_width(b.column(1)):
+                rows_, blocks, listed = [], [], []
+                for i, place in enumerate(at.tolist()):
+                    own: dict[int, list[int]] = {}
+                    for leaf in [other[q.shape[1]]] if q.shape[1] in other else tree.best_bins(q[i], visits, sizes, k + 1):
+                        for block in range(int(first[leaf]), int(first[leaf] + many[leaf])):
+                            own.setdefault(block, []).append(leaf)
+                    rows_ += [place] * len(own)
+                    blocks += own.keys()
+                    listed += own.values()
+                take = pa.array(rows_, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(blocks, pa.int32()), pa.array(listed, pa.list_(pa.int32()))], ["id", "v", "block", "leaves"])
 
     probes = asked.repartition(parts(spark)).mapInArrow(probe, "id long, v array<double>, block int, leaves array<int>")
     dealt = indexed.mapInArrow(deal, "id long, v array<double>, leaf int, block int")

@@ -1,17 +1,22 @@
 """Near-duplicate vectors by cover trees traversed in pairs.
 
-Vectors are scaled to length 1, so cosine and distance decide alike.  The upper levels of a
-cover tree, nested with halving radii, are built on a bounded sample; the nodes of the lowest of
-them make cells with exact covering radii.  A vector visits every cell that its distance and
-the cell's radius can't rule out, and in a cell two cover trees, of its members and of its
-visitors, are traversed together: node pairs too far apart are pruned, node pairs entirely
-within reach are taken whole, and only the rest is compared vector by vector.
+Vectors are scaled to length 1, so cosine and distance decide alike.  A cover tree has nested
+levels whose radii halve: a level keeps the centres of the one above, any two centres of a level
+lie farther apart than its radius, and every row lies within the radius of a centre.  Each centre
+knows its exact covering radius, the distance of the farthest row below it.
+
+The upper levels, fitted on a bounded sample, cut the rows into cells, and cells into blocks.  Two
+blocks meet only in the rows that the covering radius of the other's cell can't rule out; there the
+trees of both sides are traversed together, level by level: a pair of nodes farther apart than both
+covering radii and the reach is dropped, a pair entirely within reach is taken whole, and only what
+is left at the lowest level is compared row by row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, ship
 from .components import components
-from .vectors import common_width, matrix, usable
+from .vectors import by_width, matrix, usable, widths
 
-#: Rows the upper levels are built on, cells at most, rows that a cell is meant for.
-SAMPLE, CELLS_MOST, CELL_ROWS = 5_000, 512, 8_192
-#: Members of a block, visitors of a block, rows a lowest node holds, rows to a side of one matrix product.
-BLOCK, GUESTS, LEAF, SIDE = 8_192, 50_000, 48, 2_048
+#: Rows the upper levels are fitted on, cells at most, rows that a cell is meant for and a block holds.
+SAMPLE, CELLS_MOST, BLOCK = 20_000, 4_096, 8_192
+#: Rows to a side of one matrix product; the radius of the lowest level.
+SIDE, LOWEST = 1_024, 2.0**-6
 _EPS = 1e-7
 
 
@@ -33,196 +38,305 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def upper_levels(x: np.ndarray, most: int) -> np.ndarray:
-    """Centres of the finest level, of radii 2, 1, 1/2 and so on, that has ``most`` nodes or fewer.
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` to all of ``b``, of length 1 all."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
+
+
+@dataclass
+class Tree:
+    """Levels from the root down: rows that are centres, their covering radii and where their children start.
 
-    Levels are nested: a level keeps the centres of the one above and adds each row that none of
-    its centres covers yet.
+    Centres and rows are in the order of the tree, so the children of a centre follow one another,
+    and so do the rows below it (``starts``, one level deeper than the last).
     """
-    centers, radius = [0], 2.0
-    near = np.sqrt(np.maximum(0, ((x - x[0]) ** 2).sum(1)))
-    while radius > 0.1:
-        radius /= 2
-        level, d = list(centers), near.copy()
-        for i in range(len(x)):
-            if d[i] > radius:
-                level.append(i)
-                if len(level) > most:
-                    return x[centers]
-                d = np.minimum(d, np.sqrt(np.maximum(0, ((x - x[i]) ** 2).sum(1))))
-        if len(level) == len(x):
-            return x[centers] if len(centers) > 1 else x[level]
-        centers, near = level, d
-    return x[centers]
-
-
-class Node:
-    __slots__ = ("center", "children", "radius", "rows")
-
-    def __init__(self, center: np.ndarray, radius: float, rows: np.ndarray, children: list[Node]) -> None:
-        self.center, self.radius, self.rows, self.children = center, radius, rows, children
-
-
-def build(x: np.ndarray, rows: np.ndarray | None = None) -> Node:
-    """A cover tree of rows of ``x``; each level covers with half the radius of the one above."""
-    rows = np.arange(len(x)) if rows is None else rows
-    center = x[rows[0]]
-    d = np.sqrt(np.maximum(0, ((x[rows] - center) ** 2).sum(1)))
-    radius = float(d.max())
-    if len(rows) <= LEAF or radius < 1e-6:
-        return Node(center, radius, rows, [])
-    children, rest, dist = [], rows, d
-    while len(rest):
-        near = dist <= radius / 2
-        children.append(rest[near])
-        rest = rest[~near]
-        if len(rest):
-            dist = np.sqrt(np.maximum(0, ((x[rest] - x[rest[0]]) ** 2).sum(1)))
-        if len(children) == 8 and 4 * len(rest) > 3 * len(rows):
-            return Node(center, radius, rows, [])  # halving the radius separates nearly all: no tree here
-    if len(children) == 1 or max(map(len, children)) == len(rows):
-        return Node(center, radius, rows, [])
-    return Node(center, radius, rows, [build(x, c) if len(c) < len(rows) else Node(x[c[0]], radius, c, []) for c in children])
-
-
-def dual_traversal(a: np.ndarray, b: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(rows of a, rows of b, hits): hits is a matrix, or None where all pairs are within reach."""
-    reach = math.sqrt(2 - 2 * cosine)
-    stack = [(build(a), build(b))]
-    while stack:
-        p, q = stack.pop()
-        d = float(np.sqrt(max(0.0, ((p.center - q.center) ** 2).sum())))
-        if d > p.radius + q.radius + reach + _EPS:
-            continue
-        if d + p.radius + q.radius < reach - _EPS:
-            yield p.rows, q.rows, None
-        elif not p.children and not q.children:
-            for i in range(0, len(p.rows), SIDE):
-                for j in range(0, len(q.rows), SIDE):
-                    left, right = p.rows[i : i + SIDE], q.rows[j : j + SIDE]
-                    hits = a[left] @ b[right].T >= cosine
-                    if hits.any():
-                        yield left, right, hits
-        elif p.children and (p.radius >= q.radius or not q.children):
-            stack += [(c, q) for c in p.children]
-        else:
-            stack += [(p, c) for c in q.children]
+
+    x: np.ndarray
+    order: np.ndarray
+    centers: list[np.ndarray]
+    radii: list[np.ndarray]
+    starts: list[np.ndarray]
+    below: list[np.ndarray]
+
+
+def _nearest(x: np.ndarray, picked: list[int], near: np.ndarray, own: np.ndarray, start: int) -> None:
+    """Bring ``near`` and ``own``, the nearest of the first ``start`` centres, up to date."""
+    for j in range(start, len(picked), SIDE):
+        new = np.array(picked[j : j + SIDE])
+        for i in range(0, len(x), SIDE):
+            d = distance(x[i : i + SIDE], x[new])
+            best = d.argmin(1)
+            least = d[np.arange(len(d)), best]
+            closer = least < near[i : i + SIDE]
+            near[i : i + SIDE][closer] = least[closer]
+            own[i : i + SIDE][closer] = j + best[closer]
+
+
+def _refine(x: np.ndarray, picked: list[int], near: np.ndarray, own: np.ndarray, radius: float, most: int | None = None) -> bool:
+    """Add centres until every row is within ``radius`` of one; centres stay farther apart than that.
+
+    False, with the work of this level to be thrown away, where that takes more than ``most``.
+    """
+    while True:
+        free = np.flatnonzero(near > radius)[:SIDE]
+        if not len(free):
+            return True
+        apart, start = distance(x[free], x[free]), len(picked)
+        covered = np.zeros(len(free), dtype=bool)
+        for i in range(len(free)):
+            if not covered[i]:
+                picked.append(int(free[i]))
+                covered |= apart[i] <= radius
+                covered[i] = True
+        if most is not None and len(picked) > most:
+            return False
+        _nearest(x, picked, near, own, start)
+        near[picked[start:]], own[picked[start:]] = 0.0, np.arange(start, len(picked))
 
 
-def _block(home: pa.Table, guests: pa.Table, cosine: float) -> pa.Table:
-    """Weighted link counts of the members, and edges that join what is linked."""
-    ids, others, weight = home["id"].to_numpy(), guests["id"].to_numpy(), guests["weight"].to_numpy()
-    a, b = matrix(home["u"]), matrix(guests["u"])
-    links = np.zeros(len(ids), np.int64)
-    top_a, top_b = ids.copy(), others.copy()
-    pairs = []
+def upper_levels(x: np.ndarray, most: int) -> np.ndarray:
+    """Centres of the finest level, of radii 2, 1, 1/2 and so on, that has ``most`` nodes or fewer."""
+    picked, near, own, radius = [0], distance(x, x[:1])[:, 0], np.zeros(len(x), np.int64), 2.0
+    while radius > LOWEST:
+        radius /= 2
+        before = len(picked)
+        if not _refine(x, picked, near, own, radius, most):
+            return x[picked[:before]]
+    return x[picked]
+
+
+def build(x: np.ndarray) -> Tree:
+    """The cover tree of rows of length 1."""
+    n = len(x)
+    picked, near, own = [0], distance(x, x[:1])[:, 0], np.zeros(n, np.int64)
+    levels, radius = [own.copy()], 2.0  # the centre of each row at each level
+    counts = [1]
+    while radius > LOWEST and len(picked) < n:
+        radius /= 2
+        before = len(picked)
+        _refine(x, picked, near, own, radius)
+        if len(picked) > before:
+            levels.append(own.copy())
+            counts.append(len(picked))
+    rows = np.array(picked)
+    # a centre hangs below the centre that its own row belongs to, a row below that of its lowest centre
+    parents = [levels[k][rows[: counts[k + 1]]] for k in range(len(levels) - 1)]
+    place = [np.zeros(1, np.int64)]  # of each centre in its level
+    for parent in parents:
+        at = np.empty(len(parent), np.int64)
+        at[np.lexsort((np.arange(len(parent)), place[-1][parent]))] = np.arange(len(parent))
+        place.append(at)
+    leaf = place[-1][levels[-1]]
+    order = np.argsort(leaf, kind="stable")
+    x, leaf = x[order], leaf[order]
+    tree = Tree(x, order, [], [], [], [])
+    up = leaf  # of each row, its node of the level, from the lowest level up
+    for k in range(len(levels) - 1, -1, -1):
+        center = np.empty(counts[k], np.int64)
+        center[place[k]] = rows[: counts[k]]
+        where = np.empty(n, np.int64)
+        where[order] = np.arange(n)
+        center = where[center]
+        far = np.empty(n)
+        for i in range(0, n, SIDE):
+            far[i : i + SIDE] = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x[i : i + SIDE], x[center[up[i : i + SIDE]]])))
+        edges = np.searchsorted(up, np.arange(counts[k] + 1))
+        tree.centers.insert(0, center)
+        tree.radii.insert(0, np.maximum.reduceat(far, edges[:-1]))
+        tree.below.insert(0, edges)
+        if k:
+            above = np.empty(counts[k], np.int64)
+            above[place[k]] = place[k - 1][parents[k - 1]]
+            tree.starts.insert(0, np.searchsorted(above, np.arange(counts[k - 1] + 1)))
+            up = above[up]
+    tree.starts.append(tree.below[-1])
+    return tree
+
+
+def _spans(starts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The children of all ``nodes``."""
+    first, many = starts[nodes], starts[nodes + 1] - starts[nodes]
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def dual_traversal(a: Tree, b: Tree, cosine: float, seen: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(rows of a, rows of b, hits): hits is a matrix, or None where all pairs are within reach.
+
+    Rows are places in the order of the trees.  ``seen`` counts distances taken, of nodes and of rows.
+    """
+    reach, seen = math.sqrt(2 - 2 * cosine), [0] if seen is None else seen
+    # each node of one level of a with the nodes of one level of b that may be near it; the shallower tree waits at its lowest level
+    depth, work = max(len(a.centers), len(b.centers)), [(0, np.array([0]))]
+    for level in range(depth):
+        i, j = min(level, len(a.centers) - 1), min(level, len(b.centers) - 1)
+        after = []
+        for node, others in work:
+            own = np.array([node]) if level == 0 or i < level else np.arange(a.starts[i - 1][node], a.starts[i - 1][node + 1])
+            met = others if level == 0 or j < level else _spans(b.starts[j - 1], others)
+            # wide nodes apart from narrow ones, so that the widest of a tile says something
+            own, met = own[np.argsort(a.radii[i][own], kind="stable")], met[np.argsort(b.radii[j][met], kind="stable")]
+            kept: list[list[np.ndarray]] = [[] for _ in own]
+            for p in range(0, len(own), SIDE):
+                left = own[p : p + SIDE]
+                for q in range(0, len(met), SIDE):
+                    right = met[q : q + SIDE]
+                    dots = a.x[a.centers[i][left]] @ b.x[b.centers[j][right]].T
+                    seen[0] += dots.size
+                    ra, rb = a.radii[i][left], b.radii[j][right]
+                    limit = ra + rb.max() + reach + _EPS
+                    s, t = np.nonzero(dots >= (1 - 0.5 * np.minimum(limit, 2) ** 2)[:, None] - _EPS)
+                    d = np.sqrt(np.maximum(0, 2 - 2 * dots[s, t]))
+                    whole = d + ra[s] + rb[t] < reach - _EPS
+                    for u, v in zip(left[s[whole]].tolist(), right[t[whole]].tolist(), strict=True):
+                        yield np.arange(a.below[i][u], a.below[i][u + 1]), np.arange(b.below[j][v], b.below[j][v + 1]), None
+                    near = (d <= ra[s] + rb[t] + reach + _EPS) & ~whole
+                    s, t = s[near], right[t[near]]
+                    cut = np.searchsorted(s, np.arange(len(left) + 1))
+                    for k in np.flatnonzero(cut[1:] > cut[:-1]):
+                        kept[p + k].append(t[cut[k] : cut[k + 1]])
+            after += [(int(own[k]), np.sort(np.concatenate(c))) for k, c in enumerate(kept) if c]
+        work = after
+    for node, others in work:
+        left, met = np.arange(a.below[-1][node], a.below[-1][node + 1]), _spans(b.below[-1], others)
+        for p in range(0, len(left), SIDE):
+            for q in range(0, len(met), SIDE):
+                right = met[q : q + SIDE]
+                hits = a.x[left[p : p + SIDE]] @ b.x[right].T >= cosine
+                seen[0] += hits.size
+                if hits.any():
+                    yield left[p : p + SIDE], right, hits
+
+
+def _links(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, side: np.ndarray, cosine: float) -> pa.Table:
+    """Weighted link counts of the rows of a block, or of two blocks, and edges that join what is linked."""
+    same = bool((side == 2).all())
+    one, two = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
+    if not len(one) or not len(two):
+        return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
+    a = build(x[one])
+    b = a if same else build(x[two])
+    one, two = one[a.order], two[b.order]
+    links, top, pairs = np.zeros(len(ids), np.int64), ids.copy(), []
     for p, q, hits in dual_traversal(a, b, cosine):
+        p, q = one[p], two[q]
         if hits is None:
             links[p] += weight[q].sum()
+            if not same:
+                links[q] += weight[p].sum()
             # the whole pair is one class: tie all to the first of each side
             pairs += [(p, np.full(len(p), q[0])), (np.full(len(q), p[0]), q)]
         else:
             links[p] += hits @ weight[q]
+            if not same:
+                links[q] += weight[p] @ hits
             i, j = np.nonzero(hits)
             pairs.append((p[i], q[j]))
     if pairs:
         i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
         while True:  # smallest id along the pairs, until nothing changes
-            before = (top_a.copy(), top_b.copy())
-            np.minimum.at(top_a, i, top_b[j])
-            np.minimum.at(top_b, j, top_a[i])
-            if (before[0] == top_a).all() and (before[1] == top_b).all():
+            before = top.copy()
+            np.minimum.at(top, i, top[j])
+            np.minimum.at(top, j, top[i])
+            if (before == top).all():
                 break
-    n, m = ids != top_a, others != top_b
-    return pa.table({"id": np.concatenate((ids, others[m])), "n": np.concatenate((links, np.full(int(m.sum()), -1))), "to": np.concatenate((np.where(n, top_a, ids), top_b[m]))})
+    keep = (links > 0) | (top != ids)
+    return pa.table({"id": ids[keep], "n": links[keep], "to": top[keep]})
 
 
 def near_duplicates(table: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row: exact links of cosine >= ``cosine``.
 
     Equal vectors are compared once and weighted; they link with one another.  Rows whose vector
-    is null, zero, holds null or non-finite parts or is of another width than most link with
-    nothing, as do rows without an id, which have a null component and are kept.  Rows that share
-    an id count as separate vectors in one class.  An empty table gives an empty result.
+    is null, zero or holds null or non-finite parts link with nothing, as do rows without an id,
+    which have a null component and are kept.  Vectors link only with vectors of their own width;
+    all widths but the most frequent make a cell each.  Rows that share an id count as separate
+    vectors in one class.  Other columns are ignored, whatever their names; an empty table gives
+    an empty result.
+
+    The driver gets ``SAMPLE`` rows, a count for each width and figures of ``CELLS_MOST`` cells.
     """
     spark = table.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near")
     rows = usable(table, id_col, vector_col)
-    rows = rows.where(F.size("v") == common_width(rows))
     distinct = rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(list(unit(matrix(b.column(0)))), pa.list_(pa.float64()))], ["id", "weight", "u"])
+            for at, x in by_width(b.column(0)):
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), pa.array(list(unit(x)), pa.list_(pa.float64()))], ["id", "weight", "u"])
 
     units = scratch.write(distinct.mapInArrow(scale, "id long, weight long, u array<double>"), "units")
-    sample = units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    known = widths(units, "u")
     everyone = table.select(F.col(f"`{id_col}`").cast("long").alias("id"))
-    if not sample.num_rows:
+    if not known:
         return everyone.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    total = units.count()
-    centers = spark.sparkContext.broadcast(upper_levels(matrix(sample["u"]), int(min(CELLS_MOST, max(1, total // CELL_ROWS)))))
-    sides = -(-total // GUESTS)
+    width = known[0][0]
+    sample = units.where(F.size("u") == width).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    centers = upper_levels(matrix(sample["u"]), int(min(CELLS_MOST, max(1, known[0][1] // BLOCK))))
+    other = {w: len(centers) + k for k, (w, _) in enumerate(known[1:])}
+    shared = spark.sparkContext.broadcast((centers, other))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                dots = matrix(b.column(2)) @ centers.value.T
-                cell = dots.argmax(1)
-                far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(cell)), cell]))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far)], ["id", "weight", "u", "cell", "far"])
+            for at, x in by_width(b.column(2)):
+                centers, other = shared.value
+                if x.shape[1] in other:
+                    cell, far = np.full(len(at), other[x.shape[1]]), np.full(len(at), 2.0)
+                else:
+                    dots = x @ centers.T
+                    cell = dots.argmax(1)
+                    far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(cell)), cell]))
+                rows = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell.astype(np.int32)), pa.array(far)], ["id", "weight", "u", "cell", "far"])
 
     dealt = scratch.write(units.mapInArrow(deal, "id long, weight long, u array<double>, cell int, far double"), "cells")
-    known = dealt.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()  # CELLS_MOST rows at most
-    radius = np.full(len(centers.value), -np.inf)
-    blocks = np.zeros(len(centers.value), dtype=np.int64)
-    for r in known:
-        radius[r["cell"]], blocks[r["cell"]] = r["far"], -(-r["n"] // BLOCK)
+    scratch.drop("units")
+    figures = dealt.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()  # a row for each cell
+    radius, many = np.full(len(centers) + len(other), -np.inf), np.zeros(len(centers) + len(other), dtype=np.int64)
+    for r in figures:
+        radius[r["cell"]], many[r["cell"]] = r["far"], -(-r["n"] // BLOCK)
+    first = np.cumsum(many) - many
+    plan = spark.sparkContext.broadcast((radius, first, many))
     reach = math.sqrt(2 - 2 * cosine)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row to its own block, and to each pair of it with a block whose cell can hold a neighbour."""
+        centers = shared.value[0]
+        radius, first, many = plan.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(2))
-            d = np.sqrt(np.maximum(0, 2 - 2 * (x @ centers.value.T)))
-            i, cell = np.nonzero(d <= radius[None, :] + reach + _EPS)
-            # a visitor meets all blocks of a cell
-            times = blocks[cell]
-            i, cell = np.repeat(i, times), np.repeat(cell, times)
-            block = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
-            take = pa.array(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], ["id", "weight", "u", "cell", "block"])
-
-    guests = dealt.mapInArrow(visit, "id long, weight long, u array<double>, cell int, block int")
-    number = spark.sparkContext.broadcast(blocks)
-
-    def home_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell = b.column(3).to_numpy()
             mixed = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            block = mixed.astype(np.int64) % np.maximum(1, number.value[cell])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(block.astype(np.int32))], ["id", "u", "cell", "block"])
-
-    homes = dealt.mapInArrow(home_block, "id long, u array<double>, cell int, block int").withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
-    guests = guests.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-        return _block(left, right, cosine)
-
-    found = homes.groupBy("cell", "block", "side").cogroup(guests.groupBy("cell", "block", "side")).applyInArrow(run, "id long, n long, to long")
-    found = scratch.write(found, "found")
-    counts = found.where("n >= 0").groupBy("id").agg((F.sum("n") - 1).alias("n_links"))
+            for at, x in by_width(b.column(2)):
+                cell = b.column(3).to_numpy()[at]
+                block = first[cell] + mixed[at].astype(np.int64) % many[cell]
+                if x.shape[1] == centers.shape[1]:
+                    i, met = np.nonzero(distance(x, centers) <= radius[None, : len(centers)] + reach + _EPS)
+                else:
+                    i, met = np.arange(len(at)), cell
+                times = many[met]
+                i, met = np.repeat(i, times), np.repeat(first[met], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                low, high = np.minimum(block[i], met), np.maximum(block[i], met)
+                side = np.where(low == high, 2, (block[i] == high).astype(np.int64))
+                rows = b.take(pa.array(at[i]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(low), pa.array(high), pa.array(side.astype(np.int8))], ["id", "weight", "u", "low", "high", "side"])
+
+    def run(part: pa.Table) -> pa.Table:
+        return _links(part["id"].to_numpy(), matrix(part["u"]), part["weight"].to_numpy(), part["side"].to_numpy(), cosine)
+
+    met = dealt.mapInArrow(visit, "id long, weight long, u array<double>, low long, high long, side byte")
+    found = scratch.write(met.groupBy("low", "high").applyInArrow(run, "id long, n long, to long"), "found")
+    scratch.drop("cells")
+    counts = found.groupBy("id").agg((F.sum("n") - 1).alias("n_links"))
     equal = rows.join(distinct.select(F.col("v").alias("w"), F.col("id").alias("rep")), F.col("v") == F.col("w")).select("id", "rep")
     equal = scratch.write(equal.distinct(), "members")
-    edges = found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")).union(equal.where("id <> rep").select("id", "rep"))
-    classes = components(edges, scratch, "classes")
-    linked = equal.join(counts.withColumnRenamed("id", "rep"), "rep").groupBy("id").agg(F.max("n_links").alias("n_links"))
-    out = everyone.join(linked, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")
+    # copies are attached after the rounds; only an id that stands for several vectors ties their classes within them
+    several = equal.groupBy("id").count().where("count > 1").select("id")
+    ties = equal.join(several, "id", "left_semi").where("id <> rep").select("id", "rep")
+    classes = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")).union(ties), scratch, "classes")
+    member = equal.join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("id", "rep"), "rep", "left")
+    linked = member.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component"))
+    out = everyone.join(linked, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -15,10 +17,10 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
-def common_width(rows: DataFrame) -> int:
-    """The most frequent width; rows of another take no part.  0 for an empty table."""
-    got = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return got["w"] if got else 0
+def widths(rows: DataFrame, vector_col: str) -> list[tuple[int, int]]:
+    """(width, rows) of all widths, the most frequent first; two numbers for each width reach the driver."""
+    got = rows.groupBy(F.size(vector_col).alias("w")).count().collect()
+    return sorted(((r["w"], r["count"]) for r in got), key=lambda x: (-x[1], x[0]))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -28,3 +30,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     n = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(n, -1) if n else np.zeros((0, 1))
+
+
+def by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of a list column's rows of each width."""
+    if not len(column):
+        return
+    size = np.diff(column.offsets.to_numpy())
+    for w in np.unique(size):
+        at = np.flatnonzero(size == w)
+        yield at, matrix(column if len(at) == len(size) else column.take(pa.array(at)))

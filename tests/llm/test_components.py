@@ -23,8 +23,10 @@ def union_find(edges):
     return {x: top(x) for x in up}
 
 
+@pytest.mark.parametrize("heavy", [256, 3])
 @pytest.mark.parametrize("kind", ["chain", "hub", "random", "empty"])
-def test_components(spark, kind):
+def test_components(spark, monkeypatch, kind, heavy):
+    monkeypatch.setattr("stratum.llm.components.HEAVY", heavy)
     rnd = random.Random(4)
     edges = {
         "chain": [(k, k + 1) for k in range(60)],

@@ -142,10 +142,7 @@ def test_search_recall_ties_and_odd_vectors(spark, monkeypatch):
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cover_tree, "CELL_ROWS", 40)
-    monkeypatch.setattr(cover_tree, "BLOCK", 30)
-    monkeypatch.setattr(cover_tree, "GUESTS", 150)
-    monkeypatch.setattr(cover_tree, "LEAF", 8)
+    monkeypatch.setattr(cover_tree, "BLOCK", 40)
     rows = vectors()
     got = {r["vec_id"]: r for r in cover_tree.near_duplicates(table(spark, rows + ODD)).collect()}
     x = np.array([r[1] for r in rows], dtype=np.float64)
@@ -170,8 +167,9 @@ def test_dual_traversal_finds_all_pairs(seed, cosine):
     rnd = np.random.default_rng(seed)
     a, b = (cover_tree.unit(np.repeat(rnd.normal(size=(9, 3)), 9, axis=0) + 0.05 * rnd.normal(size=(81, 3))) for _ in range(2))
     got = np.zeros((81, 81), dtype=bool)
-    for p, q, hits in cover_tree.dual_traversal(a, b, cosine):
-        got[np.ix_(p, q)] |= True if hits is None else hits
+    left, right = cover_tree.build(a), cover_tree.build(b)
+    for p, q, hits in cover_tree.dual_traversal(left, right, cosine):
+        got[np.ix_(left.order[p], right.order[q])] |= True if hits is None else hits
     assert (got == (a @ b.T >= cosine)).all()
 
 
