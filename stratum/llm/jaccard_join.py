@@ -1,27 +1,40 @@
-"""N-gram Jaccard join by PartEnum signatures.
-
-Sizes are dealt into bands.  In a band the feature domain (54-bit shingle ids) is cut into
-``n1`` ranges, and a document's signatures are hashes of its whole content in one range.  Two
-documents that reach the threshold differ in at most ``k`` shingles, hence in at most ``k``
-ranges; so among the first ``k + 1`` ranges that are not empty in either document, in the
-order of the domain, one is the same in both, and its signature is shared (the enumeration of
-range subsets is the one with a single range to each subset).
+"""N-gram Jaccard join by two-level PartEnum signatures.
+
+Sizes are dealt into bands; a document is signed for its own band and, where its size allows a link
+there, for the next, so two documents that can link share a band.  In a band the feature domain
+(54-bit shingle ids) is partitioned into ``n1`` groups, each of them into three ranges, and the
+subsets of two ranges of a group are enumerated: a signature is a hash of all of a document's
+shingles in one such subset.  Two documents that reach the threshold differ in at most ``k``
+shingles, so at most ``k // 2`` groups differ in two ranges or more; any other group has two equal
+ranges, whose signature both share.  A signature of a subset without shingles says nothing and is
+left out, so what counts is *rich* groups, those with two ranges or more that hold shingles: among
+the first ``k // 2 + 1`` groups that are rich in either document, one has an equal range that isn't
+empty.  A document therefore signs its groups, in the order of the domain, up to its rich group of
+that number.
 
 Shingles that stand in many documents (``common`` of them or more) would make signatures that
 thousands share.  They are counted over all documents and left out of the signatures, which
 loses nothing: leaving the same shingles out of both sets can only shrink the difference.  A
-document with ``k`` ranges or fewer left is *plain*: pairs of two plain documents are found by
-signatures over their whole sets instead, gathered to cohorts, and each cohort is compared
-exactly in blocks.  Where a whole set fills ``k`` ranges or fewer too, the same range need not
-exist: such a set is also signed by its first shingles in the order of the domain, as many as
-it may lack plus one, of which two sets that reach the threshold share one.  Every reported
-link is checked on the exact shingle sets.
+document with ``k // 2`` rich groups or fewer left is *plain*: pairs of two plain documents are
+found by signatures over their whole sets instead.  Equal sets are one there; copies are attached
+to their class at the end.  Where a whole set has too few rich groups too, it is also signed by its
+first shingles in the order of the domain, as many as it may lack plus one, of which two sets that
+reach the threshold share one.
+
+Signatures that few documents share give pairs.  Those that many share, as near copies of one text
+do, first link each member with the smallest; what the exact check leaves in different classes then
+is compared in blocks, the members of the largest class only with those outside of it.
+
+Links are decided by sizes of sets of 54-bit ids.  Two of the shingles of a pair of documents get
+the same id with odds of about ``(shingles of both)**2 / 2**55``, 1 in 20 million for 20,000 each,
+and one such clash shifts the sizes by one.  Equal sets are told by 128 bits of their ids' sums.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,7 +46,10 @@ from .components import components
 from .text import ID_BITS, ID_MASK, MAX_DOCS, U, mix, per_text, shingle_keys, text_blocks
 
 #: Band width, shingles to a range at a band's lower end (without and with common shingles).
-RHO, RANGE_FEW, RANGE_MANY = 1.95, 0.8, 1.6
+RHO, RANGE_FEW, RANGE_MANY = 1.95, 1.0, 4 / 3
+#: Ranges to a group, and of them those that may differ; the subsets are of the others.
+N2, K2 = 3, 1
+SUBSETS = tuple(combinations(range(N2), N2 - K2))
 #: Documents from which on a shingle is common; most common shingles sent to the executors.
 COMMON, COMMON_MOST = 24, 2_000_000
 #: Keys sent on in one go; documents to a block of a cohort.
@@ -94,7 +110,7 @@ def _common(docs: DataFrame, text: str, n: int, bits: int) -> np.ndarray:
             hit = sums >= COMMON
             yield pa.RecordBatch.from_arrays([pa.array((keys[first][hit].astype(np.int64) + (p << 32))), pa.array(sums[hit].astype(np.int64))], ["id", "times"])
 
-    blobs = docs.select(text).mapInArrow(send, "p int, one binary, many binary, times binary")
+    blobs = docs.select(F.col(f"`{text}`")).mapInArrow(send, "p int, one binary, many binary, times binary")
     found = blobs.repartition(_tasks(docs, bits), "p").mapInArrow(count, "id long, times long").persist()
     least, left = COMMON, 0
     steps = found.groupBy(F.floor(F.log2("times") * 8).cast("int").alias("step")).agg(F.count("*").alias("c"), F.min("times").alias("least")).orderBy(F.desc("step")).collect()
@@ -131,9 +147,9 @@ class Signer:
         return out
 
     def sign(self, keys: np.ndarray, sizes: np.ndarray, per: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(signatures, their texts, texts with too few ranges), from sorted keys; sizes of the whole sets.
+        """(signatures, their texts, texts with too few rich groups), from sorted keys; sizes of the whole sets.
 
-        ``whole``: the keys are whole sets; those with too few ranges are signed by single shingles too.
+        ``whole``: the keys are whole sets; those with too few rich groups are signed by single shingles too.
         """
         band = np.floor(np.log(np.maximum(sizes, 1)) / math.log(RHO) + 1e-9).astype(np.int64)
         docs, ids = (keys >> U(ID_BITS)).astype(np.int64), keys & ID_MASK
@@ -146,23 +162,36 @@ class Signer:
             most = (1 - self.g) / self.g * sizes
             if not step:
                 most = np.minimum(most, (1 - self.g) / (1 + self.g) * (sizes + low * RHO))
-            k = np.floor(most + 1e-6).astype(np.int64)
-            n1 = np.maximum(1, np.ceil(low / per)).astype(np.int64)
+            worst = np.floor(most + 1e-6).astype(np.int64) // (K2 + 1)  # groups that may differ in more than K2 ranges
+            n1 = np.maximum(1, np.ceil(low / (N2 * per))).astype(np.int64)
             mine = use[docs]
             d, x = docs[mine], ids[mine]
-            ranges = np.zeros(len(sizes), dtype=np.int64)
+            rich = np.zeros(len(sizes), dtype=np.int64)
             if len(d):
-                j = ((x >> U(ID_BITS - 32)) * n1[d].astype(U)) >> U(32)
+                j = ((x >> U(ID_BITS - 32)) * (N2 * n1[d]).astype(U)) >> U(32)
                 first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (j[1:] != j[:-1]))))
                 content = np.add.reduceat(mix(x), first)
-                d, j = d[first], j[first]
-                sig = mix(content ^ mix(((band[d] + step).astype(U) << U(34)) | j | U(int(whole) << 60)))
-                ranges = np.bincount(d, minlength=len(sizes))
-                place = np.arange(len(d)) - (np.cumsum(ranges) - ranges)[d]
-                kept = place <= k[d]
-                all_sigs.append(sig[kept])
-                all_docs.append(d[kept])
-            short = use & (ranges <= k)
+                d, j = d[first], j[first].astype(np.int64)
+                group, place = j // N2, j % N2
+                start = np.concatenate(([True], (d[1:] != d[:-1]) | (group[1:] != group[:-1])))
+                row = np.cumsum(start) - 1
+                held, there = np.zeros((N2, row[-1] + 1), U), np.zeros((N2, row[-1] + 1), dtype=bool)
+                held[place, row], there[place, row] = content, True
+                d, group = d[start], group[start]
+                more = there.sum(0) > K2
+                rich = np.bincount(d, more, len(sizes)).astype(np.int64)
+                before = np.cumsum(more) - more
+                before -= np.append(0, np.cumsum(rich))[d]
+                signed = before <= worst[d]
+                for n, subset in enumerate(SUBSETS):
+                    kept = signed & there[list(subset)].any(0)
+                    tag = ((band[d[kept]] + step) << 34 | group[kept] * len(SUBSETS) + n).astype(U) | U(int(whole) << 60)
+                    sig = mix(tag)
+                    for r in subset:
+                        sig = mix(sig ^ mix(held[r][kept]))
+                    all_sigs.append(sig)
+                    all_docs.append(d[kept])
+            short = use & (rich <= worst)
             few |= short
             if whole and short[docs].any():
                 lack = sizes - -(-self.threshold * sizes // 100)
@@ -194,6 +223,13 @@ def _could_link(a: bytes, b: bytes, threshold: int) -> bool:
 
 
 def _features(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer) -> DataFrame:
+    """One row for each document: size, sketch, signatures without common shingles; of plain ones print and whole-set signatures."""
+
+    def lists(sigs: np.ndarray, owner: np.ndarray, texts: int) -> list[np.ndarray]:
+        order = np.argsort(owner, kind="stable")
+        cut = np.searchsorted(owner[order], np.arange(texts + 1))
+        return [sigs[order[i:j]] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -203,31 +239,31 @@ def _features(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer) -
                 sizes = per_text(keys, texts)
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 x = keys & ID_MASK
-                _, _, few = signer.sign(keys[~signer.is_common(x)], sizes, RANGE_FEW, False)
+                sigs, owner, few = signer.sign(keys[~signer.is_common(x)], sizes, RANGE_FEW, False)
+                light = [s.tobytes() for s in lists(sigs, owner, texts)]
                 plain = np.flatnonzero(few & (sizes > 0))
-                sigs: list[np.ndarray | None] = [None] * texts
+                whole: list[np.ndarray | None] = [None] * texts
                 prints: list[bytes | None] = [None] * texts
                 if len(plain):
-                    s, d, _ = signer.sign(keys[few[(keys >> U(ID_BITS)).astype(np.int64)]], sizes, RANGE_MANY, True)
-                    order = np.argsort(d, kind="stable")
-                    cut = np.searchsorted(d[order], np.arange(texts + 1))
+                    sigs, owner, _ = signer.sign(keys[few[(keys >> U(ID_BITS)).astype(np.int64)]], sizes, RANGE_MANY, True)
+                    all_ = lists(sigs, owner, texts)
                     for i in plain:
                         own = x[ends[i] : ends[i + 1]]
-                        sigs[i] = s[order][cut[i] : cut[i + 1]].astype(np.int64)
+                        whole[i] = np.unique(all_[i]).astype(np.int64)
                         prints[i] = np.array([mix(own).sum(), mix(mix(own)).sum()], U).tobytes()
                 sketches = [_sketch(x[i:j], j - i) if j > i else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, texts), pa.array(sizes.astype(np.int64)), pa.array(sketches, pa.binary()), pa.array(prints, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "n_shingles", "sketch", "print", "sigs"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, texts), pa.array(sizes.astype(np.int64)), pa.array(sketches, pa.binary()), pa.array(light, pa.binary()), pa.array(prints, pa.binary()), pa.array(whole, pa.list_(pa.int64()))], ["id", "n_shingles", "sketch", "light", "print", "sigs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n_shingles long, sketch binary, print binary, sigs array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`")).mapInArrow(run, "id long, n_shingles long, sketch binary, light binary, print binary, sigs array<long>")
 
 
-def _pairs(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer, bits: int) -> DataFrame:
-    """(a, b): documents that share a signature without common shingles and whose sizes allow a link.
+def _pairs(feats: DataFrame, g: float, bits: int, tasks: int) -> DataFrame:
+    """(a, b, wide): documents that share a signature without common shingles and whose sizes allow a link.
 
     Groups of more than ``2 * COMMON`` members exist only where the list of common shingles is
-    cut off at ``COMMON_MOST``; they give (a, b) = (member, smallest member), with ``wide`` set.
+    cut off at ``COMMON_MOST``; they give (a, b) = (smallest member, member), with ``wide`` set.
     """
-    reach = math.ceil(1000 * -math.log(signer.g)) + 2
+    reach = math.ceil(1000 * -math.log(g)) + 2
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -242,20 +278,16 @@ def _pairs(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer, bits
             rows = [(k, s[i:j].tobytes(), d[i:j].tobytes(), q[i:j].tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["p", "sig", "doc", "size"])
 
+        waiting = 0
         for batch in batches:
-            ids = batch.column(0)
-            valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            for at, buf, offs in text_blocks(batch.column(1)):
-                keys = shingle_keys(buf, offs, n)
-                sizes = per_text(keys, len(offs) - 1)
-                s, d, _ = signer.sign(keys[~signer.is_common(keys & ID_MASK)], sizes, RANGE_FEW, False)
-                ok = valid[at + d]
-                s, d = s[ok], d[ok]
-                if len(s):
-                    held.append((s, ids[at + d], (1000 * np.log(sizes[d])).astype(np.uint16)))
-                if sum(len(x[0]) for x in held) > FLUSH:
+            for i, size, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                sigs = np.frombuffer(blob, U)
+                if len(sigs):
+                    held.append((sigs, np.full(len(sigs), i, np.int64), np.full(len(sigs), int(1000 * math.log(size)), np.uint16)))
+                    waiting += len(sigs)
+                if waiting > FLUSH:
                     yield flush()
+                    waiting = 0
         if held:
             yield flush()
 
@@ -289,8 +321,8 @@ def _pairs(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer, bits
                 a, b, w = pairs[:, k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w == 1)], ["a", "b", "wide"])
 
-    blobs = docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(send, "p int, sig binary, doc binary, size binary")
-    return blobs.repartition(_tasks(docs, bits), "p").mapInArrow(match, "a long, b long, wide boolean").distinct()
+    blobs = feats.where("id is not null and n_shingles > 0").select("id", "n_shingles", "light").mapInArrow(send, "p int, sig binary, doc binary, size binary")
+    return blobs.repartition(tasks, "p").mapInArrow(match, "a long, b long, wide boolean").distinct()
 
 
 def _sets(docs: DataFrame, id_col: str, text: str, n: int, wanted: DataFrame, rows: int) -> DataFrame:
@@ -304,7 +336,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, n: int, wanted: DataFrame, ro
                 x = keys & ID_MASK
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(offs) - 1), pa.array([x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "ids"])
 
-    mine = docs.select(F.col(id_col).cast("long").alias("id"), text).join(small(wanted, rows), "id", "left_semi")
+    mine = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`")).join(small(wanted, rows), "id", "left_semi")
     return mine.mapInArrow(run, "id long, ids binary")
 
 
@@ -349,10 +381,19 @@ def _block_links(docs: np.ndarray, side: np.ndarray, sets: list[np.ndarray], thr
 
 
 def _cohort_links(sets: DataFrame, cohorts: DataFrame, threshold: int) -> DataFrame:
-    sizes = cohorts.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = cohorts.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    dealt = blocks.select("component", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("component", F.col("node").alias("id"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    """Links between the classes of each cohort, rows (component, node, class).
+
+    The members of a cohort's largest class are compared with the others only, those with one another too.
+    """
+    each = cohorts.groupBy("component", "class").agg(F.count("*").alias("n"))
+    main = each.groupBy("component").agg(F.max_by("class", F.struct("n", F.negative("class"))).alias("main"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = cohorts.join(main.where("outside > 0"), "component").select("component", "node", (F.col("class") == F.col("main")).alias("in_main"), blocks("inside").alias("ins"), blocks("outside").alias("outs"))
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(node), case when in_main then ins else outs end) as int)"))
+    # blocks of the others are numbered from 0, those of the main class from -1 down
+    met = F.when(F.col("in_main"), F.sequence(F.lit(0), F.col("outs") - 1)).otherwise(F.sequence(-F.col("ins"), F.col("outs") - 1))
+    dealt = rows.select("component", F.col("node").alias("id"), F.when(F.col("in_main"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"), F.explode(met).alias("other"))
+    dealt = dealt.select("component", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         side = (pdf["own"] != pdf["i"]).to_numpy().astype(int)
@@ -413,32 +454,48 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             return shared.value.is_common(ids)
 
     feats = scratch.write(_features(docs, id_col, text_col, n, Held()), "features")
-    pairs = scratch.write(_pairs(docs, id_col, text_col, n, Held(), bits), "pairs")
+    shared_pairs = scratch.write(_pairs(feats, signer.g, bits, _tasks(docs, bits)), "pairs")
+
+    plain = feats.where("print is not null and id is not null").select("id", "print", "sigs")
+    firsts = scratch.write(plain.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "firsts")
+    equal = plain.select("id", "print").join(firsts.where("copies > 1"), "print").where("id <> first").select("id", "first").distinct()
+    equal = scratch.write(equal, "copies")
+    signed = scratch.write(plain.join(equal.select("id").distinct(), "id", "left_anti").select("id", F.explode("sigs").alias("sig")).distinct(), "signed")
+    counts = scratch.write(signed.groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1"), "counts")
+    few = signed.join(counts.where(F.col("n") <= 2 * COMMON).select("sig"), "sig").groupBy("sig").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = few.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
+    many = counts.where(F.col("n") > 2 * COMMON).select("sig", "a")
+    hot = signed.join(small(many, many.count()), "sig").select("a", F.col("id").alias("b")).unionByName(shared_pairs.where("wide").select("a", "b")).where("a <> b").distinct()
+    hot = scratch.write(hot, "hot")
 
     sketches = feats.where("id is not null and sketch is not null").select("id", "sketch")
     could = F.pandas_udf(lambda a, b: pd.Series([_could_link(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
-    near = pairs.where("not wide").join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b")
+    near = shared_pairs.where("not wide").select("a", "b").unionByName(few).unionByName(hot).distinct()
+    near = near.join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b")
     near = scratch.write(near.where(could("x", "y")).select("a", "b").distinct(), "near")
-
-    plain = feats.where("print is not null and id is not null").select("id", "print", "sigs")
-    firsts = plain.groupBy("print").agg(F.min("id").alias("first"))
-    equal = plain.select("id", "print").join(firsts, "print").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    lone = plain.join(firsts, (plain["id"] == firsts["first"]) & (plain["print"] == firsts["print"]), "left_semi")
-    signed = lone.select("id", F.explode("sigs").alias("sig"))
-    leads = signed.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
-    stars = signed.join(leads, "sig").where("id <> a").select("a", F.col("id").alias("b"))
-    stars = stars.unionByName(pairs.where("wide").select("a", "b")).distinct()
-    cohorts = scratch.write(components(stars, scratch, "cohorts"), "cohorts")
-
-    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).union(cohorts.select("node")).distinct()
+    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).union(hot.select("a")).union(hot.select("b")).distinct()
     sets = scratch.write(_sets(docs, id_col, text_col, n, wanted, wanted.count()), "sets")
     linked = F.pandas_udf(lambda a, b: pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
     links = near.join(sets.withColumnsRenamed({"id": "a", "ids": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "ids": "y"}), "b").where(linked("x", "y")).select("a", "b")
-    links = links.unionByName(equal).unionByName(_cohort_links(sets, cohorts, threshold))
-    classes = scratch.write(components(links, scratch, "classes"), "classes")
-    for name in ("pairs", "near", "cohorts", "sets"):
+    classes = scratch.write(components(links, scratch, "links"), "classes")
+    if not hot.isEmpty():
+        cohorts = components(hot, scratch, "cohorts").join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        later = scratch.write(_cohort_links(sets, scratch.write(cohorts, "members"), threshold), "later")
+        if not later.isEmpty():
+            known = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            classes = scratch.write(components(known.unionByName(later), scratch, "all-links"), "all-classes")
+    # an id that stands for several texts may be a copy of several first documents
+    ties = equal.join(equal.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi")
+    ties = ties.unionByName(equal.join(classes.select(F.col("node").alias("id")), "id", "left_semi"))
+    if not ties.isEmpty():
+        known = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        classes = scratch.write(components(known.unionByName(ties.select(F.col("id").alias("a"), F.col("first").alias("b"))), scratch, "tied"), "tied-classes")
+    copies = equal.groupBy("id").agg(F.min("first").alias("node"))
+    attached = copies.join(classes, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    placed = classes.withColumnRenamed("node", "id").join(copies.select("id"), "id", "left_anti").unionByName(attached)
+    for name in ("pairs", "firsts", "signed", "counts", "hot", "near", "sets", "links", "members", "later"):
         scratch.drop(name)
-    out = feats.select("id", "n_shingles").join(classes.withColumnRenamed("node", "id"), "id", "left")
+    out = feats.select("id", "n_shingles").join(placed, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
