@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pytest
-from test_text_and_join import brute
 
 from stratum.llm import jaccard_join, text
 from stratum.llm.jaccard_join import K2, N2, RANGE_FEW, SUBSETS, Signer, ngram_jaccard_components
 
+from .test_text_and_join import brute
+
 U = np.uint64
 
 
