@@ -22,15 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, parts, ship
 from .components import components
 from .vectors import by_width, matrix, usable, widths
 
-#: Rows the upper levels are fitted on, cells at most, rows that a cell is meant for and a block holds.
-SAMPLE, CELLS_MOST, BLOCK = 20_000, 4_096, 8_192
+#: Rows the upper levels are fitted on, cells at most, rows that a cell is meant for and a block holds at most, and at least where there are more tasks than that asks for.
+SAMPLE, CELLS_MOST, BLOCK, BLOCK_LEAST = 20_000, 4_096, 8_192, 256
 #: Rows to a side of one matrix product; the radius of the lowest level.
 SIDE, LOWEST = 1_024, 2.0**-6
-_EPS = 1e-7
+#: Slack of distances, and of dot products in single precision, which only tell what is looked at in double precision.
+_EPS, _ROUGH = 1e-7, 1e-5
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -47,18 +48,40 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tree:
     """Levels from the root down: rows that are centres, their covering radii and where their children start.
 
-    Centres and rows are in the order of the tree, so the children of a centre follow one another,
-    and so do the rows below it (``starts``, one level deeper than the last).
+    Centres and rows are in the order of the tree: the children of a centre follow one another, and
+    so do the rows below it (``below``), of which the first is the centre itself.  ``starts`` tells
+    for the nodes of a level where their children start in the next.
     """
 
     x: np.ndarray
-    order: np.ndarray
+    short: np.ndarray
     centers: list[np.ndarray]
     radii: list[np.ndarray]
     starts: list[np.ndarray]
     below: list[np.ndarray]
 
 
+def tree_of(x: np.ndarray, paths: np.ndarray) -> Tree:
+    """The tree of rows in its order, from the node that each row has at each level.
+
+    Where some of a tree's rows are missing, the first row left of a node is its centre; covering
+    radii are taken anew, so they are exact in any case.
+    """
+    tree = Tree(x, x.astype(np.float32), [], [], [], [])
+    for path in paths.T:
+        first = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
+        edges = np.append(first, len(x))
+        center = np.repeat(first, np.diff(edges))
+        far = np.empty(len(x))
+        for i in range(0, len(x), SIDE):
+            far[i : i + SIDE] = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x[i : i + SIDE], x[center[i : i + SIDE]])))
+        tree.centers.append(first)
+        tree.radii.append(np.maximum.reduceat(far, first))
+        tree.below.append(edges)
+    tree.starts = [np.searchsorted(inner, outer) for outer, inner in zip(tree.below[:-1], tree.below[1:], strict=True)]
+    return tree
+
+
 def _nearest(x: np.ndarray, picked: list[int], near: np.ndarray, own: np.ndarray, start: int) -> None:
     """Bring ``near`` and ``own``, the nearest of the first ``start`` centres, up to date."""
     for j in range(start, len(picked), SIDE):
@@ -105,12 +128,11 @@ def upper_levels(x: np.ndarray, most: int) -> np.ndarray:
     return x[picked]
 
 
-def build(x: np.ndarray) -> Tree:
-    """The cover tree of rows of length 1."""
+def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cover tree of rows of length 1: the order of its rows, and the node that each of them, so ordered, has at each level."""
     n = len(x)
     picked, near, own = [0], distance(x, x[:1])[:, 0], np.zeros(n, np.int64)
-    levels, radius = [own.copy()], 2.0  # the centre of each row at each level
-    counts = [1]
+    levels, counts, radius = [own.copy()], [1], 2.0  # the centre of each row at each level
     while radius > LOWEST and len(picked) < n:
         radius /= 2
         before = len(picked)
@@ -119,38 +141,21 @@ def build(x: np.ndarray) -> Tree:
             levels.append(own.copy())
             counts.append(len(picked))
     rows = np.array(picked)
-    # a centre hangs below the centre that its own row belongs to, a row below that of its lowest centre
+    # a centre hangs below the centre that its own row belongs to; its own child comes first, as it was picked first
+    place = [np.zeros(1, np.int64)]
     parents = [levels[k][rows[: counts[k + 1]]] for k in range(len(levels) - 1)]
-    place = [np.zeros(1, np.int64)]  # of each centre in its level
     for parent in parents:
         at = np.empty(len(parent), np.int64)
         at[np.lexsort((np.arange(len(parent)), place[-1][parent]))] = np.arange(len(parent))
         place.append(at)
-    leaf = place[-1][levels[-1]]
-    order = np.argsort(leaf, kind="stable")
-    x, leaf = x[order], leaf[order]
-    tree = Tree(x, order, [], [], [], [])
-    up = leaf  # of each row, its node of the level, from the lowest level up
+    leaf = levels[-1]
+    order = np.lexsort((rows[leaf] != np.arange(n), place[-1][leaf]))
+    up, paths = leaf[order], []
     for k in range(len(levels) - 1, -1, -1):
-        center = np.empty(counts[k], np.int64)
-        center[place[k]] = rows[: counts[k]]
-        where = np.empty(n, np.int64)
-        where[order] = np.arange(n)
-        center = where[center]
-        far = np.empty(n)
-        for i in range(0, n, SIDE):
-            far[i : i + SIDE] = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x[i : i + SIDE], x[center[up[i : i + SIDE]]])))
-        edges = np.searchsorted(up, np.arange(counts[k] + 1))
-        tree.centers.insert(0, center)
-        tree.radii.insert(0, np.maximum.reduceat(far, edges[:-1]))
-        tree.below.insert(0, edges)
+        paths.insert(0, place[k][up])
         if k:
-            above = np.empty(counts[k], np.int64)
-            above[place[k]] = place[k - 1][parents[k - 1]]
-            tree.starts.insert(0, np.searchsorted(above, np.arange(counts[k - 1] + 1)))
-            up = above[up]
-    tree.starts.append(tree.below[-1])
-    return tree
+            up = parents[k - 1][up]
+    return order, np.column_stack(paths)
 
 
 def _spans(starts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -180,13 +185,15 @@ def dual_traversal(a: Tree, b: Tree, cosine: float, seen: list[int] | None = Non
                 left = own[p : p + SIDE]
                 for q in range(0, len(met), SIDE):
                     right = met[q : q + SIDE]
-                    dots = a.x[a.centers[i][left]] @ b.x[b.centers[j][right]].T
+                    dots = a.short[a.centers[i][left]] @ b.short[b.centers[j][right]].T
                     seen[0] += dots.size
                     ra, rb = a.radii[i][left], b.radii[j][right]
                     limit = ra + rb.max() + reach + _EPS
-                    s, t = np.nonzero(dots >= (1 - 0.5 * np.minimum(limit, 2) ** 2)[:, None] - _EPS)
-                    d = np.sqrt(np.maximum(0, 2 - 2 * dots[s, t]))
-                    whole = d + ra[s] + rb[t] < reach - _EPS
+                    s, t = np.nonzero(dots >= (1 - 0.5 * np.minimum(limit, 2) ** 2 - _ROUGH).astype(np.float32)[:, None])
+                    near = dots[s, t] >= 1 - 0.5 * np.minimum(ra[s] + rb[t] + reach + _EPS, 2) ** 2 - _ROUGH
+                    s, t = s[near], t[near]
+                    d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.x[a.centers[i][left[s]]], b.x[b.centers[j][right[t]]])))
+                    whole = d + ra[s] + rb[t] < reach - _EPS if len(d) else np.zeros(0, bool)
                     for u, v in zip(left[s[whole]].tolist(), right[t[whole]].tolist(), strict=True):
                         yield np.arange(a.below[i][u], a.below[i][u + 1]), np.arange(b.below[j][v], b.below[j][v + 1]), None
                     near = (d <= ra[s] + rb[t] + reach + _EPS) & ~whole
@@ -207,15 +214,23 @@ def dual_traversal(a: Tree, b: Tree, cosine: float, seen: list[int] | None = Non
                     yield left[p : p + SIDE], right, hits
 
 
-def _links(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, side: np.ndarray, cosine: float) -> pa.Table:
-    """Weighted link counts of the rows of a block, or of two blocks, and edges that join what is linked."""
+def _links(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, side: np.ndarray, paths: list[np.ndarray], cosine: float) -> pa.Table:
+    """Weighted link counts of the rows of a block, or of two blocks, and edges that join what is linked.
+
+    Rows come with their paths; two paths of a block differ where their rows are in different nodes.
+    """
     same = bool((side == 2).all())
     one, two = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
     if not len(one) or not len(two):
         return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-    a = build(x[one])
-    b = a if same else build(x[two])
-    one, two = one[a.order], two[b.order]
+
+    def tree(at: np.ndarray) -> tuple[np.ndarray, Tree]:
+        path = np.stack([paths[i] for i in at])  # levels of the tree, then the row's place in its order
+        at, path = at[np.argsort(path[:, -1])], path[np.argsort(path[:, -1])]
+        return at, tree_of(x[at], path[:, :-1])
+
+    one, a = tree(one)
+    two, b = (one, a) if same else tree(two)
     links, top, pairs = np.zeros(len(ids), np.int64), ids.copy(), []
     for p, q, hits in dual_traversal(a, b, cosine):
         p, q = one[p], two[q]
@@ -295,37 +310,53 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, id_col: str = "vec_i
     scratch.drop("units")
     figures = dealt.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()  # a row for each cell
     radius, many = np.full(len(centers) + len(other), -np.inf), np.zeros(len(centers) + len(other), dtype=np.int64)
+    # pairs of blocks are the tasks: as many blocks as give each task of a shuffle a pair, where there are rows enough
+    block_rows = min(BLOCK, max(BLOCK_LEAST, math.ceil(sum(n for _, n in known) / math.sqrt(2 * parts(spark)))))
     for r in figures:
-        radius[r["cell"]], many[r["cell"]] = r["far"], -(-r["n"] // BLOCK)
+        radius[r["cell"]], many[r["cell"]] = r["far"], -(-r["n"] // block_rows)
     first = np.cumsum(many) - many
     plan = spark.sparkContext.broadcast((radius, first, many))
     reach = math.sqrt(2 - 2 * cosine)
 
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, many = plan.value
+        for b in batches:
+            cell = b.column(3).to_numpy()
+            mixed = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            own = first[cell] + mixed.astype(np.int64) % many[cell]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(own)], ["id", "weight", "u", "cell", "block"])
+
+    def plant(part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        order, path = build(matrix(part["u"]))
+        return part.take(pa.array(order)).append_column("path", pa.array(list(np.column_stack([path, np.arange(len(path))]).astype(np.int32)), pa.list_(pa.int32())))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row to its own block, and to each pair of it with a block whose cell can hold a neighbour."""
         centers = shared.value[0]
         radius, first, many = plan.value
         for b in batches:
-            mixed = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for at, x in by_width(b.column(2)):
-                cell = b.column(3).to_numpy()[at]
-                block = first[cell] + mixed[at].astype(np.int64) % many[cell]
+                cell, own = b.column(3).to_numpy()[at], b.column(4).to_numpy()[at]
                 if x.shape[1] == centers.shape[1]:
                     i, met = np.nonzero(distance(x, centers) <= radius[None, : len(centers)] + reach + _EPS)
                 else:
                     i, met = np.arange(len(at)), cell
                 times = many[met]
                 i, met = np.repeat(i, times), np.repeat(first[met], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                low, high = np.minimum(block[i], met), np.maximum(block[i], met)
-                side = np.where(low == high, 2, (block[i] == high).astype(np.int64))
+                low, high = np.minimum(own[i], met), np.maximum(own[i], met)
+                side = np.where(low == high, 2, (own[i] == high).astype(np.int64))
                 rows = b.take(pa.array(at[i]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(low), pa.array(high), pa.array(side.astype(np.int8))], ["id", "weight", "u", "low", "high", "side"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), rows.column(5), pa.array(low), pa.array(high), pa.array(side.astype(np.int8))], ["id", "weight", "u", "path", "low", "high", "side"])
 
     def run(part: pa.Table) -> pa.Table:
-        return _links(part["id"].to_numpy(), matrix(part["u"]), part["weight"].to_numpy(), part["side"].to_numpy(), cosine)
+        return _links(part["id"].to_numpy(), matrix(part["u"]), part["weight"].to_numpy(), part["side"].to_numpy(), part["path"].combine_chunks().to_numpy(zero_copy_only=False), cosine)
 
-    met = dealt.mapInArrow(visit, "id long, weight long, u array<double>, low long, high long, side byte")
+    columns = "id long, weight long, u array<double>, cell int, block long"
+    planted = dealt.mapInArrow(block, columns).groupBy("block").applyInArrow(plant, f"{columns}, path array<int>")
+    met = scratch.write(planted, "trees").mapInArrow(visit, "id long, weight long, u array<double>, path array<int>, low long, high long, side byte")
     found = scratch.write(met.groupBy("low", "high").applyInArrow(run, "id long, n long, to long"), "found")
+    scratch.drop("trees")
     scratch.drop("cells")
     counts = found.groupBy("id").agg((F.sum("n") - 1).alias("n_links"))
     equal = rows.join(distinct.select(F.col("v").alias("w"), F.col("id").alias("rep")), F.col("v") == F.col("w")).select("id", "rep")

@@ -37,11 +37,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, parts, ship, small
+from .common import Scratch, free_shuffles, parts, ship, small
 from .components import components
 from .text import ID_BITS, ID_MASK, MAX_DOCS, U, mix, per_text, shingle_keys, text_blocks
 
@@ -57,8 +56,8 @@ FLUSH, BLOCK = 500_000, 256
 
 
 def _domains(docs: DataFrame) -> int:
-    """Bits of the number of domain slices: at least 128, and one for each input partition."""
-    return max(7, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions()))))
+    """Bits of the number of domain slices: at least 128, and one for each input partition up to 65,536."""
+    return min(16, max(7, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions())))))
 
 
 def _tasks(docs: DataFrame, bits: int) -> int:
@@ -120,7 +119,7 @@ def _common(docs: DataFrame, text: str, n: int, bits: int) -> np.ndarray:
         least = row["least"]
     else:
         least = COMMON
-    ids = found.where(F.col("times") >= least).select("id").toPandas()["id"].to_numpy(dtype=np.uint64)
+    ids = found.where(F.col("times") >= least).select("id").toArrow()["id"].to_numpy().astype(U)
     found.unpersist()
     return np.sort(ids)
 
@@ -211,18 +210,60 @@ def _sketch(ids: np.ndarray, size: int) -> bytes:
     return np.minimum(np.bincount((ids >> U(ID_BITS - m)).astype(np.int64), minlength=1 << m), 255).astype(np.uint8).tobytes()
 
 
-def _could_link(a: bytes, b: bytes, threshold: int) -> bool:
-    """False only if the sets behind two sketches can't reach the threshold."""
-    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
-    m = min(len(x), len(y))
-    if x.max(initial=0) == 255 or y.max(initial=0) == 255:
-        return True
-    x, y = x.reshape(m, -1).sum(1), y.reshape(m, -1).sum(1)
-    both, apart = int(x.sum() + y.sum()), int(np.abs(x - y).sum())
-    return 100 * (both - apart) >= threshold * (both + apart)
+def _lists(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, starts) of a binary column of lists of numbers."""
+    data, width = column.buffers()[2], np.dtype(dtype).itemsize
+    starts = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64) // width
+    values = np.frombuffer(data, dtype, (data.size if data is not None else 0) // width) if data is not None else np.zeros(0, dtype)
+    return values, starts
+
+
+def _could_link(a: pa.Array, b: pa.Array, threshold: int) -> np.ndarray:
+    """False only where the sets behind two sketches can't reach the threshold."""
+    (x, at), (y, to) = _lists(a, np.uint8), _lists(b, np.uint8)
+    wide, high = np.diff(at), np.diff(to)
+    out = np.ones(len(a), dtype=bool)
+    for m, k in {*zip(wide.tolist(), high.tolist(), strict=True)}:
+        rows, least = np.flatnonzero((wide == m) & (high == k)), min(m, k)
+        for i in range(0, len(rows), 1024):
+            some = rows[i : i + 1024]
+            u, v = x[at[some][:, None] + np.arange(m)], y[to[some][:, None] + np.arange(k)]
+            full = (u == 255).any(1) | (v == 255).any(1)
+            u, v = (z.reshape(len(some), least, -1).sum(2, dtype=np.int64) for z in (u, v))
+            both, apart = (u + v).sum(1), np.abs(u - v).sum(1)
+            out[some] = full | (100 * (both - apart) >= threshold * (both + apart))
+    return out
+
+
+def _linked(a: pa.Array, b: pa.Array, threshold: int) -> np.ndarray:
+    """Which pairs of sets of shingle ids reach the threshold."""
+    (x, at), (y, to) = _lists(a, U), _lists(b, U)
+    p, q = np.diff(at), np.diff(to)
+    out, ends = np.zeros(len(a), dtype=bool), np.cumsum(p + q)
+    i = 0
+    while i < len(a):  # as many pairs at a time as hold a million ids
+        j = min(max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), "right")), i + 1), i + MAX_DOCS, len(a))
+        owner = np.concatenate((np.repeat(np.arange(j - i, dtype=U), p[i:j]), np.repeat(np.arange(j - i, dtype=U), q[i:j])))
+        keys = np.sort((owner << U(ID_BITS)) | np.concatenate((x[at[i] : at[j]], y[to[i] : to[j]])))
+        inter = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> U(ID_BITS)).astype(np.int64), minlength=j - i)
+        out[i:j] = (100 * inter >= threshold * (p[i:j] + q[i:j] - inter)) & (np.minimum(p[i:j], q[i:j]) > 0)
+        i = j
+    return out
+
+
+def _where(pairs: DataFrame, test) -> DataFrame:  # noqa: ANN001
+    """(a, b) of the rows (a, b, x, y) whose x and y pass ``test``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = pa.array(test(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-def _features(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer) -> DataFrame:
+
+def _features(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer, bits: int) -> DataFrame:
     """One row for each document: size, sketch, signatures without common shingles; of plain ones print and whole-set signatures."""
 
     def lists(sigs: np.ndarray, owner: np.ndarray, texts: int) -> list[np.ndarray]:
@@ -240,7 +281,8 @@ def _features(docs: DataFrame, id_col: str, text: str, n: int, signer: Signer) -
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 x = keys & ID_MASK
                 sigs, owner, few = signer.sign(keys[~signer.is_common(x)], sizes, RANGE_FEW, False)
-                light = [s.tobytes() for s in lists(sigs, owner, texts)]
+                # what of a signature is looked at: its slice, and 32 bits after those of the slice
+                light = [(s >> U(32 - bits)).astype(np.uint32).tobytes() + (s >> U(64 - bits)).astype(np.uint16).tobytes() for s in lists(sigs, owner, texts)]
                 plain = np.flatnonzero(few & (sizes > 0))
                 whole: list[np.ndarray | None] = [None] * texts
                 prints: list[bytes | None] = [None] * texts
@@ -266,25 +308,24 @@ def _pairs(feats: DataFrame, g: float, bits: int, tasks: int) -> DataFrame:
     reach = math.ceil(1000 * -math.log(g)) + 2
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            s, d, q = (np.concatenate(c) for c in zip(*held, strict=True))
+            s, p, d, q = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            p = (s >> U(64 - bits)).astype(np.int64)
-            order = np.argsort(p, kind="stable")
+            order = np.lexsort((d, p))
             at = np.searchsorted(p[order], np.arange((1 << bits) + 1))
-            s, d, q = (s[order] >> U(32 - bits)).astype(np.uint32), d[order], q[order]
-            rows = [(k, s[i:j].tobytes(), d[i:j].tobytes(), q[i:j].tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+            s, d, q = s[order], d[order], q[order]
+            # steps between sorted ids compress, ids don't
+            rows = [(k, s[i:j].tobytes(), np.diff(d[i:j], prepend=0).tobytes(), q[i:j].tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["p", "sig", "doc", "size"])
 
         waiting = 0
         for batch in batches:
             for i, size, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                sigs = np.frombuffer(blob, U)
-                if len(sigs):
-                    held.append((sigs, np.full(len(sigs), i, np.int64), np.full(len(sigs), int(1000 * math.log(size)), np.uint16)))
-                    waiting += len(sigs)
+                if m := len(blob) // 6:
+                    held.append((np.frombuffer(blob, np.uint32, m), np.frombuffer(blob, np.uint16, m, 4 * m), np.full(m, i, np.int64), np.full(m, int(1000 * math.log(size)), np.uint16)))
+                    waiting += m
                 if waiting > FLUSH:
                     yield flush()
                     waiting = 0
@@ -298,7 +339,9 @@ def _pairs(feats: DataFrame, g: float, bits: int, tasks: int) -> DataFrame:
                 got.setdefault(p, []).append(tuple(blobs))
         found = []
         for p in list(got):
-            s, d, q = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*got.pop(p), strict=True), (np.uint32, np.int64, np.uint16), strict=True))
+            blobs = got.pop(p)
+            s, q = (np.frombuffer(b"".join(b[c] for b in blobs), t) for c, t in ((0, np.uint32), (2, np.uint16)))
+            d = np.concatenate([np.cumsum(np.frombuffer(b[1], np.int64)) for b in blobs])
             order = np.lexsort((d, s))
             s, d, q = s[order], d[order], q[order].astype(np.int32)
             first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -340,14 +383,6 @@ def _sets(docs: DataFrame, id_col: str, text: str, n: int, wanted: DataFrame, ro
     return mine.mapInArrow(run, "id long, ids binary")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
-    if min(len(a), len(b)) * 100 < threshold * max(len(a), len(b)) or not len(a):
-        return False
-    x = np.sort(np.concatenate((a, b)))
-    inter = int(np.count_nonzero(x[1:] == x[:-1]))
-    return 100 * inter >= threshold * (len(a) + len(b) - inter)
-
-
 def _block_links(docs: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """All links between two blocks of a cohort, or within one, by products of incidence matrices."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -395,16 +430,14 @@ def _cohort_links(sets: DataFrame, cohorts: DataFrame, threshold: int) -> DataFr
     dealt = rows.select("component", F.col("node").alias("id"), F.when(F.col("in_main"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"), F.explode(met).alias("other"))
     dealt = dealt.select("component", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = (pdf["own"] != pdf["i"]).to_numpy().astype(int)
-        sets_ = [np.frombuffer(x, np.uint64) for x in pdf["ids"]]
-        a, b = _block_links(pdf["id"].to_numpy(), side, sets_, threshold)
-        return _forest(pd.DataFrame({"a": a, "b": b}))
+    def run(part: pa.Table) -> pa.Table:
+        side = (part["own"].to_numpy() != part["i"].to_numpy()).astype(int)
+        return _forest(*_block_links(part["id"].to_numpy(), side, [np.frombuffer(x, U) for x in part["ids"].to_pylist()], threshold))
 
-    return dealt.join(sets, "id").groupBy("component", "i", "j").applyInPandas(run, "a long, b long")
+    return dealt.join(sets, "id").groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _forest(edges: pd.DataFrame) -> pd.DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.Table:
     """A star to the smallest member for each class that the edges make."""
     up: dict[int, int] = {}
 
@@ -414,12 +447,12 @@ def _forest(edges: pd.DataFrame) -> pd.DataFrame:
             x = up[x]
         return x
 
-    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
-        a, b = top(a), top(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
     nodes = [x for x in up if top(x) != x]
-    return pd.DataFrame({"a": [top(x) for x in nodes], "b": nodes}, dtype="int64")
+    return pa.table({"a": pa.array([top(x) for x in nodes], pa.int64()), "b": pa.array(nodes, pa.int64())})
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80) -> DataFrame:
@@ -440,6 +473,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "jaccard")
     bits = _domains(docs)
     signer = Signer(_common(docs, text_col, n, bits), bits, threshold)
+    free_shuffles(spark)
     shared = spark.sparkContext.broadcast(signer)
 
     class Held:
@@ -453,8 +487,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         def is_common(self, ids):  # noqa: ANN001, ANN202
             return shared.value.is_common(ids)
 
-    feats = scratch.write(_features(docs, id_col, text_col, n, Held()), "features")
+    feats = scratch.write(_features(docs, id_col, text_col, n, Held(), bits), "features")
     shared_pairs = scratch.write(_pairs(feats, signer.g, bits, _tasks(docs, bits)), "pairs")
+    free_shuffles(spark)
 
     plain = feats.where("print is not null and id is not null").select("id", "print", "sigs")
     firsts = scratch.write(plain.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "firsts")
@@ -469,14 +504,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     hot = scratch.write(hot, "hot")
 
     sketches = feats.where("id is not null and sketch is not null").select("id", "sketch")
-    could = F.pandas_udf(lambda a, b: pd.Series([_could_link(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
     near = shared_pairs.where("not wide").select("a", "b").unionByName(few).unionByName(hot).distinct()
     near = near.join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b")
-    near = scratch.write(near.where(could("x", "y")).select("a", "b").distinct(), "near")
+    near = scratch.write(_where(near, lambda x, y: _could_link(x, y, threshold)), "near")
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).union(hot.select("a")).union(hot.select("b")).distinct()
     sets = scratch.write(_sets(docs, id_col, text_col, n, wanted, wanted.count()), "sets")
-    linked = F.pandas_udf(lambda a, b: pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
-    links = near.join(sets.withColumnsRenamed({"id": "a", "ids": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "ids": "y"}), "b").where(linked("x", "y")).select("a", "b")
+    links = near.join(sets.withColumnsRenamed({"id": "a", "ids": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "ids": "y"}), "b")
+    links = _where(links, lambda x, y: _linked(x, y, threshold))
     classes = scratch.write(components(links, scratch, "links"), "classes")
     if not hot.isEmpty():
         cohorts = components(hot, scratch, "cohorts").join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))

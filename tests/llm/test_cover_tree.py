@@ -14,8 +14,9 @@ def clustered(seed=3, groups=200, members=20):
 
 def test_levels_are_nested_separated_and_covered():
     x = clustered(groups=30)
-    tree = cover_tree.build(x)
-    assert np.allclose(tree.x, x[tree.order]) and sorted(tree.order.tolist()) == list(range(len(x)))
+    order, paths = cover_tree.build(x)
+    tree = cover_tree.tree_of(x[order], paths)
+    assert sorted(order.tolist()) == list(range(len(x)))
     apart_before = 3.0
     for k, (centers, radii, below) in enumerate(zip(tree.centers, tree.radii, tree.below, strict=True)):
         assert set(tree.centers[k - 1].tolist()) <= set(centers.tolist()) or not k  # nested
@@ -23,12 +24,23 @@ def test_levels_are_nested_separated_and_covered():
         assert len(centers) == 1 or d.min() <= apart_before
         apart_before = d.min()
         for c, radius, lo, hi in zip(centers, radii, below, below[1:], strict=False):
-            assert lo <= c < hi  # a centre is among the rows below it
+            assert lo == c < hi  # a centre is the first of the rows below it
             assert abs(cover_tree.distance(tree.x[[c]], tree.x[lo:hi]).max() - radius) < 1e-6
         if k + 1 < len(tree.centers):
             assert (tree.below[k + 1][tree.starts[k]] == below).all()  # children hold what their parent holds
 
 
+def test_a_part_of_a_tree_finds_the_links_of_its_rows():
+    x = clustered(groups=30)
+    order, paths = cover_tree.build(x)
+    some = np.flatnonzero(np.random.default_rng(0).random(len(x)) < 0.4)
+    part, whole = cover_tree.tree_of(x[order][some], paths[some]), cover_tree.tree_of(x[order], paths)
+    got = np.zeros((len(some), len(x)), dtype=bool)
+    for p, q, hits in cover_tree.dual_traversal(part, whole, 0.95):
+        got[np.ix_(p, q)] |= True if hits is None else hits
+    assert (got == (x[order][some] @ x[order].T >= 0.95)).all()
+
+
 def test_separation_halves():
     x = clustered(groups=30)
     picked, near, own = [0], cover_tree.distance(x, x[:1])[:, 0], np.zeros(len(x), np.int64)
@@ -40,7 +52,8 @@ def test_separation_halves():
 
 def test_clustered_vectors_are_mostly_pruned():
     x = clustered()
-    tree, seen, pairs = cover_tree.build(x), [0], 0
+    order, paths = cover_tree.build(x)
+    tree, seen, pairs = cover_tree.tree_of(x[order], paths), [0], 0
     for p, q, hits in cover_tree.dual_traversal(tree, tree, 0.95, seen):
         pairs += len(p) * len(q) if hits is None else int(hits.sum())
     assert pairs == int((x @ x.T >= 0.95).sum()) and seen[0] < 0.05 * len(x) ** 2
@@ -49,6 +62,7 @@ def test_clustered_vectors_are_mostly_pruned():
 @pytest.mark.parametrize("block", [8192, 64])
 def test_blocks_cells_and_widths(spark, monkeypatch, block):
     monkeypatch.setattr(cover_tree, "BLOCK", block)
+    monkeypatch.setattr(cover_tree, "BLOCK_LEAST", block)
     x = np.concatenate([clustered(groups=12, members=15), clustered(5, 6, 15)])
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(1000, [1.0, 2.0]), (1001, [2.0, 4.0]), (1002, [2.0, -1.0]), (1003, [3.0]), (1003, [-3.0]), (1004, [-5.0])]

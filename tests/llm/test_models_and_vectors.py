@@ -168,8 +168,9 @@ def test_dual_traversal_finds_all_pairs(seed, cosine):
     a, b = (cover_tree.unit(np.repeat(rnd.normal(size=(9, 3)), 9, axis=0) + 0.05 * rnd.normal(size=(81, 3))) for _ in range(2))
     got = np.zeros((81, 81), dtype=bool)
     left, right = cover_tree.build(a), cover_tree.build(b)
-    for p, q, hits in cover_tree.dual_traversal(left, right, cosine):
-        got[np.ix_(left.order[p], right.order[q])] |= True if hits is None else hits
+    trees = cover_tree.tree_of(a[left[0]], left[1]), cover_tree.tree_of(b[right[0]], right[1])
+    for p, q, hits in cover_tree.dual_traversal(*trees, cosine):
+        got[np.ix_(left[0][p], right[0][q])] |= True if hits is None else hits
     assert (got == (a @ b.T >= cosine)).all()
 
 
