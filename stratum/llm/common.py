@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -21,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is configured (tests), a local one."""
+    """The folder that driver and executors share; only a session on one machine may go without and use a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_at.isDefined():
             return set_at.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stratum-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -47,10 +51,36 @@ def ship(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables in the shared folder that cut lineage; one folder for each run of an operator."""
+    """Tables in the shared folder that cut lineage; one folder for each run of an operator.
+
+    An operator's result reads from its tables, so they outlive it: whoever has written or consumed
+    the result drops them with ``Scratch.drop_all``; a session that ends drops what is left.
+    """
+
+    _live: dict[str, Scratch] = {}
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.at = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not Scratch._live:
+            atexit.register(Scratch._at_exit, spark)
+        Scratch._live[self.at] = self
+
+    @staticmethod
+    def _at_exit(spark: SparkSession) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            Scratch.drop_all(spark)
+
+    @staticmethod
+    def live() -> set[str]:
+        """Folders not yet dropped."""
+        return set(Scratch._live)
+
+    @staticmethod
+    def drop_all(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+        """Drop all folders but those to ``keep``."""
+        for at, scratch in list(Scratch._live.items()):
+            if at not in keep and scratch.spark is spark and spark.sparkContext._jsc is not None:
+                scratch.drop()
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
@@ -63,6 +93,8 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.at)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if not name:
+            Scratch._live.pop(self.at, None)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

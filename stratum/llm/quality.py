@@ -16,12 +16,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Scratch, ship, small
 from .text import ID_BITS, ID_MASK, U, text_blocks, word_hashes, word_spans
 
-#: Labelled rows to fit on at most (those with the smallest hashes of their ids), words to a head, and how often and how clearly a word must tell.
-TRAIN_ROWS, HEAD_WORDS, LEAST_DOCS, LEAST_Z = 10_000, 300, 5, 6.0
+#: Labelled rows to fit on at most (those with the smallest hashes of their ids), distinct words of each that the fit looks at
+#: (those with the smallest hashes), words to a head, and how often and how clearly a word must tell.
+TRAIN_ROWS, TRAIN_WORDS, HEAD_WORDS, LEAST_DOCS, LEAST_Z = 10_000, 4_096, 300, 5, 6.0
 HEADS = ("quality", "toxic")
 DENSE = 12
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -137,66 +139,67 @@ def fit_heads(stats: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) ->
     return Heads(mean, scale, weights[1 : 1 + DENSE], vocabulary[picked].astype(U), weights[1 + DENSE :], weights[0])
 
 
-def train_heads(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Heads:
-    """Fit on at most ``rows`` labelled documents; rows without an id or a label say nothing."""
-    sample = labels.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = sample.select(F.col(id_col).cast("long").alias("id"), *(F.col(h).cast("double") for h in HEADS))
+def train_heads(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> Heads:
+    """Fit on at most ``rows`` labelled documents; rows without an id or a label say nothing.
+
+    Where labels of an id differ, the worse one holds: good only if all say good, toxic if one does.
+    Where documents share an id, one of them is taken, by the order of their figures.  The driver
+    gets ``rows`` rows of ``words`` numbers at most, however many copies and words there are.
+    """
+    sample = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), *(F.col(f"`{h}`").cast("double").alias(h) for h in HEADS)).where("id is not null")
+    sample = sample.groupBy("id").agg(F.min(HEADS[0]).alias(HEADS[0]), F.max(HEADS[1]).alias(HEADS[1])).orderBy(F.xxhash64("id"), "id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, buf, offs in text_blocks(batch.column(0)):
+            for at, buf, offs in text_blocks(batch.column(1)):
                 n = len(offs) - 1
                 stats, keys = text_features(buf, offs)
                 cut = np.searchsorted((keys >> U(ID_BITS)).astype(np.int64), np.arange(n + 1))
                 ids = (keys & ID_MASK).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(stats), pa.list_(pa.float64())), pa.array([ids[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())), *(batch.column(1 + h).slice(at, n) for h in range(2))], ["stats", "words", *HEADS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(list(stats), pa.list_(pa.float64())), pa.array([ids[i : min(j, i + words)] for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64()))], ["id", "stats", "words"])
 
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    got = own.join(F.broadcast(sample), "id").select("text", *HEADS).mapInArrow(run, "stats array<double>, words array<long>, quality double, toxic double").toArrow()
+    figures = own.join(F.broadcast(sample.select("id")), "id", "left_semi").mapInArrow(run, "id long, stats array<double>, words array<long>")
+    figures = figures.groupBy("id").agg(F.min(F.struct("stats", "words")).alias("f")).select("id", "f.stats", "f.words")
+    got = figures.join(F.broadcast(sample), "id").toArrow().sort_by("id")
     stats = np.array(got["stats"].to_pylist(), dtype=float).reshape(-1, DENSE)
-    words = got["words"].combine_chunks()
-    cut = words.offsets.to_numpy()
-    flat = words.values.to_numpy(zero_copy_only=False).astype(U)
-    listed = [flat[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    y = np.column_stack([got[h].to_numpy() for h in HEADS]).astype(float)
-    # an order of its own, so that a rerun adds up the same numbers in the same order
-    order = sorted(range(len(listed)), key=lambda i: (len(listed[i]), listed[i].tobytes(), tuple(y[i])))
-    return fit_heads(stats[order], [listed[i] for i in order], y[order])
+    flat, cut = got["words"].combine_chunks(), got["words"].combine_chunks().offsets.to_numpy()
+    flat = flat.values.to_numpy(zero_copy_only=False).astype(U)
+    return fit_heads(stats, [flat[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], np.column_stack([got[h].to_numpy() for h in HEADS]).astype(float))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    """Host and first path part of a URL column, for tables that have one."""
+    """Host and first path part of a URL column, for tables that have one: ``judge(..., host=h, path=p)``."""
     return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1)), F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*/([^/?#]*)", 1)
 
 
-def _scored(docs: DataFrame, text_col: str, heads: Heads) -> DataFrame:
-    """``docs`` with columns __lq and __lt, the log-odds of both heads."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(heads)
-    at = docs.columns.index(text_col)
+def scored(docs: DataFrame, text: Column, heads: Heads, row: Column, host: Column, path: Column) -> DataFrame:
+    """(row, host, path, lq, lt): the log-odds of both heads beside what ``row`` holds."""
+    shared = docs.sparkSession.sparkContext.broadcast(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = [shared.value.log_odds(buf, offs) for _, buf, offs in text_blocks(batch.column(at))]
+            odds = [shared.value.log_odds(buf, offs) for _, buf, offs in text_blocks(batch.column(3))]
             odds = np.concatenate(odds) if odds else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds[:, 0]), pa.array(odds[:, 1])], [*batch.schema.names, "__lq", "__lt"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(odds[:, 0]), pa.array(odds[:, 1])], ["row", "host", "path", "lq", "lt"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, __lq double, __lt double")
+    rows = docs.select(row.alias("row"), host.alias("host"), path.alias("path"), text.alias("text"))
+    schema = StructType([*rows.schema.fields[:3], StructField("lq", DoubleType()), StructField("lt", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def site_priors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+def site_priors(evidence: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     """(host, path, add_q, add_t): what a site's prior adds to the log-odds; and the global figures.
 
-    ``scored``: columns host, path, __lq, __lt.  Sums are combined before the shuffle, so a host
+    ``evidence``: columns host, path, lq, lt.  Sums are combined before the shuffle, so a host
     with most of the rows costs no more than another.  Strengths come by moments from the spread
     of the shares of hosts (of paths within hosts) beyond what chance would give.
     """
-    sites = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(_sigmoid(F.col("__lq"))).alias("q"), F.sum(_sigmoid(F.col("__lt"))).alias("t"))
+    sites = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(_sigmoid(F.col("lq"))).alias("q"), F.sum(_sigmoid(F.col("lt"))).alias("t"))
     hosts = sites.groupBy("host").agg(*(F.sum(c).alias(f"h_{c}") for c in "nqt"), F.count("*").alias("paths"))
     total = hosts.agg(*(F.sum(f"h_{c}").alias(c) for c in "nqt"), F.count("*").alias("hosts")).first()
     n = float(total["n"] or 0)
@@ -222,23 +225,27 @@ def site_priors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     return both.select("host", "path", "add_q", "add_t"), known
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", path: str | Column = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
-    """Every row of ``docs`` with __p_quality, __p_toxic and __kept.
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", path: str | Column = "lang", columns: list[str] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(row, p_quality, p_toxic, kept) of every row of ``docs``; ``row`` is a struct of its ``columns`` (all).
+
+    A row is kept when its posterior odds say good quality and not toxic (each at even odds).  Every
+    text is scored once: the scores are written with ``row``, and the priors of the sites, which
+    need all scores, are joined to what was written.
 
-    A row is kept when its posterior odds say good quality and not toxic (each at even odds).
-    A null or empty text is judged by its statistics and site alone; null hosts and paths are
-    sites of their own; rows that repeat are judged alike; without labels everything is kept.
+    A null or empty text is judged by its statistics and site alone; very long texts are judged
+    whole; null hosts and paths are sites of their own; rows that repeat are judged alike; without
+    labels everything is kept; an empty table gives an empty result.  The row's own columns sit in
+    a struct, so no name can clash.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "quality")
     heads = train_heads(docs, labels, id_col, text_col, rows)
-    named = docs.withColumns({"__host": F.col(host) if isinstance(host, str) else host, "__path": F.col(path) if isinstance(path, str) else path})
-    thin = _scored(named.select("__host", "__path", text_col), text_col, heads).select(F.col("__host").alias("host"), F.col("__path").alias("path"), "__lq", "__lt")
-    priors, _ = site_priors(scratch.write(thin, "evidence"))
-    priors = scratch.write(priors, "priors")
-    scratch.drop("evidence")
-    full = _scored(named, text_col, heads)
-    out = full.join(small(priors, priors.count()), full["__host"].eqNullSafe(priors["host"]) & full["__path"].eqNullSafe(priors["path"]), "left")
-    odds = {c: F.col(f"__l{c}") + F.coalesce(F.col(f"add_{c}"), F.lit(0.0)) for c in "qt"}
-    return out.select(*(full[c] for c in docs.columns), _sigmoid(odds["q"]).alias("__p_quality"), _sigmoid(odds["t"]).alias("__p_toxic"), ((odds["q"] >= 0) & (odds["t"] < 0)).alias("__kept"))
+    place = [F.col(f"`{c}`") if isinstance(c, str) else c for c in (host, path)]
+    kept = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)))
+    evidence = scratch.write(scored(docs, F.col(f"`{text_col}`"), heads, kept, *place), "evidence")
+    priors, _ = site_priors(evidence.select("host", "path", "lq", "lt"))
+    priors = scratch.write(priors.withColumnsRenamed({"host": "h", "path": "p"}), "priors")
+    out = evidence.join(small(priors, priors.count()), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    odds = {c: F.col(f"l{c}") + F.coalesce(F.col(f"add_{c}"), F.lit(0.0)) for c in "qt"}
+    return out.select("row", _sigmoid(odds["q"]).alias("p_quality"), _sigmoid(odds["t"]).alias("p_toxic"), ((odds["q"] >= 0) & (odds["t"] < 0)).alias("kept"))

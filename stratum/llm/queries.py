@@ -29,8 +29,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", F.col("__p_quality").alias("p_quality"), F.col("__p_toxic").alias("p_toxic"), F.col("__kept").alias("kept"))
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+    return judged.select("row.doc_id", "p_quality", "p_toxic", "kept")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,16 +90,16 @@ def test_quality_on_held_out_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([*rows, (9000, None, None, None, None), (9001, "", "en", "hot", 0), (7, rows[7][1], "en", "hot", 1)], schema)
     known = spark.createDataFrame([*labels[:300], (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["__kept"] for r in quality.judge(docs, known).collect()}
+    got = {r["row"]["doc_id"]: r["kept"] for r in quality.judge(docs, known).collect()}
     assert len(got) == 602
     wrong = [i for i, q, t in labels[300:] if got[i] != (q == 1 and t == 0)]
     assert len(wrong) <= 3
-    assert quality.judge(docs.limit(0), known).collect() == [] and quality.judge(docs, known.limit(0)).where("not __kept").count() == 0
+    assert quality.judge(docs.limit(0), known).collect() == [] and quality.judge(docs, known.limit(0)).where("not kept").count() == 0
 
 
 def test_priors_shrink_sparse_sites(spark):
     rows = [("big", "p", 4.0, -4.0)] * 400 + [("bad", "p", -4.0, -4.0)] * 200 + [("small", "p", -4.0, -4.0)] + [(None, None, 4.0, -4.0)]
-    priors, known = quality.site_priors(spark.createDataFrame(rows, "host string, path string, __lq double, __lt double"))
+    priors, known = quality.site_priors(spark.createDataFrame(rows, "host string, path string, lq double, lt double"))
     add = {r["host"]: r["add_q"] for r in priors.collect()}
     assert add["bad"] < add["small"] < 0 < add["big"] and 0.5 < known["q"] < 0.8
 
