@@ -46,8 +46,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``copies`` is the whole part of rate = target / source_size, plus one when the row's seeded
     draw falls below the fraction, so a row is never taken more than ``ceil(cap)`` times and
-    reruns agree.  A null text has size 0; a null source is a source of its own; rows that share
-    an id share the draw.  The row's own columns sit in the struct, so no name can clash.
+    reruns agree.  A null text has size 0, a very long one is counted whole; a null source is a
+    source of its own; rows that share an id share the draw; an empty table gives an empty result.
+    The row's own columns sit in the struct, so no name can clash.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("key"), word_count(F.col(f"`{text_col}`")).alias("size"))

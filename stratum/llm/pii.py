@@ -52,7 +52,8 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     """Leftmost non-overlapping matches of each fixed kind that pass its check."""
     out: dict[str, list[Span]] = {"email": list(_emails(text)), "ip": [], "card": [], "phone": []}
     for m in _IP.finditer(text):
-        if all(int(p) <= 255 if len(p) < 1000 else not p.strip("0") for p in m.group().split(".")):
+        # leading zeros add nothing, however many; int() wouldn't take very long parts
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out["ip"].append(m.span())
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
@@ -178,8 +179,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row of ``docs``.
 
     Counts and digest are of the base spans; ``spans`` has those of the field too, as
-    kind:start:end in code points by kind, then start.  A null or empty text has none; null ids
-    and repeated rows are kept as they are; other columns are ignored.
+    kind:start:end in code points by kind, then start.  A null or empty text has none; very long
+    texts are read whole; null ids and repeated rows are kept as they are; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -211,7 +213,8 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with personal data replaced by ``<KIND>``; ``length_col``, if given, counts anew.
 
-    Null texts stay null; all other columns and all rows are kept.
+    Null texts stay null; very long ones are read whole; all other columns, whatever their names,
+    and all rows are kept; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -221,14 +224,16 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(at)
+            row = batch.column(0)
+            columns = row.flatten()
+            column = columns[at]
             null = column.is_null().to_pylist()
             out = [None if null[i] else redacted(text, spans) for i, text, _, spans in all_spans(crf.value, column)]
-            columns = list(batch.columns)
             columns[at] = pa.array(out, column.type)
             if length_col is not None:
                 j = names.index(length_col)
                 columns[j] = pa.array([None if x is None else len(x) for x in out], columns[j].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type))], ["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))  # names with dots can't be passed one by one
+    return rows.mapInArrow(run, rows.schema).select("row.*")

@@ -8,9 +8,13 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import Scratch
+
 #: Cells of the ring; a key lies in the cell of its hash, a virtual node at the end of its cell.
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
+#: Equal rows dealt out in one piece.
+RUN = 10_000
 
 
 def ring(shards: int, vnodes: int, seed: str = "ring") -> list[tuple[int, int]]:
@@ -67,21 +71,30 @@ def deal(counts: dict[int, int], shards: int, vnodes: int = 64, slack: float = 0
 def bounded_load_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, vnodes: int = 64, slack: float = 0.0, seed: str = "ring") -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every row; slots count from 0 without gaps in each shard.
 
-    A row's place on the ring is the hash of its id.  ``size``: UTF-8 bytes of the text plus 1
-    (1 for null), ``text_crc32``: of the same bytes.  Rows with the same or a null id share a
-    place and are told apart by checksum and size; repeated rows get slots of their own.  An
-    empty table gives an empty result, other columns are ignored.
+    ``size``: UTF-8 bytes of the text plus 1 (1 for null), ``text_crc32``: of the same bytes, of a
+    very long text too.  A row's key on the ring is its id, checksum and size, so rows that share an
+    id, or have none, spread like others; rows equal in all three are counted before the shuffle
+    and dealt out again from their count, so any number of them costs no more than one.  An empty
+    table gives an empty result; other columns are ignored, whatever their names.
 
     Only counts per ring cell (``CELLS`` at most, whatever the input) reach the driver, and the
-    table of cells that goes back is as bounded.
+    table of cells that goes back has a row for each cell and shard boundary, so it is as bounded
+    and may be broadcast.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    place = F.xxhash64(F.col(f"`{id_col}`"))
-    keys = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place.alias("place"), F.shiftrightunsigned(place, 64 - CELL_BITS).cast("int").alias("cell"))
-    counts = {r["cell"]: r["count"] for r in keys.groupBy("cell").count().collect()}
+    keys = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    keys = keys.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("place", F.xxhash64("id", "size", "text_crc32"))
+    scratch = Scratch(docs.sparkSession, "shards")
+    keys = scratch.write(keys.withColumn("cell", F.shiftrightunsigned("place", 64 - CELL_BITS).cast("int")), "keys")
+    counts = {r["cell"]: r["n"] for r in keys.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     cells = pd.DataFrame(deal(counts, shards, vnodes, slack, seed), columns=["cell", "lo", "hi", "shard", "base"])
     cells = docs.sparkSession.createDataFrame(cells, "cell int, lo long, hi long, shard int, base long")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("place", "id", "text_crc32", "size")) - 1
-    ranked = keys.withColumn("rank", rank.cast("long"))
-    out = ranked.join(F.broadcast(cells), "cell").where("rank >= lo and rank < hi")
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
+    # the keys' ranks in their cell are runs from ``start`` on; a run that crosses a boundary is in two shards
+    before = F.sum("n").over(Window.partitionBy("cell").orderBy("place", "id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1))
+    runs = keys.withColumn("start", F.coalesce(before, F.lit(0))).join(F.broadcast(cells), "cell").where("start < hi and start + n > lo")
+    first, end = F.greatest("start", "lo"), F.least(F.col("start") + F.col("n"), F.col("hi"))
+    runs = runs.select("id", "size", "text_crc32", "shard", (F.col("base") + first - F.col("lo")).alias("slot"), (end - first).alias("n"))
+    many = runs.where(F.col("n") > RUN).select("id", "size", "text_crc32", "shard", F.explode(F.expr(f"transform(sequence(0, (n - 1) div {RUN}), i -> struct(slot + i * {RUN} as slot, least({RUN}, n - i * {RUN}) as n))")).alias("p"))
+    many = many.select("id", "size", "text_crc32", "shard", "p.slot", "p.n").repartition("slot")
+    out = runs.where(F.col("n") <= RUN).unionByName(many)
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)).alias("slot"))

@@ -9,8 +9,8 @@ costs one ranged read and the decompression of one frame.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -29,16 +29,23 @@ INDEX = "bundle string, page_id long, frame int, at int"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record: a response with its payload, or a revisit that names the response."""
+def record_id(page_id: int | None, digest: str, place: str) -> str:
+    """An id from a record's content and its place in the archive, so rows that repeat or have no page_id differ too."""
+    return f"<{uuid.UUID(bytes=hashlib.sha256(f'{page_id}|{digest}|{place}'.encode()).digest()[:16], version=5).urn}>"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str) -> bytes:
+    """One record: a response with its payload, or a revisit that names the response by its page and payload digest."""
     kind = "response" if refers_to is None else "revisit"
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest, place)), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    if page_id is not None:
+        head.append(("X-Page-ID", str(page_id)))
     if url is not None:
         head.append(("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]-._~")))
     head.append(("WARC-Payload-Digest", f"sha256:{digest}"))
     head.append(("WARC-Payload-Length", str(len(payload))))
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        head += [("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     block = HTTP + (payload if refers_to is None else b"")
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + block + b"\r\n\r\n"
@@ -91,7 +98,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Payload: the text in UTF-8, nothing for null.  Of rows with equal payloads of ``least`` bytes
     or more the one with the smallest id becomes a response, the others revisits of it; rows that
     repeat that smallest id are responses too, and where all ids are null all are responses.
-    Other columns are ignored; an empty table writes no bundle.  Tasks write under names that
+    A very long payload makes a frame of its own size.  Other columns are ignored, whatever their
+    names; an empty table writes no bundle.  Tasks write under names that
     depend on partition and position only, by rename, so a retried task replaces its own files.
     """
     spark = pages.sparkSession
@@ -126,7 +134,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             for i in range(batch.num_rows):
                 page_id, url, data, digest, refers_to = (batch.column(c)[i].as_py() for c in range(5))
                 index.append((page_id, len(frames), len(frame)))
-                frame += record_bytes(page_id, url, data, digest, refers_to)
+                frame += record_bytes(page_id, url, data, digest, refers_to, f"{part}/{n}/{len(frames)}/{len(frame)}")
                 if len(frame) >= FRAME_BYTES:
                     size += cut()
                 if size >= BUNDLE_BYTES:
@@ -146,7 +154,6 @@ def read_warc(bundles: DataFrame) -> DataFrame:
     ship(bundles.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = re.compile(r"<urn:page:(-?\d+)>")
         for batch in batches:
             for bundle in batch.column(0).to_pylist():
                 file = Slice(bundle)
@@ -155,13 +162,13 @@ def read_warc(bundles: DataFrame) -> DataFrame:
                     while at < len(data):
                         head, block, at = parse_record(data, at)
                         digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                        page, refers = number.fullmatch(head["WARC-Record-ID"]), number.fullmatch(head.get("WARC-Refers-To", ""))
+                        page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
                         length = int(head["WARC-Payload-Length"])
                         if head["WARC-Type"] == "response":
                             content = block[block.index(b"\r\n\r\n") + 4 :]
                             if len(content) != length or hashlib.sha256(content).hexdigest() != digest:
                                 raise ValueError(f"{bundle}: {head['WARC-Record-ID']} is damaged")
-                        rows.append((int(page[1]) if page else None, length, digest, head["WARC-Type"], int(refers[1]) if refers else None))
+                        rows.append((None if page is None else int(page), length, digest, head["WARC-Type"], None if refers is None else int(refers)))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 file.close()
 
