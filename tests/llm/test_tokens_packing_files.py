@@ -13,7 +13,6 @@ from stratum.llm import packing, token_files
 from stratum.llm.tokens import default_vocabulary, encoded
 
 TOKENIZER = Tokenizer.from_file(default_vocabulary())
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -107,3 +106,31 @@ def test_round_trip(spark, monkeypatch):
         ids = ids_of(t)
         assert (at, n, i, c) == (start, len(ids), j, crc(ids))
         start += n
+
+
+def test_the_search_lowers_the_count_through_the_operator(spark, monkeypatch):
+    # best fit in falling order leaves a bin too many here; exchanges between underfull bins save it
+    found = None
+    for seed in range(400):
+        rnd = random.Random(seed)
+        lengths = [rnd.randrange(20, 70) for _ in range(14)]
+        plain = packing.best_fit(lengths, 128)
+        better = [b for b in packing.local_search([list(b) for b in plain], lengths, 128) if b]
+        if len(better) < len(plain):
+            found = lengths, len(better)
+            break
+    assert found
+    lengths, fewest = found
+    rows = [(k, " a" * (n - 1)) for k, n in enumerate(lengths)]
+    assert [len(ids_of(t)) for _, t in rows] == lengths
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), cap=128).collect()
+    assert len({r["sequence_id"] for r in got}) == fewest
+
+
+def test_long_texts_and_clashing_names(spark):
+    long = "word, another " * 60_000
+    rows = spark.createDataFrame([(1, long, 1, 2, 3), (2, None, 1, 2, 3)], "doc_id long, text string, `a.b` int, open int, mark int")
+    want = {1: (len(ids_of(long)), crc(ids_of(long))), 2: (1, crc([0]))}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.token_file_round_trip(rows).collect()} == want
+    packed = packing.pack_documents(rows).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 1) == want[1][0] and max(r["length"] for r in packed) <= 2048
