@@ -5,11 +5,12 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stratum.functions.paths import inside, language
@@ -32,18 +33,24 @@ class ChunkConfig:
             raise ValueError("min_split_bytes can't exceed max_bytes")
 
 
-def cuts(data: bytes, config: ChunkConfig, begin: int = 0, stop: int | None = None) -> Iterator[tuple[int, int]]:
-    """Overlapping windows of a byte range, ending after the last line break that leaves them long enough."""
-    stop = len(data) if stop is None else stop
-    while begin < stop:
-        end = min(begin + config.max_bytes, stop)
-        if end < stop:
-            line_end = data.rfind(b"\n", min(begin + config.min_split_bytes, end), end) + 1
-            end = line_end if line_end > begin else end
-        yield begin, end
-        if end >= stop:
-            return
-        begin = max(end - config.overlap_bytes, begin + 1)
+def line_breaks(data: bytes) -> np.ndarray:
+    """Places of all line breaks."""
+    return np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+
+
+def windows(breaks: np.ndarray, config: ChunkConfig, begin: int, stop: int) -> list[tuple[int, int]]:
+    """Overlapping windows of a byte range, given its line breaks.
+
+    A window that doesn't reach the end closes behind the last break in it that is at least
+    ``min_split_bytes`` from its start, where there is one; the next starts ``overlap_bytes`` back.
+    """
+    out = []
+    while begin < stop and (not out or out[-1][1] < stop):
+        full = begin + config.max_bytes
+        last = int(breaks[np.searchsorted(breaks, full) - 1]) if full < stop and len(breaks) and breaks[0] < full else -1
+        out.append((begin, stop if full >= stop else last + 1 if last >= begin + config.min_split_bytes else full))
+        begin = max(out[-1][1] - config.overlap_bytes, begin + 1)
+    return out
 
 
 def python_definitions(data: bytes) -> list[tuple[int, int]]:
@@ -97,28 +104,24 @@ def register_strategy(name: str, strategy: str, finder: Callable[[bytes], list[t
     STRATEGIES[name] = (strategy, finder)
 
 
-def spans(data: bytes, lang: str | None, config: ChunkConfig) -> tuple[str, list[tuple[int, int]]]:
+def spans(data: bytes, lang: str | None, config: ChunkConfig, breaks: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
     """(strategy, byte spans): definitions and the gaps between them, each cut; white space alone is left out."""
     name, finder = STRATEGIES.get(lang or "", ("naive", None))
-    found = finder(data) if finder else []
+    found = sorted(finder(data)) if finder else []
     if not found:
-        return "naive", list(cuts(data, config))
-    pieces, cursor = [], 0
-    for a, b in sorted(found):
-        if a > cursor:
-            pieces.append((cursor, a))
-        pieces.append((a, b))
-        cursor = max(cursor, b)
-    if cursor < len(data):
-        pieces.append((cursor, len(data)))
-    return name, [c for a, b in pieces if data[a:b].strip() for c in cuts(data, config, a, b)]
+        return "naive", windows(breaks, config, 0, len(data))
+    edges = [0, *np.maximum.accumulate([b for _, b in found]).tolist()]
+    gaps = [(a, b) for a, b in zip(edges, [*(a for a, _ in found), len(data)], strict=True) if a < b]
+    pieces = sorted([*found, *gaps])
+    return name, [w for a, b in pieces if data[a:b].strip() for w in windows(breaks, config, a, b)]
 
 
-def chunk_rows(data: bytes, lang: str | None, config: ChunkConfig) -> list[tuple[str, int, int, int, int, bytes]]:
-    """(strategy, start, end, first line, last line, content) of each chunk."""
-    breaks = [i for i, c in enumerate(data) if c == 10]
-    name, found = spans(data, lang, config)
-    return [(name, a, b, bisect_left(breaks, a) + 1, bisect_left(breaks, max(a, b - 1)) + 1, data[a:b]) for a, b in found]
+def chunk_columns(data: bytes, lang: str | None, config: ChunkConfig) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(strategy, spans, first lines, last lines) of a file's chunks."""
+    breaks = line_breaks(data)
+    name, found = spans(data, lang, config, breaks)
+    at = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return name, at, np.searchsorted(breaks, at[:, 0]) + 1, np.searchsorted(breaks, np.maximum(at[:, 0], at[:, 1] - 1)) + 1
 
 
 def chunk_files(files: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
@@ -127,13 +130,21 @@ def chunk_files(files: DataFrame, config: ChunkConfig | None = None) -> DataFram
     rows = files.select("repo_slug", "path", F.col("content").cast("binary").alias("content"), language(F.col("path"), F.make_valid_utf8(F.substring(F.col("content").cast("binary"), 1, 1024).cast("string"))).alias("language"))
     rules = dict(STRATEGIES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         STRATEGIES.update(rules)
-        for pdf in batches:
-            out = [(r.repo_slug, r.path, r.language, s, a, b, i, j, c) for r in pdf.itertuples() for s, a, b, i, j, c in chunk_rows(bytes(r.content or b""), r.language, config)]
-            yield pd.DataFrame(out, columns=["repo_slug", "file_path", "language", "strategy", "start_byte", "end_byte", "start_line", "end_line", "content"])
-
-    chunks = rows.mapInPandas(run, CHUNK)
+        for batch in batches:
+            owner, names, parts, contents = [], [], [], []
+            for i, (content, lang) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
+                data = content.as_py() or b""
+                name, at, first, last = chunk_columns(data, lang, config)
+                owner += [i] * len(at)
+                names += [name] * len(at)
+                parts.append(np.column_stack([at, first, last]))
+                contents += [data[a:b] for a, b in at.tolist()]
+            take, numbers = pa.array(owner, pa.int32()), np.concatenate(parts).astype(np.int32) if parts else np.zeros((0, 4), np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), pa.array(names, pa.string()), *(pa.array(numbers[:, c]) for c in range(4)), pa.array(contents, pa.binary())], ["repo_slug", "file_path", "language", "strategy", "start_byte", "end_byte", "start_line", "end_line", "content"])
+
+    chunks = rows.mapInArrow(run, CHUNK)
     ident = F.concat_ws(":", "repo_slug", "file_path", F.col("start_byte").cast("string"), F.col("end_byte").cast("string"), F.sha2("content", 256))
     return chunks.withColumn("chunk_id", F.sha2(ident, 256))
 

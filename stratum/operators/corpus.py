@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import operator
 import re
 from collections.abc import Iterator, Sequence
@@ -28,13 +27,20 @@ def stride(rows: DataFrame, place: str, rank: int, world: int) -> DataFrame:
 
 
 def sliced(rows: DataFrame, order: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
-    """Rows at start, start + step and so on below ``stop``, with their new ``index``."""
+    """Rows at start, start + step and so on below ``stop`` by a whole-number ``order``, with their new ``index``.
+
+    Rows are counted in blocks of the order, whose counts are added up first, so no task sorts more than a block.
+    """
     if start < 0 or step < 1 or (stop is not None and stop < start):
         raise ValueError("bad slice")
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    rows = rows.withColumn("__place", place).where((F.col("__place") >= start) & (F.pmod(F.col("__place") - start, F.lit(step)) == 0))
+    rows = rows.withColumn("__block", F.floor(F.col(order) / 4096))
+    sums = rows.groupBy("__block").agg(F.count("*").alias("__sum"))
+    before = sums.select("__block", (F.sum("__sum").over(Window.orderBy("__block")) - F.col("__sum")).alias("__before"))
+    rows = rows.join(before if stop is None else before.where(F.col("__before") < stop), "__block")
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1 + F.col("__before"))
+    rows = rows.where((F.col("__place") >= start) & (F.pmod(F.col("__place") - start, F.lit(step)) == 0))
     rows = rows if stop is None else rows.where(F.col("__place") < stop)
-    return rows.withColumn("index", ((F.col("__place") - start) / step).cast("int")).drop("__place")
+    return rows.withColumn("index", ((F.col("__place") - start) / step).cast("int")).drop("__place", "__block", "__before")
 
 
 def mixture(tasks: Sequence[DataFrame], index: str, seed: int = 42) -> DataFrame:
@@ -288,23 +294,72 @@ def combined_reward(correct: Column, bonus: Column) -> Column:
     return F.least(F.lit(1.0), correct * 0.7 + bonus)
 
 
-_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv}
+#: Signs by precedence, lowest first, each with what it does; all join from the left but powers.
+_SIGNS = ({"+": operator.add, "-": operator.sub}, {"*": operator.mul, "/": operator.truediv, "//": operator.floordiv, "%": operator.mod})
+_TOKEN = re.compile(r"\s*(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|\*\*|//|[-+*/%()])")
+#: Largest power of whole numbers that is worked out.
+POWER_BITS = 4_096
+
+
+def _power(x: float, y: float) -> float:
+    if isinstance(x, int) and isinstance(y, int) and y > 0 and x.bit_length() * y > POWER_BITS:
+        raise ValueError("too large")
+    z = x**y
+    if isinstance(z, complex):
+        raise ValueError("not real")
+    return z
 
 
 def arithmetic(text: str) -> float:
-    """The value of an expression of numbers and + - * / // %; anything else is an error."""
-    def value(node: ast.AST) -> float:
-        if isinstance(node, ast.Expression):
-            return value(node.body)
-        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return node.value
-        if isinstance(node, ast.UnaryOp) and type(node.op) in _OPS:
-            return _OPS[type(node.op)](value(node.operand))
-        if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
-            return _OPS[type(node.op)](value(node.left), value(node.right))
+    """The value of an expression of numbers, brackets and + - * / // % **; anything else is an error."""
+    signs, at = [], 0
+    text = text.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError("not arithmetic")
+        signs.append(m[1])
+        at = m.end()
+    signs.append("")
+    place = 0
+
+    def take() -> str:
+        nonlocal place
+        place += 1
+        return signs[place - 1]
+
+    def joined(level: int) -> float:
+        if level == len(_SIGNS):
+            return signed()
+        left = joined(level + 1)
+        while signs[place] in _SIGNS[level]:
+            left = _SIGNS[level][take()](left, joined(level + 1))
+        return left
+
+    def signed() -> float:
+        if signs[place] in ("+", "-"):
+            return -signed() if take() == "-" else signed()
+        base = atom()
+        if signs[place] == "**":
+            take()
+            return _power(base, signed())
+        return base
+
+    def atom() -> float:
+        sign = take()
+        if sign == "(":
+            inner = joined(0)
+            if take() != ")":
+                raise ValueError("not arithmetic")
+            return inner
+        if not sign or not (sign[0].isdigit() or sign[0] == "."):
+            raise ValueError("not arithmetic")
+        return int(sign) if sign.isdigit() else float(sign)
+
+    value = joined(0)
+    if signs[place]:
         raise ValueError("not arithmetic")
-
-    return value(ast.parse(text.strip(), mode="eval"))
+    return value
 
 
 def calculator(text: str) -> str | None:
@@ -313,7 +368,7 @@ def calculator(text: str) -> str | None:
     counted = re.fullmatch(r"""\s*(['"])([^'"]*)\1\.count\((['"])([^'"]*)\3\)\s*""", text)
     try:
         return str(counted[2].count(counted[4])) if counted else None if "**" in text else str(arithmetic(text))
-    except (ValueError, SyntaxError, ZeroDivisionError):
+    except (ValueError, ArithmeticError, RecursionError):
         return None
 
 
@@ -324,7 +379,7 @@ def steps_right(text: str | None) -> float:
         left, eq, right = call.rpartition("=")
         try:
             good += bool(eq) and abs(arithmetic(left) - float(right)) < 1e-6
-        except (ValueError, SyntaxError, ZeroDivisionError):
+        except (ValueError, ArithmeticError, RecursionError):
             pass
     return min(0.3, good * 0.05)
 
@@ -364,6 +419,15 @@ def chain_parts(chain: str, result: str) -> list[tuple[str, str]]:
     return [*out, ("text", f"#### {result}")]
 
 
+def parts_of(text: Column, result: Column | None = None) -> Column:
+    """``answer_parts`` of a column, or ``chain_parts`` where there is a ``result``, in Arrow batches; null has none."""
+    kind = "array<struct<type:string,text:string>>"
+    named = lambda parts: [{"type": t, "text": x} for t, x in parts]
+    if result is None:
+        return F.pandas_udf(lambda s: s.map(lambda x: named(answer_parts(x or ""))), kind)(text)
+    return F.pandas_udf(lambda s, r: pd.Series([named(chain_parts(x or "", y)) for x, y in zip(s, r, strict=True)]), kind)(text, result)
+
+
 def letter_count(word: Column, letter: Column) -> Column:
     return F.length(word) - F.length(F.replace(word, letter, F.lit("")))
 
@@ -371,7 +435,7 @@ def letter_count(word: Column, letter: Column) -> Column:
 def code_block(text: Column) -> Column:
     """The first fenced block of a completion, or all of it."""
     fenced = F.regexp_extract(text, r"(?s)```(?:python)?\s*\n(.*?)```", 1)
-    return F.trim(F.when(fenced != "", fenced).otherwise(text))
+    return F.regexp_replace(F.when(fenced != "", fenced).otherwise(text), r"^\s+|\s+$", "")
 
 
 def leading_imports(text: Column) -> Column:
@@ -395,11 +459,25 @@ def spelling_rows(spark, words: Sequence[str], count: int, test: bool = False) -
 
 
 def few_shot_pool(rows: DataFrame, index: str, shots: int, seed: int = 1234) -> DataFrame:
-    """(index, shot): for each row the ``shots`` other rows that come first in a seeded order of its own.
+    """(index, shot): for each row ``shots`` different other rows, or all others if there are fewer.
 
-    The pool is ``4 * shots + 8`` rows drawn by hash, so no pair of all rows is made.
+    The rows stand in a seeded order.  Each draws steps to rows further on in it, going round the
+    end: one from each of ``shots`` equal parts of the way round, so no two meet, and any row but
+    its own can come.  Places are joined, so no pair of all rows is made.
     """
-    pool = rows.select(F.col(index).alias("shot")).orderBy(F.xxhash64("shot", F.lit(seed)), "shot").limit(4 * shots + 8)
-    pairs = rows.select(index).crossJoin(F.broadcast(pool)).where(F.col(index) != F.col("shot"))
-    order = Window.partitionBy(index).orderBy(F.xxhash64(index, "shot", F.lit(seed)), "shot")
-    return pairs.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= shots).drop("__rank")
+    total = rows.count()
+    if total < 2 or shots < 1:
+        return rows.select(index, F.col(index).alias("shot")).limit(0)
+    shots = min(shots, total - 1)
+    keyed = rows.select(F.col(index), F.xxhash64(F.col(index), F.lit(seed)).alias("__h"))
+    # places in hash order, counted in blocks of the hash
+    keyed = keyed.withColumn("__block", F.shiftright("__h", 48))
+    sums = keyed.groupBy("__block").agg(F.count("*").alias("__n"))
+    before = sums.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__block").orderBy("__h", index)) - 1 + F.col("__before")
+    placed = keyed.join(before, "__block").select(index, place.cast("long").alias("__place"))
+    part = placed.select(index, "__place", F.explode(F.sequence(F.lit(0), F.lit(shots - 1))).alias("__s"))
+    low, high = F.floor(F.col("__s") * (total - 1) / shots), F.floor((F.col("__s") + 1) * (total - 1) / shots)
+    step = 1 + low + F.pmod(F.xxhash64(index, "__s", F.lit(seed)), high - low)
+    drawn = part.select(index, F.pmod(F.col("__place") + step, F.lit(total)).alias("__place"))
+    return drawn.join(placed.withColumnRenamed(index, "shot"), "__place").select(index, "shot")

@@ -73,6 +73,7 @@ BY_NAME = (
     ("jest", "jest", "jest.config.mjs"),
     ("jest", "jest", "jest.config.cjs"),
 )
+# Where pipelines are kept, names of documents for contributors, names of test folders.
 CI_MARKERS = (("github_actions", ".github/workflows/"), ("gitlab_ci", ".gitlab-ci.yml"), ("jenkins", "jenkinsfile"), ("circleci", ".circleci/"), ("travis_ci", ".travis.yml"))
 CONTRIBUTION_DOCS = ("contributing.md", "contributing.rst", "contributing.txt", "code_of_conduct.md", "pull_request_template.md")
 TEST_DIRS = ("tests", "test", "__tests__", "spec")
@@ -117,7 +118,9 @@ def co_changes(touches: DataFrame, min_support: int = MIN_SUPPORT, most: int = M
     Commits of more than ``most`` distinct files are noise and left out, so a row makes ``most *
     (most - 1) / 2`` pairs at most; pairs come from the sorted array of a commit's files without a join.
     """
-    files = touches.groupBy(*by, "sha").agg(F.sort_array(F.collect_set("path")).alias("files")).where(F.size("files").between(2, most))
+    # dealt by commit once: distinct files and a commit's array need no second shuffle
+    files = touches.select(*by, "sha", "path").repartition(*by, "sha").distinct()
+    files = files.groupBy(*by, "sha").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("files")).where(F.col("n").between(2, most))
     pairs = F.flatten(F.transform("files", lambda a, i: F.transform(F.slice("files", i + 2, F.size("files")), lambda b: F.struct(a.alias("file_a"), b.alias("file_b")))))
     counted = files.select(*by, F.explode(pairs).alias("pair")).groupBy(*by, "pair.file_a", "pair.file_b").agg(F.count("*").alias("co_change_count"))
     return counted.where(F.col("co_change_count") >= min_support)
@@ -141,6 +144,12 @@ def top_authors(touches: DataFrame, files: DataFrame | None = None, top: int = T
     return author_counts(touches, by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("first")
 
 
+def file_figures(touches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, path, touch_count, distinct_authors) in one pass over the touches: by file and author, then by file."""
+    people = touches.groupBy(*by, "path", "author").agg(F.count("*").alias("n"))
+    return people.groupBy(*by, "path").agg(F.sum("n").alias("touch_count"), F.count("*").alias("distinct_authors"))
+
+
 def authorship(touches: DataFrame, files: DataFrame | None = None, top: int = TOP_AUTHORS, by: Sequence[str] = ()) -> DataFrame:
     """(by, path, total_commits, distinct_authors, primary_contributors) of files that have commits."""
     if files is not None:
@@ -152,13 +161,15 @@ def authorship(touches: DataFrame, files: DataFrame | None = None, top: int = TO
     return ranked.groupBy(*by, "path").agg(F.sum("commit_count").alias("total_commits"), F.count("*").alias("distinct_authors"), F.transform(F.sort_array(listed), lambda x: F.struct(x["name"].alias("name"), x["commit_count"].alias("commit_count"))).alias("primary_contributors"))
 
 
-def risk_levels(spots: DataFrame, pairs: DataFrame, owners: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def risk_levels(spots: DataFrame, pairs: DataFrame, owners: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Hotspots with a score of churn, authors and coupling, each scaled to its range among the hotspots.
 
+    ``owners`` may be left out where ``spots`` have ``distinct_authors``, as from ``file_figures``.
     A signal that is the same for all hotspots counts 0.5.  Levels are of the score before rounding.
     """
     keys = [*by, "path"]
-    rows = spots.join(owners.select(*keys, "distinct_authors"), keys, "left").join(coupling_degree(pairs, by), keys, "left")
+    rows = spots if owners is None else spots.join(owners.select(*keys, "distinct_authors"), keys, "left")
+    rows = rows.join(coupling_degree(pairs, by), keys, "left")
     rows = rows.withColumns({"distinct_authors": F.coalesce("distinct_authors", F.lit(1)), "co_change_degree": F.coalesce("co_change_degree", F.lit(0))})
     frame = Window.partitionBy(*by)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -81,13 +82,24 @@ def compression(rows: DataFrame, by: str, size: str, tokens: str, base: str) ->
 
 
 def smoothed(rows: DataFrame, by: str, order: str, value: str, beta: float = 0.9) -> DataFrame:
-    """Debiased exponential means along each series, as a fold over its ordered array."""
-    step = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
-    series = rows.groupBy(by).agg(F.sort_array(F.collect_list(step)).alias("s"))
-    start = F.struct(F.lit(0.0).alias("m"), F.array().cast("array<double>").alias("out"))
-    fold = F.aggregate("s", start, lambda a, x: F.struct((a["m"] * beta + x["x"] * (1 - beta)).alias("m"), F.concat(a["out"], F.array((a["m"] * beta + x["x"] * (1 - beta)) / (1 - F.pow(F.lit(beta), F.size(a["out"]) + 1)))).alias("out")))
-    both = series.select(by, F.explode(F.arrays_zip("s", fold["out"].alias("ema"))).alias("r"))
-    return both.select(by, F.col("r.s.o").alias(order), F.col("r.s.x").alias(value), F.col("r.ema").alias("ema"))
+    """(by, order, value, ema): debiased exponential means along each series.
+
+    A mean is a weighted running sum.  Series are cut into blocks over which the weights shrink by
+    ``1e-10``, so sums within a block stay in range, and what three blocks before leave over is
+    added; what older ones would add is below the precision of a double.
+    """
+    block = max(1, math.ceil(math.log(1e-10) / math.log(beta)))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    d = rows.select(by, order, F.col(value).cast("double").alias(value), place.alias("__i"))
+    d = d.withColumns({"__b": F.floor(F.col("__i") / block), "__k": F.col("__i") % block})
+    run = Window.partitionBy(by, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.pow(F.lit(beta), F.col("__k")) * F.sum(F.col(value) * (1 - beta) * F.pow(F.lit(beta), -F.col("__k"))).over(run)
+    d = d.withColumn("__own", own)
+    along, shrink = Window.partitionBy(by).orderBy("__b"), beta**block
+    left = sum((F.coalesce(F.lag("__end", n).over(along), F.lit(0.0)) * shrink ** (n - 1) for n in (1, 2, 3)), F.lit(0.0))
+    ends = d.groupBy(by, "__b").agg(F.max_by("__own", "__i").alias("__end")).select(by, "__b", left.alias("__left"))
+    total = F.col("__own") + F.col("__left") * F.pow(F.lit(beta), F.col("__k") + 1)
+    return d.join(ends, [by, "__b"]).select(by, order, value, (total / (1 - F.pow(F.lit(beta), F.col("__i") + 1))).alias("ema"))
 
 
 def running_min(rows: DataFrame, by: str, order: Sequence[str], value: str) -> DataFrame:
@@ -106,13 +118,24 @@ def power_law(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
     return line_fit(rows, F.log10(x), F.log10(y), by).select(*by, F.col("slope").alias("exponent"), F.pow(F.lit(10.0), "intercept").alias("factor"), "r2")
 
 
+def _with_means(rows: DataFrame, by: Sequence[str], *means: Column) -> DataFrame:
+    """Rows beside their group's means: partial sums go through a shuffle, rows of one group don't meet in a task."""
+    if not by:
+        return rows.crossJoin(rows.agg(*means))  # one row
+    side = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(*means)
+    met = F.lit(True)
+    for c in by:
+        met &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(side, met).drop(*(f"__{c}" for c in by))
+
+
 def parabola(rows: DataFrame, x: Column, y: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by, a, b, c, x_best, y_best): y = a x² + b x + c from the moments, about the mean of x.
+    """(by, a, b, c, x_best, y_best): y = a x² + b x + c from the moments, about the mean of x, all combined before the shuffle.
 
     The best x is the vertex where the curve opens upward, else that of the row with the least y.
     """
-    frame = Window.partitionBy(*by)
-    d = rows.select(*by, x.alias("x"), y.alias("y")).withColumn("m", F.avg("x").over(frame)).withColumn("u", F.col("x") - F.col("m"))
+    d = rows.select(*by, x.alias("x"), y.alias("y"))
+    d = _with_means(d, by, F.avg("x").alias("m")).withColumn("u", F.col("x") - F.col("m"))
     u, yy = F.col("u"), F.col("y")
     s = d.groupBy(*by, "m").agg(F.count("*").alias("n"), *(F.sum(F.pow(u, F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)), *(F.sum(F.pow(u, F.lit(k)) * yy).alias(f"t{k}") for k in (0, 1, 2)), F.min_by("x", "y").alias("x_least"), F.min("y").alias("y_least"))
     # normal equations of u with sum(u) = 0
@@ -136,16 +159,28 @@ def interpolate(rows: DataFrame, by: str, x: str, y: str, at: DataFrame) -> Data
 
 
 def ridge(rows: DataFrame, by: str, features: Sequence[str], target: str, penalty: float = 1.0) -> DataFrame:
-    """(by, intercept, weights, r2): ridge regression whose intercept isn't penalised."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[list(features)].to_numpy(float), pdf[target].to_numpy(float)
-        mx, my = x.mean(0), y.mean()
-        w = np.linalg.solve((x - mx).T @ (x - mx) + penalty * np.eye(x.shape[1]), (x - mx).T @ (y - my))
-        rest = ((y - my - (x - mx) @ w) ** 2).sum()
-        spread = ((y - my) ** 2).sum()
-        return pd.DataFrame([{by: pdf[by].iloc[0], "intercept": my - mx @ w, "weights": w.tolist(), "r2": 1 - rest / spread if spread else None}])
-
-    return rows.select(by, *features, target).groupBy(by).applyInPandas(fit, f"{by} {dict(rows.dtypes)[by]}, intercept double, weights array<double>, r2 double")
+    """(by, intercept, weights, r2): ridge regression whose intercept isn't penalised.
+
+    Sums of products about the means are combined before the shuffle; only a row of them for each
+    group is solved in Python.
+    """
+    n, names = len(features), [*features, target]
+    d = _with_means(rows.select(by, *(F.col(c).cast("double").alias(c) for c in names)), [by], *(F.avg(c).alias(f"__m{k}") for k, c in enumerate(names)))
+    off = [F.col(c) - F.col(f"__m{k}") for k, c in enumerate(names)]
+    products = [F.sum(off[i] * off[j]) for i in range(n + 1) for j in range(n + 1)]
+    sums = d.groupBy(by).agg(F.array(*(F.first(f"__m{k}") for k in range(n + 1))).alias("means"), F.array(*products).alias("products"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, means, flat in zip(pdf[by], pdf["means"], pdf["products"], strict=True):
+                s, m = np.array(flat).reshape(n + 1, n + 1), np.array(means)
+                w = np.linalg.solve(s[:n, :n] + penalty * np.eye(n), s[:n, n])
+                rest = s[n, n] - 2 * w @ s[:n, n] + w @ s[:n, :n] @ w
+                out.append((key, m[n] - m[:n] @ w, w.tolist(), 1 - rest / s[n, n] if s[n, n] else None))
+            yield pd.DataFrame(out, columns=[by, "intercept", "weights", "r2"])
+
+    return sums.mapInPandas(solve, f"{by} {dict(rows.dtypes)[by]}, intercept double, weights array<double>, r2 double")
 
 
 def first_known(rows: DataFrame, by: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:

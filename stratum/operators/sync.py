@@ -44,14 +44,14 @@ def redact_directories(dirs: DataFrame, salt: str) -> DataFrame:
     return dirs.select(salted_hash(relative_path(F.col("dir")), salt).alias("dir_hash"), "file_count")
 
 
-def payloads(repos: DataFrame, tenant: str, user: str, salt: str) -> DataFrame:
+def payloads(repos: DataFrame, tenant: str | Column, user: str, salt: str) -> DataFrame:
     """One row a repository (repo_url, repo_slug, head_commit, structure, hotspots, files, synced_at), redacted."""
     ref = F.when(F.coalesce(F.col("repo_url"), F.lit("")) != "", F.col("repo_url")).otherwise(F.col("repo_slug"))
-    mark = fingerprint(ref, salt)
+    mark, tenant = fingerprint(ref, salt), F.lit(tenant) if isinstance(tenant, str) else tenant
     hashed = lambda c, p, *rest: F.transform(c, lambda x: F.struct(salted_hash(relative_path(x[p]), salt).alias("file_hash"), *(x[r].alias(r) for r in rest)))
     out = repos.select(
-        F.lit(tenant).alias("tenant_id"), mark.alias("repo_fingerprint"), mark.alias("canonical_repo_ref_hash"), F.coalesce("head_commit", F.lit("")).alias("head_commit"),
-        version_key(F.lit(tenant), mark, F.coalesce(F.col("head_commit"), F.lit(""))).alias("version_key"),
+        tenant.alias("tenant_id"), mark.alias("repo_fingerprint"), mark.alias("canonical_repo_ref_hash"), F.coalesce("head_commit", F.lit("")).alias("head_commit"),
+        version_key(tenant, mark, F.coalesce(F.col("head_commit"), F.lit(""))).alias("version_key"),
         hashed("hotspots", "path", "touch_count", "last_touched").alias("hotspot_metrics"),
         F.transform("files", lambda p: F.struct(salted_hash(relative_path(p), salt).alias("file_path_hash"), F.lit(None).cast("string").alias("content_hash"))).alias("file_fingerprints"),
         F.struct(F.lit(user).alias("user_id"), F.col("synced_at"), F.lit(SCHEMA_VERSION).alias("schema_version")).alias("sync_metadata"),
@@ -60,6 +60,55 @@ def payloads(repos: DataFrame, tenant: str, user: str, salt: str) -> DataFrame:
     return out
 
 
+def enabled(flag: str | None) -> bool:
+    """Whether a switch says so: 1, true, yes or on, in any case, white space aside."""
+    return (flag or "").strip().lower() in {"1", "true", "yes", "on"}
+
+
+#: Tables of the synchronised state with their keys, and the columns that stay as first written.
+STATE = {
+    "tenants": (("tenant_id",), None),
+    "repos": (("tenant_id", "repo_fingerprint"), ()),
+    "versions": (("version_key",), ("repo_fingerprint", "head_commit", "first_seen_at")),
+    "version_hotspots": (("version_key", "file_hash"), ()),
+    "version_files": (("version_key", "file_path_hash"), ()),
+}
+
+
+def apply_payloads(state: dict[str, DataFrame], sent: DataFrame, run_id: Column | None = None) -> dict[str, DataFrame]:
+    """The state after all ``payloads`` rows of ``sent``, in the order of their synced_at.
+
+    Tenants are only inserted; repositories, versions, hotspots and files are upserted by key, of
+    several payloads of one key the last counts; a version keeps when it was first seen; every
+    payload adds a run.  ``state`` may lack tables, which then start empty.  ``run_id``: what names
+    a run (version key and time, if not given), so a repeated batch gives the same runs.
+    """
+    meta = F.col("sync_metadata")
+    flat = sent.select("*", meta["user_id"].alias("user_id"), meta["synced_at"].alias("synced_at"), meta["schema_version"].alias("schema_version"))
+    structure = F.to_json("structure_metrics") if "structure_metrics" in sent.columns else F.lit(None).cast("string")
+    spots, files = flat.select("version_key", "synced_at", F.explode("hotspot_metrics").alias("x")), flat.select("version_key", "synced_at", F.explode("file_fingerprints").alias("x"))
+    new = {
+        "tenants": flat.select("tenant_id", F.col("tenant_id").alias("name"), F.col("synced_at").alias("created_at"), "synced_at"),
+        "repos": flat.select("tenant_id", "repo_fingerprint", "canonical_repo_ref_hash", "synced_at"),
+        "versions": flat.select("version_key", "repo_fingerprint", "head_commit", structure.alias("structure_json"), "schema_version", F.col("synced_at").alias("first_seen_at"), F.col("synced_at").alias("last_seen_at"), "synced_at"),
+        "version_hotspots": spots.select("version_key", F.col("x.file_hash").alias("file_hash"), F.col("x.touch_count").alias("touch_count"), F.col("x.last_touched").alias("last_touched"), "synced_at"),
+        "version_files": files.select("version_key", F.col("x.file_path_hash").alias("file_path_hash"), F.col("x.content_hash").alias("content_hash"), "synced_at"),
+    }
+    out = {}
+    for name, rows in new.items():
+        key, first = STATE[name]
+        columns = [c for c in rows.columns if c != "synced_at"]
+        stay = [c for c in columns if c not in key] if first is None else list(first)
+        when = F.struct("synced_at", F.struct(*columns))
+        rest = [c for c in columns if c not in (*key, *stay)]
+        once = rows.groupBy(*key).agg(*(F.min_by(c, when).alias(c) for c in stay), *(F.max_by(c, when).alias(c) for c in rest)).select(*columns)
+        old = state.get(name)
+        out[name] = once if old is None else merge(old, once, key, keep_first=stay)
+    runs = flat.select((F.sha2(F.concat_ws(":", "version_key", "synced_at"), 256) if run_id is None else run_id).alias("sync_run_id"), "tenant_id", "user_id", "repo_fingerprint", "head_commit", "version_key", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_summary"), F.col("synced_at").alias("created_at"))
+    out["sync_runs"] = runs if "sync_runs" not in state else insert_missing(state["sync_runs"], runs, ["sync_run_id"])
+    return out
+
+
 def insert_missing(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """ON CONFLICT DO NOTHING."""
     return old.unionByName(new.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti"))
@@ -115,7 +164,7 @@ def preset_hotspots(spots: DataFrame, versions: DataFrame, repos: DataFrame, lim
     rows = spots.join(versions, "version_id").join(repos, "repo_id")
     if tenant is not None:
         rows = rows.where(F.col("tenant_id") == tenant)
-    return rows.orderBy(F.desc("touch_count"), F.desc_nulls_last("last_touched"), "file_hash").limit(limit)
+    return rows.orderBy(F.desc("touch_count"), F.desc_nulls_last("last_touched"), "file_hash", "version_id").limit(limit)
 
 
 def preset_runs(runs: DataFrame, limit: int, tenant: str | None = None) -> DataFrame:

@@ -38,10 +38,15 @@ def touches(spark: SparkSession, d: str, prefix: str = "part/", key: str = "l_pa
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         F.col("o_orderkey").alias("sha"), F.concat(F.lit(prefix), F.col(key).cast("string")).alias("path"), F.col("o_custkey").cast("string").alias("author"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("t"), F.col("o_orderkey").alias("k")).alias("ord"),
+        # dates as dates and the place in the log as one number, newest day first: both fit a hash aggregate
+        F.to_date("o_orderdate").alias("date"), (F.shiftleft(-F.unix_date(F.to_date("o_orderdate")).cast("long"), 40) + F.col("o_orderkey")).alias("ord"),
     )
 
 
+def with_day(spots: DataFrame) -> DataFrame:
+    return spots.withColumn("last_touched", F.col("last_touched").cast("string"))
+
+
 def page_paths(spark: SparkSession, d: str) -> DataFrame:
     """(page_id, path): the path of each page's URL, query and fragment left out."""
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1)
@@ -51,7 +56,7 @@ def page_paths(spark: SparkSession, d: str) -> DataFrame:
 TOUCHES = """t AS (SELECT o_orderkey AS sha, 'part/' || l_partkey AS path, CAST(o_custkey AS VARCHAR) AS author, strftime(o_orderdate, '%Y-%m-%d') AS date,
   dense_rank() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 SPOTS = "h AS (SELECT path, COUNT(*) AS touch_count, arg_min(date, ord) AS last_touched FROM t GROUP BY path ORDER BY touch_count DESC, path LIMIT 200)"
-PAIRS = """f AS (SELECT DISTINCT sha, path FROM t), n AS (SELECT sha FROM f GROUP BY sha HAVING COUNT(*) <= 8),
+PAIRS = """f AS (SELECT DISTINCT sha, path FROM t), n AS (SELECT sha FROM f GROUP BY sha HAVING COUNT(*) <= 50),
 p AS (SELECT a.path AS file_a, b.path AS file_b, COUNT(*) AS co_change_count FROM f a JOIN f b ON a.sha = b.sha AND a.path < b.path JOIN n ON n.sha = a.sha GROUP BY ALL HAVING COUNT(*) >= 2)"""
 DEGREE = "g AS (SELECT path, COUNT(*) AS co_change_degree FROM (SELECT file_a AS path FROM p UNION ALL SELECT file_b FROM p) GROUP BY path)"
 AUTHORS = "a AS (SELECT path, COUNT(DISTINCT author) AS distinct_authors, COUNT(*) AS total_commits FROM t GROUP BY path)"
@@ -66,7 +71,7 @@ EXT = "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^.][^/]*?([.]
 
 @query(f"WITH {TOUCHES} SELECT path, COUNT(*) AS touch_count, arg_min(date, ord) AS last_touched FROM t GROUP BY path ORDER BY touch_count DESC, path LIMIT 20")
 def hotspots_topn(spark: SparkSession, d: str) -> DataFrame:
-    return gold.hotspots(touches(spark, d))
+    return with_day(gold.hotspots(touches(spark, d)))
 
 
 @query(f"WITH {TOUCHES}, {PAIRS} SELECT * FROM p")
@@ -95,7 +100,8 @@ def authorship_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TOUCHES}, {SPOTS}, {PAIRS}, {DEGREE}, {AUTHORS}, {RISK} SELECT * FROM risk")
 def risk_levels(spark: SparkSession, d: str) -> DataFrame:
     rows = touches(spark, d)
-    return gold.risk_levels(gold.hotspots(rows, 200), gold.co_changes(rows, 2), gold.authorship(rows))
+    spots = gold.file_figures(rows).orderBy(F.desc("touch_count"), "path").limit(200)
+    return gold.risk_levels(spots, gold.co_changes(rows, 2))
 
 
 @query(f"""WITH {TOUCHES}, {SPOTS}, {PAIRS}, {DEGREE}, {AUTHORS}, {RISK}, x AS (SELECT h.*, COALESCE(risk_level, 'low') AS risk_level FROM h LEFT JOIN (SELECT path, risk_level FROM risk) USING (path))
@@ -146,14 +152,19 @@ def _points(patterns: tuple[tuple[str, str, int], ...]) -> str:
     return " + ".join(f"CASE WHEN regexp_matches(path, '{p}') THEN {n} ELSE 0 END" for p, _, n in patterns)
 
 
-@query(f"WITH {DOC_NAMES}, u AS (SELECT DISTINCT path FROM names WHERE path NOT LIKE '%.png') SELECT path, {_points(gold.START_HERE)} AS score FROM u WHERE score > 0 ORDER BY score DESC, path LIMIT 15")
+def _reasons(patterns: tuple[tuple[str, str, int], ...]) -> str:
+    some = ", ".join(f"CASE WHEN regexp_matches(path, '{p}') THEN '{r}' END" for p, r, _ in patterns)
+    return f"array_to_string(list_sort(list_distinct([{some}])), ',')"
+
+
+@query(f"WITH {DOC_NAMES}, u AS (SELECT DISTINCT path FROM names WHERE path NOT LIKE '%.png') SELECT path, {_points(gold.START_HERE)} AS score, {_reasons(gold.START_HERE)} AS reasons FROM u WHERE score > 0 ORDER BY score DESC, path LIMIT 15")
 def start_here(spark: SparkSession, d: str) -> DataFrame:
-    return gold.start_here(doc_names(spark, d).select("path").distinct()).select("path", "score")
+    return gold.start_here(doc_names(spark, d).select("path").distinct()).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(f"WITH {DOC_NAMES}, u AS (SELECT DISTINCT path FROM names) SELECT path, {_points(gold.START_HERE_PROMPT)} AS score FROM u WHERE score > 0 ORDER BY score DESC, path LIMIT 12")
+@query(f"WITH {DOC_NAMES}, u AS (SELECT DISTINCT path FROM names) SELECT path, {_points(gold.START_HERE_PROMPT)} AS score, {_reasons(gold.START_HERE_PROMPT)} AS reasons FROM u WHERE score > 0 ORDER BY score DESC, path LIMIT 12")
 def start_here_prompt(spark: SparkSession, d: str) -> DataFrame:
-    return gold.start_here(doc_names(spark, d).select("path").distinct(), top=12, patterns=gold.START_HERE_PROMPT, skip_binary=False).select("path", "score")
+    return gold.start_here(doc_names(spark, d).select("path").distinct(), top=12, patterns=gold.START_HERE_PROMPT, skip_binary=False).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"""WITH {DOC_NAMES}, u AS (SELECT lower(path) AS low, arg_max(path, doc_id) AS path, MIN(doc_id) AS place FROM names GROUP BY 1)
@@ -202,7 +213,9 @@ def file_hash_gate(spark: SparkSession, d: str) -> DataFrame:
     return doc_names(spark, d).select("doc_id", paths.content_hash(F.col("path"), F.col("text")).alias("content_hash"))
 
 
-@query(f"""WITH {DOC_NAMES} SELECT doc_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN lower(path) LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.yml' THEN 'yaml' WHEN path LIKE '%.json' THEN 'json' END AS language FROM names WHERE doc_id % 9 <> 0 AND doc_id % 9 <> 2""")
+@query(f"""WITH {DOC_NAMES} SELECT doc_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN lower(path) LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.yml' THEN 'yaml' WHEN path LIKE '%.json' THEN 'json'
+  WHEN text LIKE '#!%' THEN CASE WHEN contains(lower(split_part(text, chr(10), 1)), 'python') THEN 'python' WHEN contains(lower(split_part(text, chr(10), 1)), 'node') THEN 'javascript' WHEN contains(lower(split_part(text, chr(10), 1)), 'sh') THEN 'shell' END END AS language
+FROM names JOIN documents USING (doc_id)""")
 def file_language(spark: SparkSession, d: str) -> DataFrame:
     return doc_names(spark, d).select("doc_id", paths.language(F.col("path"), F.col("text")).alias("language"))
 
@@ -220,7 +233,7 @@ def linked_by(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TOUCHES}, {SPOTS} SELECT sha256('pepper::' || path) AS file_hash, touch_count, last_touched FROM h")
 def redacted_payload(spark: SparkSession, d: str) -> DataFrame:
-    return sync.redact_hotspots(gold.hotspots(touches(spark, d), 200), "pepper")
+    return sync.redact_hotspots(with_day(gold.hotspots(touches(spark, d), 200)), "pepper")
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -289,8 +302,7 @@ def preset_versions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {STAR} SELECT * FROM spots JOIN versions USING (version_id) JOIN repos USING (repo_id) WHERE tenant_id = 'BUILDING' ORDER BY touch_count DESC, last_touched DESC NULLS LAST, file_hash, version_id LIMIT 50")
 def preset_hotspots(spark: SparkSession, d: str) -> DataFrame:
     repos, versions, spots = _star(spark, d)
-    rows = spots.join(versions, "version_id").join(repos, "repo_id").where("tenant_id = 'BUILDING'")
-    return rows.orderBy(F.desc("touch_count"), F.desc_nulls_last("last_touched"), "file_hash", "version_id").limit(50)
+    return sync.preset_hotspots(spots, versions, repos, 50, "BUILDING")
 
 
 @query("SELECT o_orderkey AS run_id, o_orderstatus AS tenant_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at FROM orders WHERE o_orderstatus = 'F' ORDER BY created_at DESC, run_id LIMIT 25")
@@ -362,10 +374,16 @@ def batch_fixed(spark: SparkSession, d: str) -> DataFrame:
     return chunking.batches_by_count(table(spark, d, "documents").select("doc_id", "source"), 16, "doc_id", "source")
 
 
-@query()
+FULL = "(n >= 16 OR used + o.size > 1000000)"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT doc_id, source, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT doc_id, source, size, k, 0 AS batch, size AS used, 1 AS n FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.source, o.size, o.k, CASE WHEN {FULL} THEN batch + 1 ELSE batch END, CASE WHEN {FULL} THEN o.size ELSE used + o.size END, CASE WHEN {FULL} THEN 1 ELSE n + 1 END FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.k = f.k + 1)
+SELECT doc_id, source, size, CAST(batch AS INT) AS batch FROM f""")
 def batch_budget(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "source", F.least("n_chars", F.lit(8000)).alias("size"))
-    return chunking.batches_by_budget(rows, "size", 8000, 16, "doc_id", "source")
+    rows = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").alias("size"))
+    return chunking.batches_by_budget(rows, "size", 1_000_000, 16, "doc_id", "source")
 
 
 @query()
@@ -527,7 +545,13 @@ def corpus_crop(spark: SparkSession, d: str) -> DataFrame:
     return corpus.crop_corpus(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", 1000, 200_000).select("doc_id", F.length("text").alias("n"))
 
 
-@query()
+ENDS = "(total + o.n_chars >= 50000 AND (n + 1) % 8 = 0)"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT lang, 0::BIGINT AS k, 0::BIGINT AS doc_id, 0::BIGINT AS n_chars, 0 AS next, 0 AS shard, 0::BIGINT AS total, 0 AS n FROM (SELECT DISTINCT lang FROM documents)
+  UNION ALL SELECT o.lang, o.k, o.doc_id, o.n_chars, CASE WHEN {ENDS} THEN next + 1 ELSE next END, next, CASE WHEN {ENDS} THEN 0 ELSE total + o.n_chars END, CASE WHEN {ENDS} THEN 0 ELSE n + 1 END FROM f JOIN o ON o.lang IS NOT DISTINCT FROM f.lang AND o.k = f.k + 1)
+SELECT lang, doc_id, n_chars, CAST(CASE WHEN shard < MAX(next) OVER (PARTITION BY lang) THEN shard ELSE -1 END AS INT) AS shard FROM f WHERE k > 0""")
 def shard_assign(spark: SparkSession, d: str) -> DataFrame:
     return corpus.shards(table(spark, d, "documents").select("lang", "doc_id", "n_chars"), "lang", "doc_id", "n_chars", 50_000, 8)
 
@@ -548,9 +572,15 @@ def powerlaw_fit(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_returnflag", F.round("exponent", 6).alias("exponent"), F.round("factor", 4).alias("factor"), F.round("r2", 6).alias("r2"))
 
 
-@query()
+@query("""WITH d AS (SELECT l_returnflag, log10(l_quantity) - AVG(log10(l_quantity)) OVER (PARTITION BY l_returnflag) AS u, log10(l_quantity) AS x, log10(l_extendedprice) AS y, AVG(log10(l_quantity)) OVER (PARTITION BY l_returnflag) AS m FROM lineitem),
+s AS (SELECT l_returnflag, m, COUNT(*) AS n, SUM(u * u) AS s2, SUM(u * u * u) AS s3, SUM(u * u * u * u) AS s4, SUM(y) AS t0, SUM(u * y) AS t1, SUM(u * u * y) AS t2, MIN(y) AS y0, arg_min(x, y) AS x0 FROM d GROUP BY ALL),
+a AS (SELECT *, (n * s2 * t2 - n * s3 * t1 - s2 * s2 * t0) / (n * s2 * s4 - n * s3 * s3 - s2 * s2 * s2) AS a FROM s),
+b AS (SELECT *, (t1 - a * s3) / s2 AS b0, (t0 - a * s2) / n AS c0 FROM a),
+c AS (SELECT *, b0 - 2 * a * m AS b, c0 - b0 * m + a * m * m AS c FROM b)
+SELECT l_returnflag, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c, round(CASE WHEN a > 0 THEN -b / (2 * a) ELSE x0 END, 4) AS x_best, round(CASE WHEN a > 0 THEN c - b * b / (4 * a) ELSE y0 END, 4) AS y_best FROM c""")
 def quadratic_fit(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.parabola(table(spark, d, "lineitem"), F.log10("l_quantity"), F.log10("l_extendedprice"), ["l_returnflag"])
+    fit = metrics.parabola(table(spark, d, "lineitem"), F.log10("l_quantity"), F.log10("l_extendedprice"), ["l_returnflag"])
+    return fit.select("l_returnflag", *(F.round(c, 5).alias(c) for c in "abc"), *(F.round(c, 4).alias(c) for c in ("x_best", "y_best")))
 
 
 @query()
@@ -602,7 +632,7 @@ def first_row_per_group(spark: SparkSession, d: str) -> DataFrame:
     return metrics.first_known(table(spark, d, "events"), "event_type", ["ts", "event_id"], ["value", "user_id"])
 
 
-@query("SELECT o_orderpriority, o_custkey FROM (SELECT DISTINCT o_orderpriority FROM orders) p, (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey < 20) c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderpriority = p.o_orderpriority AND o.o_custkey = c.o_custkey)")
+@query("SELECT o_orderpriority, o_custkey FROM (SELECT DISTINCT o_orderpriority FROM orders) p, (SELECT DISTINCT o_custkey FROM orders) c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderpriority = p.o_orderpriority AND o.o_custkey = c.o_custkey)")
 def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("budget"), F.col("o_custkey").alias("depth")).distinct()
     grid = metrics.sweep_grid(rows.select("budget").distinct(), rows.select("depth").distinct(), rows)
@@ -629,10 +659,13 @@ def agent_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from stratum.plans import function_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 

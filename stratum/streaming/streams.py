@@ -25,7 +25,12 @@ def append_log(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
 def sync_stream(stream: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], key: list[str], checkpoint: str) -> StreamingQuery:
     """Merge each batch into a table: first_seen stays, last_seen moves on; a repeated batch changes nothing."""
     def put(batch: DataFrame, _: int) -> None:
-        once = batch.groupBy(*key).agg(*(F.max(c).alias(c) for c in batch.columns if c not in key)).select(*batch.columns)
+        # of a batch's rows of a key the one last seen, ties by the other columns, so no row mixes two
+        rest = [c for c in batch.columns if c not in key]
+        lead = [c for c in ("last_seen", "first_seen") if c in rest]
+        row = F.struct(*lead, *(c for c in rest if c not in lead))
+        once = batch.groupBy(*key).agg(F.max(row).alias("r"), *([F.min("first_seen").alias("first")] if "first_seen" in rest else []))
+        once = once.select(*(F.col("first").alias(c) if c == "first_seen" else F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in batch.columns))
         old = read()
         write(once if old is None else merge(old, once, key, keep_first=["first_seen"], keep_last=["last_seen"]))
 

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from stratum.operators import chunking, corpus, metrics, sync, vectors
 
 
+def chunk_rows(data, lang, config):
+    name, spans, first, last = chunking.chunk_columns(data, lang, config)
+    return [(name, a, b, i, j, data[a:b]) for (a, b), i, j in zip(spans.tolist(), first.tolist(), last.tolist(), strict=True)]
+
+
 def rows(df):
     return [tuple(r) for r in df.collect()]
 
@@ -17,7 +22,7 @@ def rows(df):
 @settings(max_examples=60, deadline=None)
 def test_chunks_cover_all_bytes(data, most):
     config = chunking.ChunkConfig(most, most // 4, most // 3)
-    found = list(chunking.cuts(data, config))
+    found = chunking.windows(chunking.line_breaks(data), config, 0, len(data))
     assert found == [] if not data else (found[0][0], found[-1][1]) == (0, len(data))
     for (a, b), (c, d) in zip(found, found[1:], strict=False):
         assert a < c <= b < d and b - a <= most and b - c <= most // 4
@@ -25,16 +30,16 @@ def test_chunks_cover_all_bytes(data, most):
 
 def test_chunks_end_after_line_breaks_and_count_bytes():
     data = "é\n".encode() * 10
-    got = chunking.chunk_rows(data, None, chunking.ChunkConfig(8, 2, 3))
+    got = chunk_rows(data, None, chunking.ChunkConfig(8, 2, 3))
     assert got[-1][2] == 30 and got[0][:5] == ("naive", 0, 6, 1, 2)
 
 
 def test_definitions_make_chunks(spark):
     code = b"import os\n\n\n@wrap\ndef f():\n    return 1\n\n\nclass A:\n    x = 1\n"
-    got = chunking.chunk_rows(code, "python", chunking.ChunkConfig())
+    got = chunk_rows(code, "python", chunking.ChunkConfig())
     assert [c[5].strip() for c in got] == [b"import os", b"@wrap\ndef f():\n    return 1", b"class A:\n    x = 1"]
     js = b"const a = 1;\nfunction f() { return '}'; }\nclass B { m() {} }\n"
-    assert [c[5].strip() for c in chunking.chunk_rows(js, "javascript", chunking.ChunkConfig())] == [b"const a = 1;", b"function f() { return '}'; }", b"class B { m() {} }"]
+    assert [c[5].strip() for c in chunk_rows(js, "javascript", chunking.ChunkConfig())] == [b"const a = 1;", b"function f() { return '}'; }", b"class B { m() {} }"]
     files = spark.createDataFrame([("r", "a.py", bytearray(code)), ("r", "e.py", bytearray())], "repo_slug string, path string, content binary")
     records, stats = chunking.index_files(files, "head")
     assert records.count() == 3 and rows(stats) == [(2, 1, 3, 3)]
