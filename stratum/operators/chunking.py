@@ -190,6 +190,25 @@ def hash_embedding(text, width: int = 8):  # noqa: ANN001, ANN201
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0).cast("float"))
 
 
+def embedded(provider: Callable[[], Callable[[list[str]], list[list[float]]]], size: int = 16):  # noqa: ANN201
+    """A column function that embeds texts with a provider, made once in each task, in lists of ``size``; as many vectors as texts."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed = provider()
+        for texts in batches:
+            out: list[list[float]] = []
+            for i in range(0, len(texts), size):
+                some = texts.iloc[i : i + size].fillna("").tolist()
+                got = embed(some)
+                if len(got) != len(some):
+                    raise ValueError(f"{len(some)} texts gave {len(got)} vectors")
+                out += got
+            yield pd.Series(out)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<float>")
+
+
 def eligible_files(manifest: DataFrame, limit: int | None = None, max_bytes: int | None = None, skip_empty_hash: bool = True) -> DataFrame:
     """Files of a manifest (path, content_hash, size_bytes, ord, present) to index, in manifest order."""
     rows = manifest.where(F.col("path").isNotNull() & F.col("present") & inside(F.col("path")))

@@ -168,14 +168,28 @@ def render_segments(messages: Column) -> Column:
     return F.concat(F.array(piece(F.lit("<|bos|>"), 0)), F.flatten(F.transform(messages, lambda m: F.when(m["role"] == "user", user(m)).otherwise(assistant(m)))))
 
 
-def render_tokens(conversations_: DataFrame, by: str, encode, max_tokens: int = 2048, special_from: int = 50257) -> DataFrame:  # noqa: ANN001
+def render_tokens(conversations_: DataFrame, by: str, encode, max_tokens: int = 2048, special_from: int = 50257, complete: bool = False) -> DataFrame:  # noqa: ANN001
     """(by, ids, mask) of conversations whose messages are (role, parts of (type, text)).
 
     ``encode``: text to ids; ids of the special tokens follow ``special_from`` in their order.
     Text and python parts of the assistant are trained on, python output and the user are not.
+    To ``complete`` a conversation its last assistant message is left out and the token that
+    starts one is put last.
     """
     number = {t: special_from + k for k, t in enumerate(SPECIAL)}
     around = {"python": ("<|python_start|>", "<|python_end|>", 1), "python_output": ("<|output_start|>", "<|output_end|>", 0)}
+    # (role, part) -> tokens before and after it, and what of it is trained on
+    layout = {("user", "text"): ((), (), 0), ("assistant", "text"): ((), (), 1)} | {("assistant", kind): ((number[a],), (number[b],), bit) for kind, (a, b, bit) in around.items()}
+
+    def pieces(role: str, parts: list) -> Iterator[tuple[Sequence[int], int]]:
+        """Token runs of one message, each with its mask."""
+        yield (number[f"<|{role}_start|>"],), 0
+        for p in parts:
+            if (role, p["type"]) not in layout:
+                raise ValueError(f"unknown part {p['type']} of {role}")
+            before, behind, bit = layout[role, p["type"]]
+            yield (*before, *encode(p["text"]), *behind), bit
+        yield (number[f"<|{role}_end|>"],), int(role == "assistant")
 
     def render(messages: list) -> tuple[list[int], list[int]]:
         messages = [(m["role"], list(m["parts"])) for m in messages]
@@ -184,25 +198,13 @@ def render_tokens(conversations_: DataFrame, by: str, encode, max_tokens: int =
                 raise ValueError("a system message must be followed by a user message")
             lead = "".join(p["text"] for p in messages[0][1])
             messages = [("user", [{"type": "text", "text": lead + "\n\n" + "".join(p["text"] for p in messages[1][1])}]), *messages[2:]]
-        ids, mask = [number["<|bos|>"]], [0]
-
-        def add(more: list[int], bit: int) -> None:
-            ids.extend(more)
-            mask.extend([bit] * len(more))
-
-        for i, (role, parts) in enumerate(messages):
-            if role != ("user", "assistant")[i % 2]:
-                raise ValueError(f"message {i} is from {role}")
-            add([number[f"<|{role}_start|>"]], 0)
-            for p in parts:
-                if p["type"] == "text":
-                    add(encode(p["text"]), int(role == "assistant"))
-                elif role == "assistant" and p["type"] in around:
-                    a, b, bit = around[p["type"]]
-                    add([number[a], *encode(p["text"]), number[b]], bit)
-                else:
-                    raise ValueError(f"unknown part {p['type']} of {role}")
-            add([number[f"<|{role}_end|>"]], int(role == "assistant"))
+        if complete and messages and messages[-1][0] == "assistant":
+            messages = messages[:-1]
+        odd = [i for i, (role, _) in enumerate(messages) if role != ("user", "assistant")[i % 2]]
+        if odd:
+            raise ValueError(f"message {odd[0]} is from {messages[odd[0]][0]}")
+        runs = [((number["<|bos|>"],), 0), *(run_ for m in messages for run_ in pieces(*m)), *([((number["<|assistant_start|>"],), 0)] if complete else [])]
+        ids, mask = [t for r, _ in runs for t in r], [bit for r, bit in runs for _ in r]
         return ids[:max_tokens], mask[:max_tokens]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,6 +252,54 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
 
 
+def common_length(sequences: Column, suffix: bool = False) -> Column:
+    """How many leading (or trailing) elements all arrays of an array share."""
+    rows = F.transform(sequences, F.reverse) if suffix else sequences
+    first = F.element_at(rows, 1)
+    same = F.transform(first, lambda x, i: F.forall(rows, lambda r: (F.size(r) > i) & F.get(r, i).eqNullSafe(x)))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long")).cast("int")
+
+
+def answer_spans(sequences: Column, kind: str) -> Column:
+    """(start, end) of what counts in each token sequence of an item.
+
+    choice: from where the options differ to the end; schema: the common ending; completion: what
+    the second sequence adds to the first, which must begin it.
+    """
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    if kind == "choice":
+        return F.transform(sequences, lambda s: span(common_length(sequences), F.size(s)))
+    if kind == "schema":
+        return F.transform(sequences, lambda s: span(F.size(s) - common_length(sequences, suffix=True), F.size(s)))
+    if kind != "completion":
+        raise ValueError(f"no kind {kind!r}")
+    short, long = F.element_at(sequences, 1), F.element_at(sequences, 2)
+    fits = (F.size(short) < F.size(long)) & (F.slice(long, 1, F.size(short)) == short)
+    return F.when(fits, F.array(span(F.size(short), F.size(long)))).otherwise(F.raise_error(F.lit("the prompt must begin its continuation")).cast("array<struct<start:int,end:int>>"))
+
+
+def padded(ids: Column, mask: Column, capacity: int, pad: int) -> Column:
+    """(ids, targets) of a row: filled up with ``pad``, targets -1 where nothing is trained on."""
+    short = F.greatest(F.lit(capacity) - F.size(ids), F.lit(0))
+    return F.struct(F.concat(ids, F.array_repeat(F.lit(pad), short)).alias("ids"), F.concat(F.zip_with(ids, mask, lambda i, m: F.when(m == 1, i).otherwise(-1)), F.array_repeat(F.lit(-1), short)).alias("targets"))
+
+
+def best_option(scores: Column, options: Column) -> Column:
+    """The option, a place in ``scores``, with the highest score; the first of equals."""
+    return F.element_at(options, first_most(F.transform(options, lambda o: F.get(scores, o))) + 1)
+
+
+def letter_trace(word: Column, letter: Column) -> Column:
+    """Running counts of a letter along a word."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: letter_count(F.substring(word, F.lit(1), i), letter))
+
+
+def epochs(rows: DataFrame, place: str, count: int, after: tuple[int, int] | None = None) -> DataFrame:
+    """Rows with ``epoch``: all of them ``count`` times over, from behind (epoch, place) ``after`` on."""
+    out = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return out if after is None else out.where((F.col("epoch") > after[0]) | ((F.col("epoch") == after[0]) & (F.col(place) > after[1])))
+
+
 def crop_left(tokens: Column, most: int, start: Column, end: Column) -> Column:
     """The last ``most`` tokens, and the span moved along."""
     cut = F.greatest(F.size(tokens) - most, F.lit(0))

@@ -194,6 +194,20 @@ def metric_table(rows: DataFrame, metric: str, stage: str, stages: Sequence[str]
     return rows.groupBy(metric).pivot(stage, list(stages)).agg(F.first(value))
 
 
+def report(sections: Sequence[tuple[str, DataFrame]], summary: DataFrame, metric: str, stages: Sequence[str]) -> DataFrame:
+    """(line): titled sections of (key, value) rows, then a table with a metric a row and a stage a column, '-' where there is none."""
+    parts = [rows.select(F.lit(k).alias("a"), F.monotonically_increasing_id().alias("b"), F.format_string("- %s: %s", F.col("key"), F.coalesce(F.col("value").cast("string"), F.lit("-"))).alias("line")) for k, (_, rows) in enumerate(sections)]
+    spark = summary.sparkSession
+    heads = [(k, -1, f"## {title}") for k, (title, _) in enumerate(sections)]
+    heads += [(len(sections), -3, "## Summary"), (len(sections), -2, "| Metric | " + " | ".join(stages) + " |"), (len(sections), -1, "|" + "---|" * (len(stages) + 1))]
+    cells = [F.when(F.col(s).isNull(), "-").otherwise(shown(F.col(s))) for s in stages]
+    table = summary.select(F.lit(len(sections)).alias("a"), F.row_number().over(Window.orderBy(metric)).cast("long").alias("b"), F.concat(F.lit("| "), F.concat_ws(" | ", F.col(metric), *cells), F.lit(" |")).alias("line"))
+    out = spark.createDataFrame(heads, "a int, b long, line string")
+    for part in [*parts, table]:
+        out = out.unionByName(part)
+    return out.orderBy("a", "b").select("line")
+
+
 def shown(value: Column, integer: bool = False) -> Column:
     """Numbers as reports show them: integers from 10,000 on with commas, others with four places."""
     return F.when(value >= 10_000, F.format_number(value, 0)).otherwise(value.cast("string")) if integer else F.format_string("%.4f", value.cast("double"))

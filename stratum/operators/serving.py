@@ -139,6 +139,29 @@ def bullet_lines(rows: DataFrame, template: str, *columns: str, order: Sequence[
     return rows.select(F.format_string("- " + template, *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns)).alias("line"))
 
 
+def _listed(parts: Column, most: int) -> Column:
+    return F.array_join(F.slice(F.filter(parts, lambda x: x.isNotNull()), 1, most), ", ")
+
+
+# What the lines of a repository's snapshot say, and how many of each there are at most.
+SNAPSHOT = {
+    "top_level": (12, lambda: F.format_string("- %s: %s files", "dir", "file_count")),
+    "file_types": (12, lambda: F.format_string("- %s: %s files", "extension", "file_count")),
+    "start_here": (12, lambda: F.format_string("- %s (%s)", F.col("path"), _listed(F.col("reasons"), 4))),
+    "hotspots": (10, lambda: F.format_string("- %s: %s touches; last touched %s", F.col("path"), F.col("touch_count"), F.coalesce(F.col("last_touched").cast("string"), F.lit("unknown")))),
+    "risk": (10, lambda: F.format_string("- %s: risk=%s score=%s", F.col("path"), F.col("risk_level"), F.col("risk_score").cast("string"))),
+    "authorship": (8, lambda: F.concat(F.format_string("- %s: %s commits", "path", "total_commits"), F.when(F.size("primary_contributors") > 0, F.concat(F.lit("; primary contributors: "), _listed(F.transform("primary_contributors", lambda c: c["name"]), 3))).otherwise(""))),
+    "contributors": (8, lambda: F.format_string("- %s: %s commits across listed files", "name", "commits")),
+    "co_changes": (10, lambda: F.format_string("- %s <-> %s: %s co-changes", "file_a", "file_b", "co_change_count")),
+}
+
+
+def snapshot_lines(kind: str, rows: DataFrame, *order: Column | str) -> DataFrame:
+    """(line): the first rows of one of the eight parts of a snapshot, in order, as prompts show them."""
+    most, line = SNAPSHOT[kind]
+    return (rows.orderBy(*order) if order else rows).limit(most).select(line().alias("line"))
+
+
 def context(sections: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """(text): titled sections of (place, line) rows joined to one prompt."""
     out = None

@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import argparse
+import shutil
 import sys
 from pathlib import Path
 
@@ -82,8 +83,12 @@ def load(args: argparse.Namespace) -> int:
             spark.read.parquet(str(path.parent / name)).coalesce(1).write.mode("overwrite").json(f"{args.out}/{path.parent.name}/{name}")
     new = spark.createDataFrame([(p.parent.name,) for p in found], "repo_slug string").withColumn("loaded_at", F.current_timestamp().cast("string"))
     at = Path(args.out) / "index"
-    old = spark.createDataFrame([tuple(r) for r in spark.read.schema(new.schema).json(str(at)).collect()], new.schema) if at.exists() else new.limit(0)
-    sync.replace_keyed(old, new, ["repo_slug"]).orderBy("repo_slug").coalesce(1).write.mode("overwrite").json(str(at))
+    old = spark.read.schema(new.schema).json(str(at)) if at.exists() else new.limit(0)
+    # written beside the old index, which it then replaces
+    fresh = at.with_name("index.new")
+    sync.replace_keyed(old, new, ["repo_slug"]).orderBy("repo_slug").write.mode("overwrite").json(str(fresh))
+    shutil.rmtree(at, ignore_errors=True)
+    fresh.rename(at)
     return int(not found)
 
 
@@ -93,8 +98,8 @@ def index(args: argparse.Namespace) -> int:
     for folder in sorted(p.parent for p in Path(args.raw_root).glob("*/repo")):
         head = spark.read.parquet(str(folder / "repo.parquet")).first()["head_commit"]
         files = spark.read.parquet(str(folder / "files.parquet"))
-        if args.skip_empty_hashes:
-            files = files.where("content_hash <> ''")
+        known = files.withColumns({"present": F.lit(True), "ord": F.col("path")})
+        files = chunking.eligible_files(known, args.limit, args.max_file_bytes, args.skip_empty_hashes)
         records, stats = chunking.index_files(files.withColumn("repo_slug", F.lit(folder.name)), head, config)
         records.write.mode("overwrite").parquet(f"{args.out}/{folder.name}")
         stats.show()
@@ -152,6 +157,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--max-bytes", type=int, default=1200)
     p.add_argument("--overlap", type=int, default=120)
     p.add_argument("--min-split", type=int, default=300)
+    p.add_argument("--limit", type=int)
+    p.add_argument("--max-file-bytes", type=int)
     p.add_argument("--skip-empty-hashes", action=argparse.BooleanOptionalAction, default=True)
     p.set_defaults(run=index)
     p = sub.add_parser("report")

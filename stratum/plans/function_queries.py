@@ -337,3 +337,61 @@ def sync_table_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SENT} SELECT version_key, sha256('pepper::a.py') AS file_hash, arg_max(o_orderkey, (head >= '1996', sent_at)) AS touch_count FROM sent GROUP BY 1")
 def sync_hotspots(spark: SparkSession, d: str) -> DataFrame:
     return _state(spark, d)["version_hotspots"].select("version_key", "file_hash", "touch_count")
+
+
+@query("""WITH k AS (SELECT p_partkey, unnest(['choice', 'choice', 'schema', 'schema', 'completion']) AS kind, unnest([0, 1, 0, 1, 0]) AS pos, p_size FROM part)
+SELECT p_partkey, kind, CAST(pos AS INT) AS pos, CAST(CASE kind WHEN 'choice' THEN 2 WHEN 'schema' THEN 4 + pos - CASE WHEN p_size % 2 = 0 THEN 3 ELSE 2 END ELSE 1 END AS INT) AS start, CAST(CASE kind WHEN 'choice' THEN 3 + pos WHEN 'schema' THEN 4 + pos ELSE 3 END AS INT) AS "end" FROM k""")
+def answer_spans(spark: SparkSession, d: str) -> DataFrame:
+    odd, lit = F.col("p_size") % 2, F.lit
+    given = {
+        "choice": F.array(F.array(lit(1), odd, lit(7)), F.array(lit(1), odd, lit(8), lit(9))),
+        "schema": F.array(F.array(lit(1), odd, lit(9), lit(9)), F.array(lit(2), lit(5), lit(0), lit(9), lit(9))),
+        "completion": F.array(F.array(F.col("p_size")), F.array(F.col("p_size"), lit(3), lit(4))),
+    }
+    out = None
+    for kind, sequences in given.items():
+        rows = table(spark, d, "part").select("p_partkey", F.lit(kind).alias("kind"), F.posexplode(corpus.answer_spans(sequences, kind)).alias("pos", "s")).select("p_partkey", "kind", "pos", "s.start", "s.end")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""SELECT p_partkey, array_to_string(list_concat(range(1, p_size + 1), list_transform(range(60 - p_size), lambda i: 0)), ',') AS ids, array_to_string(list_concat(list_transform(range(1, p_size + 1), lambda i: CASE WHEN i % 2 = 0 THEN i ELSE -1 END), list_transform(range(60 - p_size), lambda i: -1)), ',') AS targets FROM part""")
+def padded_rows(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.sequence(F.lit(1), F.col("p_size"))
+    rows = table(spark, d, "part").select("p_partkey", corpus.padded(ids, F.transform(ids, lambda i: (i + 1) % 2), 60, 0).alias("r"))
+    return rows.select("p_partkey", F.array_join("r.ids", ",").alias("ids"), F.array_join("r.targets", ",").alias("targets"))
+
+
+@query("SELECT vec_id, CASE WHEN embedding[4] >= embedding[8] AND embedding[4] >= embedding[12] THEN 3 WHEN embedding[8] >= embedding[12] THEN 7 ELSE 11 END AS choice FROM embeddings")
+def letter_choice(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", corpus.best_option(F.col("embedding"), F.array(F.lit(3), F.lit(7), F.lit(11))).alias("choice"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: i - len(replace(substr(p_name, 1, i), 'e', ''))), ',') AS trace FROM part")
+def letter_trace(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.array_join(corpus.letter_trace(F.col("p_name"), F.lit("e")), ",").alias("trace"))
+
+
+@query("SELECT doc_id, CAST(epoch AS INT) AS epoch FROM documents, range(3) r(epoch) WHERE epoch > 0 OR doc_id > 500")
+def epoch_rows(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.epochs(table(spark, d, "documents").select("doc_id"), "doc_id", 3, (0, 500))
+
+
+@query(f"""WITH {TOUCHES}, {SPOTS}, {PAIRS}, {DEGREE}, {AUTHORS}, {RISK}, {DOC_NAMES}, top AS (SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS dir, COUNT(*) AS n FROM names GROUP BY 1)
+SELECT 'hotspots' AS kind, '- ' || path || ': ' || touch_count || ' touches; last touched ' || last_touched AS line FROM (SELECT * FROM h ORDER BY touch_count DESC, path LIMIT 10)
+UNION ALL SELECT 'risk', '- ' || path || ': risk=' || risk_level || ' score=' || risk_score FROM (SELECT * FROM risk ORDER BY risk_score DESC, path LIMIT 10)
+UNION ALL SELECT 'co_changes', '- ' || file_a || ' <-> ' || file_b || ': ' || co_change_count || ' co-changes' FROM (SELECT * FROM p ORDER BY co_change_count DESC, file_a, file_b LIMIT 10)
+UNION ALL SELECT 'top_level', '- ' || dir || ': ' || n || ' files' FROM (SELECT * FROM top ORDER BY n DESC, dir LIMIT 12)""")
+def snapshot_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = touches(spark, d)
+    parts = {
+        "hotspots": serving.snapshot_lines("hotspots", with_day(gold.hotspots(rows, 200)), F.desc("touch_count"), "path"),
+        "risk": serving.snapshot_lines("risk", risk_levels(spark, d), F.desc("risk_score"), "path"),
+        "co_changes": serving.snapshot_lines("co_changes", gold.co_changes(rows, 2), F.desc("co_change_count"), "file_a", "file_b"),
+        "top_level": serving.snapshot_lines("top_level", gold.directory_counts(doc_names(spark, d))),
+    }
+    out = None
+    for kind, lines in parts.items():
+        one = lines.select(F.lit(kind).alias("kind"), "line")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -55,6 +55,27 @@ def read_object(spark: SparkSession, path: str) -> str | None:
     return row[0] if row else ""
 
 
+def put_object(spark: SparkSession, path: str, text: str) -> None:
+    """Write a whole text to a path, in place of what was there."""
+    at, files = _at(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def delete_object(spark: SparkSession, path: str) -> bool:
+    """Whether there was something at the path, which is gone now."""
+    at, files = _at(spark, path)
+    return bool(files.delete(at, False))
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def settings(path: str, override: bool = False) -> dict[str, str]:
     """KEY=VALUE lines put into the environment; '#' comments, matching quotes taken off."""
     out = {}
