@@ -540,9 +540,9 @@ def split_last_shard(spark: SparkSession, d: str) -> DataFrame:
     return corpus.split_last_shard(table(spark, d, "documents").select("doc_id", "source"), "source").select("doc_id", "split")
 
 
-@query("WITH r AS (SELECT doc_id, least(length(text), 1000) AS n FROM documents), s AS (SELECT *, SUM(n) OVER (ORDER BY doc_id) - n AS before FROM r) SELECT doc_id, CAST(n AS INT) AS n FROM s WHERE before <= 200000")
+@query("WITH r AS (SELECT doc_id, least(length(text), 10000) AS n FROM documents), s AS (SELECT *, SUM(n) OVER (ORDER BY doc_id) - n AS before FROM r) SELECT doc_id, CAST(n AS INT) AS n FROM s WHERE before <= 2000000000")
 def corpus_crop(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.crop_corpus(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", 1000, 200_000).select("doc_id", F.length("text").alias("n"))
+    return corpus.crop_corpus(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", 10_000, 2_000_000_000).select("doc_id", F.length("text").alias("n"))
 
 
 ENDS = "(total + o.n_chars >= 50000 AND (n + 1) % 8 = 0)"
