@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stratum.functions.paths import inside, language
 
@@ -155,28 +156,44 @@ def batches_by_count(rows: DataFrame, size: int, order: str, by: str = "file_pat
     return rows.withColumn("batch", F.floor(place / size).cast("int"))
 
 
+class Filling:
+    """Deals items to batches: one closes before an item that would exceed ``limit`` or the count ``most``."""
+
+    def __init__(self, limit: int, most: int) -> None:
+        self.limit, self.most, self.batch, self.used, self.count = limit, most, 0, 0, 0
+
+    def add(self, size: int) -> int:
+        if size > self.limit:
+            raise ValueError(f"one input of size {size} exceeds the limit {self.limit}")
+        if self.count and (self.count >= self.most or self.used + size > self.limit):
+            self.batch, self.used, self.count = self.batch + 1, 0, 0
+        self.used, self.count = self.used + size, self.count + 1
+        return self.batch
+
+
 def fill_batches(sizes: list[int], limit: int, most: int) -> list[int]:
-    """Batch of each item: a batch closes before an item that would exceed ``limit`` or the count ``most``."""
-    out, batch, used, count = [], 0, 0, 0
-    for n in sizes:
-        if count and (count >= most or used + n > limit):
-            batch, used, count = batch + 1, 0, 0
-        if n > limit:
-            raise ValueError(f"one input of size {n} exceeds the limit {limit}")
-        out.append(batch)
-        used, count = used + n, count + 1
-    return out
+    """Batch of each item of a list."""
+    return list(map(Filling(limit, most).add, sizes))
 
 
 def batches_by_budget(rows: DataFrame, size: str, limit: int, most: int, order: str, by: str = "file_path") -> DataFrame:
-    """Rows with ``batch``, filled in order up to ``limit`` of column ``size`` and ``most`` rows; batches never span files."""
-    schema = f"{rows.select('*').schema.simpleString()[7:-1].replace(':', ' ')}, batch int"
+    """Rows with ``batch``, filled in order up to ``limit`` of column ``size`` and ``most`` rows; batches never span files.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(batch=fill_batches(pdf[size].tolist(), limit, most))
+    Spark sorts each file's rows; they stream through, so a task holds no file whole.
+    """
+    schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])
 
-    return rows.groupBy(by).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, filling = None, None
+        for batch in batches:
+            out = []
+            for k, n in zip(batch.column(by).to_pylist(), batch.column(size).to_pylist(), strict=True):
+                if filling is None or k != key:
+                    key, filling = k, Filling(limit, most)
+                out.append(filling.add(n or 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "batch"])
+
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
 
 
 def token_count(text):  # noqa: ANN001, ANN201

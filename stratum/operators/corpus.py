@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Tokens of a rendered conversation.
 SPECIAL = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
@@ -74,71 +80,89 @@ def crop_corpus(docs: DataFrame, order: str, text: str, doc_cap: int, max_chars:
     return rows.join(before, "__block").withColumn("__run", run).where(F.col("__run") <= max_chars).drop("__n", "__block", "__before", "__run")
 
 
-def assign_shards(sizes: list[int], chars: int, group: int) -> list[int]:
-    """Shard of each document: one ends when it has ``chars`` or more and a multiple of ``group`` documents; -1 for the rest."""
-    out, shard, first, total = [], 0, 0, 0
-    for i, n in enumerate(sizes):
-        out.append(shard)
-        total += n
-        if total >= chars and (i + 1 - first) % group == 0:
-            shard, first, total = shard + 1, i + 1, 0
-    return [s if s < shard else -1 for s in out]
+def in_order(rows: DataFrame, by: str, order: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """(by, what ``fold`` gives) of each group's other columns, which it gets a row at a time, sorted by ``order``.
 
+    For folds in which each row's result hangs on those before it.  Groups are sorted by Spark,
+    which spills, and streamed through the fold, so a task holds only what the fold keeps, however
+    large a group is.
+    """
+    fields = StructType.fromDDL(f"__by {dict(rows.dtypes)[by]}, {schema}")
+    shape = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = ((key, *out) for key, own in groupby(values, itemgetter(0)) for out in fold(row[1:] for row in own))
+        while some := list(islice(found, 16_384)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), shape, strict=True)], schema=shape)
+
+    rest = [c for c in rows.columns if c != by]
+    return rows.select(by, *rest).repartition(by).sortWithinPartitions(by, order).mapInArrow(run, fields).withColumnRenamed("__by", by)
+
+
+def closed_shards(docs: Iterable[tuple], chars: int, group: int) -> Iterator[tuple]:
+    """(document, size, shard) of (document, size): a shard ends when it has ``chars`` or more and a multiple of ``group`` documents; -1 for the rest.
+
+    Holds the documents of one shard.
+    """
+    shard, held, total = 0, [], 0
+    for doc, size in docs:
+        held.append((doc, size))
+        total += size or 0
+        if total >= chars and len(held) % group == 0:
+            yield from ((*d, shard) for d in held)
+            shard, held, total = shard + 1, [], 0
+    yield from ((*d, -1) for d in held)
 
-def shards(docs: DataFrame, stream: str, order: str, size: str, chars: int, group: int) -> DataFrame:
-    """(stream, order, shard) of ordered streams; only keys and sizes go to the fold."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(shard=assign_shards(pdf[size].tolist(), chars, group))
 
+def assign_shards(sizes: Iterable[int], chars: int, group: int) -> list[int]:
+    """Shard of each document of a list."""
+    return [s for *_, s in closed_shards(enumerate(sizes), chars, group)]
+
+
+def shards(docs: DataFrame, stream: str, order: str, size: str, chars: int, group: int) -> DataFrame:
+    """(stream, order, size, shard) of ordered streams; only keys and sizes go to the fold."""
     types = dict(docs.dtypes)
-    return docs.select(stream, order, size).groupBy(stream).applyInPandas(run, f"{stream} {types[stream]}, {order} {types[order]}, {size} {types[size]}, shard int")
+    return in_order(docs.select(stream, order, size), stream, order, lambda rows: closed_shards(rows, chars, group), f"{order} {types[order]}, {size} {types[size]}, shard int")
 
 
-def pack_rows(sizes: list[int], capacity: int, buffer: int, crop: bool) -> list[tuple[int, int, int, int]]:
-    """(row, offset, document, taken): best fit from a buffer of documents.
+def packed(docs: Iterable[tuple], capacity: int, buffer: int, crop: bool) -> Iterator[tuple]:
+    """(row, offset, document, taken) of (document, size): best fit from a buffer of documents.
 
     The largest that fits goes next, the earliest of equals.  Where none fits, the shortest is
-    cropped to fill the row, or the row is left short if ``crop`` is false.
+    cropped to fill the row, or the row is left short if ``crop`` is false.  Holds the buffer alone,
+    sorted by size and, of equals, latest first.
     """
-    out, held, nxt, row, used = [], [], 0, 0, 0
+    coming, held, count, row, used = iter(docs), [], 0, 0, 0
     while True:
-        while len(held) < buffer and nxt < len(sizes):
-            held.append(nxt)
-            nxt += 1
+        for doc, size in islice(coming, buffer - len(held)):
+            insort(held, (size or 0, -count, doc))
+            count += 1
         if not held:
-            return out
+            return
         left = capacity - used
-        fits = [i for i in held if sizes[i] <= left]
-        if fits:
-            best = max(fits, key=lambda i: (sizes[i], -i))
-            taken = sizes[best]
-        elif crop:
-            best = min(held, key=lambda i: (sizes[i], i))
-            taken = left
-        elif used:
+        at = bisect_right(held, left, key=itemgetter(0)) - 1
+        if at < 0 and not crop and used:
             row, used = row + 1, 0
             continue
-        else:  # longer than a row: only its beginning can stay
-            best = min(held, key=lambda i: (sizes[i], i))
-            taken = capacity
-        held.remove(best)
-        out.append((row, used, best, taken))
+        # none fits: the earliest of the shortest, to fill the row (one longer than an empty row keeps its beginning)
+        at = at if at >= 0 else bisect_right(held, held[0][0], key=itemgetter(0)) - 1
+        size, _, doc = held.pop(at)
+        taken = min(size, left)
+        yield row, used, doc, taken
         used += taken
         if used == capacity:
             row, used = row + 1, 0
 
 
-def best_fit(docs: DataFrame, shard: str, order: str, size: str, capacity: int, buffer: int = 1000, crop: bool = True) -> DataFrame:
-    """(shard, row, offset, doc, taken) of documents packed in order within each shard."""
-    types = dict(docs.dtypes)
+def pack_rows(sizes: Iterable[int], capacity: int, buffer: int, crop: bool) -> list[tuple[int, int, int, int]]:
+    """(row, offset, document, taken) of a list of sizes."""
+    return list(packed(enumerate(sizes), capacity, buffer, crop))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        placed = pack_rows(pdf[size].tolist(), capacity, buffer, crop)
-        return pd.DataFrame([(pdf[shard][0], r, o, pdf[order][i], t) for r, o, i, t in placed], columns=[shard, "row", "offset", "doc", "taken"])
 
-    return docs.select(shard, order, size).groupBy(shard).applyInPandas(run, f"{shard} {types[shard]}, row int, offset int, doc {types[order]}, taken int")
+def best_fit(docs: DataFrame, shard: str, order: str, size: str, capacity: int, buffer: int = 1000, crop: bool = True) -> DataFrame:
+    """(shard, row, offset, doc, taken) of documents packed in order within each shard."""
+    return in_order(docs.select(shard, order, size), shard, order, lambda rows: packed(rows, capacity, buffer, crop), f"row int, offset int, doc {dict(docs.dtypes)[order]}, taken int")
 
 
 def conversations(turns: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:

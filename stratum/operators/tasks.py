@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -54,6 +55,52 @@ def evaluation_bundle(spark: SparkSession, tasks: Sequence[dict], baselines: str
     return out.join(F.broadcast(base), "label")
 
 
+@dataclass(frozen=True)
+class Task:
+    """A view of conversations (``index``, messages and what ``correct`` needs): every ``step``-th from ``start`` to below ``stop``.
+
+    ``kind``: generative or categorical.  ``correct``: whether a row's completion is right, as a
+    column over the conversation's columns and the completion.  ``reward``: its worth, 1 or 0 by
+    ``correct`` where none is given.
+    """
+
+    rows: DataFrame
+    kind: str
+    correct: Callable[[Column], Column]
+    reward: Callable[[Column], Column] | None = None
+    index: str = "index"
+    start: int = 0
+    stop: int | None = None
+    step: int = 1
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("generative", "categorical"):
+            raise ValueError(f"unknown kind {self.kind}")
+        if self.start < 0 or self.step < 1 or (self.stop is not None and self.stop < self.start):
+            raise ValueError("bad slice")
+
+    def __len__(self) -> int:
+        """Number of examples of the view, whose end may lie behind the last row."""
+        stop = self.rows.count() if self.stop is None else self.stop
+        return max(0, -((self.start - stop) // self.step))
+
+    def examples(self) -> DataFrame:
+        """The view's rows, with the place in it as ``index`` and the row's own as ``of``."""
+        return corpus.sliced(self.rows.withColumnRenamed(self.index, "of"), "of", self.start, self.stop, self.step)
+
+    def example(self, index: int) -> DataFrame:
+        """The one row at a place of the view."""
+        at = self.start + index * self.step
+        return corpus.sliced(self.rows.withColumnRenamed(self.index, "of"), "of", at, at + 1).withColumn("index", F.lit(index))
+
+    def evaluated(self, completions: DataFrame) -> DataFrame:
+        """(index, completion) rows with ``correct`` and ``reward``; a completion of no example is left out, none counts as wrong."""
+        said = F.col("completion")
+        right = F.coalesce(self.correct(said).cast("boolean"), F.lit(False))
+        worth = right.cast("double") if self.reward is None else self.reward(said)
+        return self.examples().join(completions.select("index", "completion"), "index").select("index", "completion", right.alias("correct"), worth.alias("reward"))
+
+
 def seeded_head(rows: DataFrame, index: str, most: int, seed: int = 1337) -> DataFrame:
     """The first rows of a seeded order."""
     return rows.orderBy(F.xxhash64(index, F.lit(seed)), index).limit(most)

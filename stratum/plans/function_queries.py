@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratum.functions import paths
+from stratum.functions import paths, tokens
 from stratum.operators import chunking, corpus, gold, imports, metrics, serving, sync, tasks, vectors
 from stratum.plans.registry import AUTHORS, DEGREE, DOC_NAMES, PAIRS, RISK, SPOTS, TOUCHES, doc_names, query, risk_levels, table, touches, with_day
 
@@ -395,3 +395,51 @@ def snapshot_lines(spark: SparkSession, d: str) -> DataFrame:
         one = lines.select(F.lit(kind).alias("kind"), "line")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def ranks_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, 50256 AS first_id, 50257 AS last_id FROM documents")
+def tokenizer_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text to ids, between the first two special tokens, and back."""
+    path = ranks_file()
+    ids = tokens.encode(F.col("text"), path, "<|bos|>", "<|user_start|>")
+    rows = table(spark, d, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.col("ids")[0].alias("first_id"), F.element_at("ids", -1).alias("last_id"), tokens.decode(F.slice("ids", 2, F.size("ids") - 2), path).alias("text"))
+    return rows.select("doc_id", F.sha2("text", 256).alias("sha256"), "first_id", "last_id")
+
+
+@query("""WITH l AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+r AS (SELECT vec_id, x::DOUBLE AS x, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k, max(x::DOUBLE) OVER (PARTITION BY vec_id) AS m FROM l),
+c AS (SELECT vec_id, i, k, SUM(exp((x - m) / 0.5)) OVER (PARTITION BY vec_id ORDER BY k) AS run, SUM(exp((x - m) / 0.5)) OVER (PARTITION BY vec_id) AS total FROM r WHERE k <= 5)
+SELECT vec_id, CAST(first(i ORDER BY k) FILTER (run > (vec_id % 97) / 97.0 * total) AS INT) AS drawn, (SELECT CAST(i AS INT) FROM r WHERE r.vec_id = c.vec_id AND k = 1) AS greedy FROM c GROUP BY vec_id""")
+def next_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """A token of each vector's components as logits, of the five largest by a given draw, and the largest."""
+    logits, draw = F.col("embedding").cast("array<double>"), (F.col("vec_id") % 97) / F.lit(97.0)
+    return table(spark, d, "embeddings").select("vec_id", tokens.next_token(logits, draw, 0.5, 5).alias("drawn"), tokens.next_token(logits, draw, 0.0).alias("greedy"))
+
+
+@query("""SELECT p_partkey, 'a{' || p_size || '*2}[' || p_size * 2 || ']b' AS text, repeat('1', 5 + length(p_size::VARCHAR)) || repeat('0', 2 + length((p_size * 2)::VARCHAR)) || '1' AS mask FROM part""")
+def tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled streams with a call, whose answer takes the place of what was sampled behind it."""
+    marks = {"<|python_start|>": "{", "<|python_end|>": "}", "<|output_start|>": "[", "<|output_end|>": "]", "<|assistant_end|>": "$", "<|bos|>": "^"}
+    special = {k: ord(v) for k, v in marks.items()}
+    size = F.col("p_size").cast("string")
+    drawn = F.concat(F.lit("a{"), size, F.lit("*2}"), F.repeat(F.lit("z"), F.length((F.col("p_size") * 2).cast("string")) + 2), F.lit("b$never"))
+    codes = F.transform(F.split(drawn, ""), F.ascii)
+    done = tokens.answer_calls(codes, special, lambda ids: "".join(map(chr, ids)), lambda text: [ord(c) for c in text])
+    rows = table(spark, d, "part").select("p_partkey", done.alias("x"))
+    return rows.select("p_partkey", F.array_join(F.transform("x.ids", lambda i: F.char(i)), "").alias("text"), F.array_join(F.transform("x.mask", lambda b: b.cast("string")), "").alias("mask"))
+
+
+@query("""WITH o AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part)
+SELECT CAST((k - 3) // 2 AS INT) AS "index", CAST((k - 3) // 2 % 50 AS VARCHAR) AS completion, (k - 3) // 2 % 50 = p_size AS correct, CASE WHEN (k - 3) // 2 % 50 = p_size THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM o WHERE k >= 3 AND (k - 3) % 2 = 0 AND (k - 3) // 2 IN (SELECT p_partkey FROM part)""")
+def task_evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """Every second part from the fourth as a question for its size, answered by place."""
+    rows = tasks.question_conversations(table(spark, d, "part").select(F.col("p_partkey").alias("index"), F.col("p_size").cast("string").alias("size"), "p_name"), "p_name", "size")
+    task = tasks.Task(rows, "generative", lambda said: said == F.col("size"), start=3, step=2)
+    said = table(spark, d, "part").select(F.col("p_partkey").alias("index"), (F.col("p_partkey") % 50).cast("string").alias("completion"))
+    return task.evaluated(said)
