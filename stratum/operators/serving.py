@@ -191,6 +191,13 @@ def read_prefix(files: DataFrame, most: int = 12_000) -> DataFrame:
     return files.select("path", F.substring("content", 1, most).alias("content"), (F.length("content") > most).alias("truncated"))
 
 
+def selected_files(files: DataFrame, candidates: DataFrame, most: int = 100_000, order: str = "place") -> DataFrame:
+    """(place, path, content, truncated) of the candidates (place, path) that are files, in their order; bytes that aren't UTF-8 become U+FFFD."""
+    told = files.select("path", F.make_valid_utf8(F.col("content").cast("binary").cast("string")).alias("content"))
+    rows = candidates.select(order, "path").join(told, "path")
+    return rows.select(order, "path", F.substring("content", 1, most).alias("content"), (F.length("content") > most).alias("truncated")).orderBy(order)
+
+
 def sections(documents: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, pos, title, body) of a text's parts that begin with '## ' at a line's start; what stands before is left out."""
     parts = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n## ", -1)

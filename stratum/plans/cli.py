@@ -1,17 +1,19 @@
 """Command line: ingest, transform and load of repositories, indexing, and preset reports.
 
-    python -m stratum.plans.cli ingest --repo URL --raw-root raw [--branch B] [--depth N]
+    python -m stratum.plans.cli ingest --repo URL --raw-root raw [--clones DIR] [--branch B] [--depth N]
     python -m stratum.plans.cli transform --raw-root raw --out gold [--top-n-hotspots 20]
     python -m stratum.plans.cli load --gold gold --out snapshots
     python -m stratum.plans.cli index --raw-root raw --out vectors [--max-bytes 1200 --overlap 120 --min-split 300]
     python -m stratum.plans.cli report summary|versions|hotspots|sync-runs --tables DIR [--limit 20] [--tenant-id T]
     python -m stratum.plans.cli snapshot --snapshots snapshots --slice hotspots [--repo SLUG]
+
+All folders may lie on any file system that Spark reads, but for that of the clones, which must be
+mounted on all machines; it is the raw root if none is given.
 """
 
 from __future__ import annotations
 
 import argparse
-import shutil
 import sys
 from pathlib import Path
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratum.functions.paths import slug
 from stratum.operators import chunking, gold, imports, sync
-from stratum.sources import git as git_source
+from stratum.sources import git as git_source, text
 
 SLICES = ("hotspots", "risk_levels", "conventions", "authorship", "co_change_pairs", "import_edges", "directories", "suffixes", "start_here")
 
@@ -51,11 +53,11 @@ def ingest(args: argparse.Namespace) -> int:
     spark, good = session(), 0
     for url in args.repo:
         name = spark.range(1).select(slug(F.lit(url))).first()[0]
-        folder = Path(args.raw_root) / name / "repo"
+        folder = Path(args.clones or args.raw_root) / name / "repo"
         try:
             git_source.fetch_or_clone(url, folder, args.branch, args.depth)
             for table, df in git_source.ingest(spark, url, str(folder.resolve())).items():
-                df.write.mode("overwrite").parquet(str(folder.parent / f"{table}.parquet"))
+                df.write.mode("overwrite").parquet(f"{args.raw_root}/{name}/{table}.parquet")
             good += 1
         except Exception as e:  # noqa: BLE001
             print(f"{url}: {e}", file=sys.stderr)
@@ -64,44 +66,43 @@ def ingest(args: argparse.Namespace) -> int:
 
 def transform(args: argparse.Namespace) -> int:
     spark, good = session(), 0
-    for folder in sorted(p.parent for p in Path(args.raw_root).glob("*/repo")):
+    for repo in text.folders(spark, args.raw_root, "touches.parquet"):
         try:
-            tables = {t: spark.read.parquet(str(folder / f"{t}.parquet")) for t in ("files", "touches")}
+            tables = {t: spark.read.parquet(f"{args.raw_root}/{repo}/{t}.parquet") for t in ("files", "touches")}
             for name, df in gold_tables(tables, args.top_n_hotspots).items():
-                df.write.mode("overwrite").parquet(f"{args.out}/{folder.name}/{name}")
+                df.write.mode("overwrite").parquet(f"{args.out}/{repo}/{name}")
             good += 1
         except Exception as e:  # noqa: BLE001
-            print(f"{folder.name}: {e}", file=sys.stderr)
+            print(f"{repo}: {e}", file=sys.stderr)
     return int(not good)
 
 
 def load(args: argparse.Namespace) -> int:
     """Snapshots of each repository as JSON, and an index in which a repository replaces its old entry."""
-    spark, found = session(), sorted(Path(args.gold).glob("*/hotspots"))
-    for path in found:
+    spark = session()
+    found = text.folders(spark, args.gold, "hotspots")
+    for repo in found:
         for name in SLICES:
-            spark.read.parquet(str(path.parent / name)).coalesce(1).write.mode("overwrite").json(f"{args.out}/{path.parent.name}/{name}")
-    new = spark.createDataFrame([(p.parent.name,) for p in found], "repo_slug string").withColumn("loaded_at", F.current_timestamp().cast("string"))
-    at = Path(args.out) / "index"
-    old = spark.read.schema(new.schema).json(str(at)) if at.exists() else new.limit(0)
+            spark.read.parquet(f"{args.gold}/{repo}/{name}").coalesce(1).write.mode("overwrite").json(f"{args.out}/{repo}/{name}")
+    new = spark.createDataFrame([(repo,) for repo in found], "repo_slug string").withColumn("loaded_at", F.current_timestamp().cast("string"))
+    at = f"{args.out}/index"
+    old = spark.read.schema(new.schema).json(at) if text.exists(spark, at) else new.limit(0)
     # written beside the old index, which it then replaces
-    fresh = at.with_name("index.new")
-    sync.replace_keyed(old, new, ["repo_slug"]).orderBy("repo_slug").write.mode("overwrite").json(str(fresh))
-    shutil.rmtree(at, ignore_errors=True)
-    fresh.rename(at)
+    sync.replace_keyed(old, new, ["repo_slug"]).orderBy("repo_slug").write.mode("overwrite").json(f"{at}.new")
+    text.put_in_place(spark, f"{at}.new", at)
     return int(not found)
 
 
 def index(args: argparse.Namespace) -> int:
     spark = session()
     config = chunking.ChunkConfig(args.max_bytes, args.overlap, args.min_split)
-    for folder in sorted(p.parent for p in Path(args.raw_root).glob("*/repo")):
-        head = spark.read.parquet(str(folder / "repo.parquet")).first()["head_commit"]
-        files = spark.read.parquet(str(folder / "files.parquet"))
+    for repo in text.folders(spark, args.raw_root, "files.parquet"):
+        head = spark.read.parquet(f"{args.raw_root}/{repo}/repo.parquet").first()["head_commit"]
+        files = spark.read.parquet(f"{args.raw_root}/{repo}/files.parquet")
         known = files.withColumns({"present": F.lit(True), "ord": F.col("path")})
         files = chunking.eligible_files(known, args.limit, args.max_file_bytes, args.skip_empty_hashes)
-        records, stats = chunking.index_files(files.withColumn("repo_slug", F.lit(folder.name)), head, config)
-        records.write.mode("overwrite").parquet(f"{args.out}/{folder.name}")
+        records, stats = chunking.index_files(files.withColumn("repo_slug", F.lit(repo)), head, config)
+        records.write.mode("overwrite").parquet(f"{args.out}/{repo}")
         stats.show()
     return 0
 
@@ -123,13 +124,13 @@ def report(args: argparse.Namespace) -> int:
 
 def snapshot(args: argparse.Namespace) -> int:
     spark = session()
-    names = [args.repo] if args.repo else sorted(p.name for p in Path(args.snapshots).iterdir() if p.name != "index")
+    names = [args.repo] if args.repo else [n for n in text.folders(spark, args.snapshots) if n != "index"]
     for name in names:
-        path = Path(args.snapshots) / name / args.slice
-        if not path.exists():
+        path = f"{args.snapshots}/{name}/{args.slice}"
+        if not text.exists(spark, path):
             print(f"{name}: no {args.slice}", file=sys.stderr)
             return 1
-        spark.read.json(str(path)).show(50, False)
+        spark.read.json(path).show(50, False)
     return 0
 
 
@@ -139,6 +140,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("ingest")
     p.add_argument("--repo", action="append", required=True)
     p.add_argument("--raw-root", required=True)
+    p.add_argument("--clones")
     p.add_argument("--branch")
     p.add_argument("--depth", type=int)
     p.set_defaults(run=ingest)

@@ -443,3 +443,13 @@ def task_evaluated(spark: SparkSession, d: str) -> DataFrame:
     task = tasks.Task(rows, "generative", lambda said: said == F.col("size"), start=3, step=2)
     said = table(spark, d, "part").select(F.col("p_partkey").alias("index"), (F.col("p_partkey") % 50).cast("string").alias("completion"))
     return task.evaluated(said)
+
+
+@query("""WITH c AS (SELECT part.p_partkey AS place, (part.p_partkey * 7) % 1500 AS id FROM part)
+SELECT place, 'docs/' || doc_id || '.md' AS path, substr(text, 1, 500) AS content, length(text) > 500 AS truncated FROM c JOIN documents ON doc_id = id WHERE text IS NOT NULL""")
+def selected_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that candidates name, some of which aren't there, cut to 500 characters."""
+    name = lambda c: F.concat(F.lit("docs/"), c.cast("string"), F.lit(".md"))
+    files = table(spark, d, "documents").where("text is not null").select(name(F.col("doc_id")).alias("path"), F.col("text").alias("content"))
+    candidates = table(spark, d, "part").select(F.col("p_partkey").alias("place"), name((F.col("p_partkey") * 7) % 1500).alias("path"))
+    return serving.selected_files(files, candidates, 500)

@@ -47,9 +47,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_object(spark: SparkSession, path: str) -> str | None:
     """The text at a path, or None."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return None
     row = spark.read.option("wholetext", True).text(path).first()
     return row[0] if row else ""
@@ -71,6 +69,28 @@ def delete_object(spark: SparkSession, path: str) -> bool:
     return bool(files.delete(at, False))
 
 
+def folders(spark: SparkSession, path: str, holding: str = "") -> list[str]:
+    """Names of the folders right below a path in which there is ``holding``, sorted; none where there is no such path."""
+    at, files = _at(spark, path)
+    if not files.exists(at):
+        return []
+    names = sorted(f.getPath().getName() for f in files.listStatus(at) if f.isDirectory())
+    return [n for n in names if not holding or exists(spark, f"{path}/{n}/{holding}")]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _at(spark, path)
+    return bool(files.exists(at))
+
+
+def put_in_place(spark: SparkSession, fresh: str, path: str) -> None:
+    """Move a folder to a path, in place of what was there."""
+    at, files = _at(spark, path)
+    files.delete(at, True)
+    if not files.rename(_at(spark, fresh)[0], at):
+        raise OSError(f"{fresh} couldn't be moved to {path}")
+
+
 def _at(spark: SparkSession, path: str) -> tuple:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -48,6 +48,14 @@ def test_repository_end_to_end(spark, tmp_path):
     assert spark.read.json(f"{snap}/index").count() == 1 and spark.read.json(f"{snap}/{name}/risk_levels").count() == 5
     assert cli.main(["snapshot", "--snapshots", snap, "--slice", "hotspots", "--repo", name]) == 0
     assert cli.main(["ingest", "--repo", "file:///none", "--raw-root", str(tmp_path / "x")]) == 1
+    # tables by a path of Spark's, apart from the clones
+    away = f"file://{tmp_path}/away"
+    assert cli.main(["ingest", "--repo", f"file://{repo}", "--raw-root", away, "--clones", str(tmp_path / "clones")]) == 0
+    assert not (tmp_path / "away" / name / "repo").exists() and (tmp_path / "clones" / name / "repo" / ".git").exists()
+    assert cli.main(["transform", "--raw-root", away, "--out", f"{away}-gold"]) == 0
+    assert spark.read.parquet(f"{away}-gold/{name}/hotspots").count() == 5
+    assert cli.main(["snapshot", "--snapshots", snap, "--slice", "hotspots", "--repo", "none"]) == 1
+    assert cli.main(["transform", "--raw-root", str(tmp_path / "nothing"), "--out", out]) == 1
 
 
 def test_numstat_lines(spark):
