@@ -133,8 +133,9 @@ def parabola(rows: DataFrame, x: Column, y: Column, by: Sequence[str] = ()) -> D
     """(by, a, b, c, x_best, y_best): y = a x² + b x + c from the moments, about the mean of x, all combined before the shuffle.
 
     The best x is the vertex where the curve opens upward, else that of the row with the least y.
+    Rows without x or y are left out.
     """
-    d = rows.select(*by, x.alias("x"), y.alias("y"))
+    d = rows.select(*by, x.alias("x"), y.alias("y")).where("x is not null and y is not null")
     d = _with_means(d, by, F.avg("x").alias("m")).withColumn("u", F.col("x") - F.col("m"))
     u, yy = F.col("u"), F.col("y")
     s = d.groupBy(*by, "m").agg(F.count("*").alias("n"), *(F.sum(F.pow(u, F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)), *(F.sum(F.pow(u, F.lit(k)) * yy).alias(f"t{k}") for k in (0, 1, 2)), F.min_by("x", "y").alias("x_least"), F.min("y").alias("y_least"))
@@ -162,10 +163,10 @@ def ridge(rows: DataFrame, by: str, features: Sequence[str], target: str, penalt
     """(by, intercept, weights, r2): ridge regression whose intercept isn't penalised.
 
     Sums of products about the means are combined before the shuffle; only a row of them for each
-    group is solved in Python.
+    group is solved in Python.  Rows with a null among features and target are left out.
     """
     n, names = len(features), [*features, target]
-    d = _with_means(rows.select(by, *(F.col(c).cast("double").alias(c) for c in names)), [by], *(F.avg(c).alias(f"__m{k}") for k, c in enumerate(names)))
+    d = _with_means(rows.select(by, *(F.col(c).cast("double").alias(c) for c in names)).dropna(subset=names), [by], *(F.avg(c).alias(f"__m{k}") for k, c in enumerate(names)))
     off = [F.col(c) - F.col(f"__m{k}") for k, c in enumerate(names)]
     products = [F.sum(off[i] * off[j]) for i in range(n + 1) for j in range(n + 1)]
     sums = d.groupBy(by).agg(F.array(*(F.first(f"__m{k}") for k in range(n + 1))).alias("means"), F.array(*products).alias("products"))

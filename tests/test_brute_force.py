@@ -178,3 +178,15 @@ def test_a_streamed_batch_keeps_whole_rows(spark, tmp_path):
 
     streams.sync_stream(stream, lambda: None, write, ["k"], str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, held["rows"])) == [(1, "a", "new", "2", "5"), (2, "q", "r", "1", "1")]
+
+
+def test_fits_leave_out_rows_with_nulls(spark):
+    draw = random.Random(5)
+    data = [("a", draw.random(), draw.random(), draw.random()) for _ in range(30)]
+    holes = [("a", None, 1.0, 9.0), ("a", 1.0, 2.0, None), ("b", None, None, None)]
+    schema = "k string, x double, y double, t double"
+    whole, with_holes = spark.createDataFrame(data, schema), spark.createDataFrame(data + holes, schema)
+    for fit in (lambda d: metrics.ridge(d, "k", ["x", "y"], "t"), lambda d: metrics.parabola(d, F.col("x"), F.col("t"), ["k"])):
+        (a,), (b,) = fit(whole).collect(), fit(with_holes).collect()
+        flat = lambda r: [v for c in r[1:] for v in (c if isinstance(c, list) else [c])]
+        assert a["k"] == b["k"] and np.allclose(flat(a), flat(b))
