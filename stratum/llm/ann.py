@@ -115,6 +115,20 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
+def pair_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner product of each row with ``q``, added up in the order of the components: equal rows score equally wherever they stand."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * q[d]
+    return out
+
+
+def near_best(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of the rows that may be among the ``k`` largest when each score is off by up to ``slack``."""
+    least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+    return np.flatnonzero((scores >= least - 2 * slack) & (scores > -np.inf))
+
+
 def _blocks(sizes: np.ndarray, alone: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """First block and number of blocks of each leaf: leaves that follow one another share a block up to ``most`` rows, those from ``alone`` on share none."""
     first, many, block, used = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
@@ -136,8 +150,9 @@ def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     visits is widened until the true neighbours of ``CALIBRATE`` queries, found by comparing them
     with all rows, are in the visited leaves with the aimed-at recall, and for each query until
     its leaves hold more than ``k`` rows.  Leaves are searched in blocks of rows, at least two for
-    each task of a shuffle where there are rows enough, so a leaf of any size is spread; scores
-    are inner products in float64.
+    each task of a shuffle where there are rows enough, so a leaf of any size is spread.  A matrix
+    product finds the candidates, with what its rounding may be off; scores are then added up in
+    float64 in the order of the components, so equal vectors have equal scores, ranked by id.
 
     Rows with null ids or unusable vectors take no part.  A vector's candidates are those of its
     own width; widths other than the most frequent are a leaf each, compared whole.  Rows that
@@ -226,7 +241,8 @@ def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
         ids, x, leaf = left["id"].to_numpy(), matrix(left["v"]), left["leaf"].to_numpy()
         own, q, wanted = right["id"].to_numpy(), matrix(right["v"]), right["leaves"].to_pylist()
         low, place = int(leaf.min()), leaf - int(leaf.min())
-        out = []
+        # what a matrix product's order of summation may change of any score
+        slack, out = 4e-16 * x.shape[1] * np.sqrt((x * x).sum(1).max()), []
         for a in range(0, len(own), 256):
             scores = q[a : a + 256] @ x.T
             asked_ = np.zeros((len(scores), int(place.max()) + 1), dtype=bool)
@@ -235,9 +251,10 @@ def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
             scores[~asked_[:, place]] = -np.inf
             for j in range(len(scores)):
                 scores[j, ids == own[a + j]] = -np.inf
-                best = _best(ids, scores[j], k)
-                best = best[scores[j, best] > -np.inf]
-                out.append((np.full(len(best), own[a + j]), ids[best], scores[j, best]))
+                some = near_best(scores[j], k, slack * np.sqrt((q[a + j] * q[a + j]).sum()))
+                exact = pair_scores(x[some], q[a + j])
+                best = _best(ids[some], exact, k)
+                out.append((np.full(len(best), own[a + j]), ids[some[best]], exact[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 

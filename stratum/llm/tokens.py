@@ -5,6 +5,10 @@ follows a visible character, and after a single line break.  Each distinct piece
 then encoded once, by the model of the ``tokenizers`` library, and remembered while it is
 frequent; the ids are the same as those of the whole text.  The tokenizer file's added tokens
 (``<|endoftext|>``) are cut out of a text first, as the tokenizer does, and stand for their own ids.
+
+Words are split by ``regex``, whose tables of letters and numbers are of another Unicode version than
+the library's.  Code points that Python's older table doesn't know may be classed apart, so a piece
+that holds one is split by the library's own pre-tokeniser.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ KEEP_PIECES, KEEP_WORDS = 500_000, 150_000
 BLOCK_BYTES = 8 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[type, str], Encoder] = {}
+_unknown: list[str] = []
 
 
 def default_vocabulary() -> str:
@@ -34,13 +39,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def unassigned() -> str:
+    """A character class of the code points that Python's Unicode table leaves unassigned."""
+    if not _unknown:
+        import unicodedata
+
+        free = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8))).reshape(-1, 2)
+        _unknown.append("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]")
+    return _unknown[0]
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import json
         import re
 
         import regex
-        from tokenizers import models
+        from tokenizers import models, pre_tokenizers
 
         file = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
         model, added = file["model"], file.get("added_tokens") or []
@@ -55,9 +71,20 @@ class Encoder:
         self.find_added = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         # Fixed value: the pre-tokenisation pattern of this vocabulary.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        self._empty()
+
+    def _empty(self) -> None:
+        import re
+
+        self.odd = re.compile(unassigned()).search
         self.pieces: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def _odd(self, text: str) -> bytes:
+        """Ids of a text with code points that tables of different versions may class apart."""
+        return b"".join(array(self.code, [t.id for t in self.model.tokenize(plain)]).tobytes() for plain, _ in self.cut(text))
+
     def _word(self, word: str) -> bytes:
         ids = self.known.get(word)
         if ids is None:
@@ -82,6 +109,8 @@ class Encoder:
         if piece in self.added:
             return self.added[piece]
         text = piece.decode()
+        if not text.isascii() and self.odd(text):
+            return self._odd(text)
         if text[1:].isalpha() and text[0] == " ":
             return self._word(text)
         if text[1:-1].isalpha() and text[0] == " " and text[-1] in ",.":
@@ -136,11 +165,11 @@ class Encoder:
         return flat[at], np.concatenate(([0], ends))[first]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kind: type[Encoder] = Encoder) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def encoded(column: pa.Array, path: str, end_id: int | None = 0) -> Iterator[tuple[int, np.ndarray]]:

@@ -141,6 +141,30 @@ def test_search_recall_ties_and_odd_vectors(spark, monkeypatch):
     assert ann.search(table(spark, ODD), F.col("id") % 20 == 0).collect() == [] and len(ann.search(table(spark, rows[:2]), F.col("id") >= 0).collect()) == 2
 
 
+def test_copies_of_a_vector_score_alike_and_rank_by_id(spark, monkeypatch):
+    """Copies spread over blocks and leaves, against a ranking of the distinct vectors."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK", 90)
+    monkeypatch.setattr(ann, "RECALL", 1.0)
+    rnd = np.random.default_rng(8)
+    distinct = rnd.normal(size=(400, 64)).astype(np.float32)
+    which = rnd.permutation(np.repeat(np.arange(400), 4))
+    rows = [(i, [float(v) for v in distinct[w]], 0) for i, w in enumerate(which.tolist())]
+    df = table(spark, rows).withColumns({"id": F.lit(1), "v": F.lit("x"), "leaf": F.lit(0), "score": F.lit(0)})  # names that the operator has too
+    found = {}
+    for r in ann.search(df, F.col("id") % 20 == 0, k=20, recall=1.0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = distinct.astype(np.float64)
+    for q, own in found.items():
+        scores = ann.pair_scores(x, x[which[q]])
+        want = sorted((-scores[w], i) for i, w in enumerate(which.tolist()) if i != q)[:20]
+        got = [(-s, i) for _, i, s in sorted(own)]
+        assert got == sorted(got) and len({s for s, _ in got}) == len({which[i] for _, i in got})
+        if got[-1][0] == want[-1][0]:  # all found: then they are the brute-force ones, ties cut by id
+            assert got == want
+    assert len(found) == 80
+
+
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cover_tree, "BLOCK", 40)
     rows = vectors()
