@@ -6,7 +6,9 @@ rank of what it and its right neighbour would make.  Its root names the leftmost
 smallest rank; a merge updates three leaves (the part, the part before it, the one that went), each
 in logarithmic time, so a split of n bytes takes O(n log n) however long it is.
 
-Distinct pieces of a block are encoded once, as in ``tokens``.
+Distinct pieces of a block are encoded once, as in ``tokens``.  Their splits of up to 64 bytes go
+through their trees together: a row of a matrix is a split's tree, and a step takes the root of each
+row, merges there and updates the three leaves and what stands above them in all rows at once.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,59 @@ def merged(piece: bytes, ranks: Mapping[bytes, int]) -> list[int]:
     return out
 
 
+class Forest:
+    """Trees of many splits side by side.  Ranks stand for the tokens, so they must differ and every byte must have one."""
+
+    #: Leaves of a tree at most, a power of two; trees at once.
+    WIDEST, TOGETHER = 64, 16_384
+
+    def __init__(self, ranks: Mapping[bytes, int]) -> None:
+        if len(set(ranks.values())) < len(ranks) or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("every byte must be a token, and no two tokens may share a rank")
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        get = ranks.get
+        pairs = sorted((a << 32 | b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None)
+        self.pairs, self.made = np.array([*(p for p, _ in pairs), NO_PAIR], np.int64), np.array([*(r for _, r in pairs), 0], np.int64)
+
+    def _key(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What a leaf holds: the rank of the pair and the place as one number, or that there is none."""
+        pair = left << 32 | right
+        found = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[found] == pair, self.made[found] * self.WIDEST + at, NO_PAIR)
+
+    def merged(self, splits: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all splits, end of each one's ids), of splits of up to ``WIDEST`` bytes, as ``merged`` gives them for those that aren't tokens themselves."""
+        n, w = len(splits), max(8, 1 << (max(map(len, splits)) - 1).bit_length())
+        size = np.fromiter(map(len, splits), np.int64, n)
+        ids = np.zeros((n, w), np.int64)
+        live = np.arange(w) < size[:, None]
+        ids[live] = self.single[np.frombuffer(b"".join(splits), np.uint8)]
+        end, begin = np.tile(np.arange(1, w + 1), (n, 1)), np.tile(np.arange(-1, w), (n, 1))
+        tree = np.full((n, 2 * w), NO_PAIR)
+        row, at = np.nonzero(live[:, 1:])
+        tree[row, w + at] = self._key(ids[row, at], ids[row, at + 1], at)
+        for i in range(w - 1, 0, -1):
+            tree[:, i] = np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1])
+        row = np.arange(n)
+        while len(row := row[tree[row, 1] != NO_PAIR]):
+            rank, at = np.divmod(tree[row, 1], self.WIDEST)
+            gone = end[row, at]
+            after = end[row, gone]
+            ids[row, at], end[row, at], begin[row, after], live[row, gone] = rank, after, at, False
+            tree[row, w + gone] = NO_PAIR
+            more = after < size[row]
+            tree[row, w + at] = NO_PAIR
+            tree[row[more], w + at[more]] = self._key(rank[more], ids[row[more], after[more]], at[more])
+            before = begin[row, at]
+            more = before >= 0
+            tree[row[more], w + before[more]] = self._key(ids[row[more], before[more]], rank[more], before[more])
+            up = w + np.stack([at, gone, np.where(more, before, at)])
+            while up[0, 0] > 1:
+                up >>= 1
+                tree[row, up] = np.minimum(tree[row, 2 * up], tree[row, 2 * up + 1])
+        return ids[live], np.cumsum(live.sum(1))
+
+
 class RankEncoder(Encoder):
     """Encodes and decodes by a file of (base64 token, rank) lines; the pattern is the one that the file's tokens were made with."""
 
@@ -92,6 +147,7 @@ class RankEncoder(Encoder):
         self.pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
         self.words = regex.compile(self.pattern.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}")).findall
         self.exact = None
+        self.forest = Forest(self.ranks)
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         self.token_bytes = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
         self.token_size = np.zeros(tokens[-1][1] + 1, np.int64)
@@ -99,16 +155,45 @@ class RankEncoder(Encoder):
         self.token_at = np.cumsum(self.token_size) - self.token_size
         self._empty()
 
-    def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.known[word] = array(self.code, merged(word.encode(), self.ranks)).tobytes()
-        return ids
-
-    def _odd(self, text: str) -> bytes:
-        if self.exact is None:
-            self.exact = self._exact_split()
-        return b"".join(map(self._word, self.exact(text)))
+    def _splits(self, piece: bytes) -> list[str]:
+        """A piece's splits by the pattern."""
+        text = piece.decode()
+        if not text.isascii() and self.odd(text):
+            self.exact = self.exact or self._exact_split()
+            return self.exact(text)
+        if text[1:].isalpha() and text[0] == " ":
+            return [text]
+        if text[1:-1].isalpha() and text[0] == " " and text[-1] in ",.":
+            return [text[:-1], text[-1]]
+        return self.words(text)
+
+    def _learn(self, splits: Iterable[str]) -> None:
+        """Put the ids of new splits with the known ones; those of a width go through their trees together."""
+        waiting: dict[int, list[str]] = {}
+        for split in splits:
+            piece = split.encode()
+            if (rank := self.ranks.get(piece)) is not None:
+                self.known[split] = array(self.code, [rank]).tobytes()
+            elif len(piece) > Forest.WIDEST:
+                self.known[split] = array(self.code, merged(piece, self.ranks)).tobytes()
+            else:
+                waiting.setdefault(max(8, 1 << (len(piece) - 1).bit_length()), []).append(split)
+        for own in waiting.values():
+            for k in range(0, len(own), Forest.TOGETHER):
+                some = own[k : k + Forest.TOGETHER]
+                ids, ends = self.forest.merged([s.encode() for s in some])
+                data, ends = ids.astype(self.dtype).tobytes(), (ends * np.dtype(self.dtype).itemsize).tolist()
+                self.known.update((s, data[i:j]) for s, i, j in zip(some, [0, *ends], ends, strict=False))
+
+    def _encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        out = list(map(self.pieces.get, pieces))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        splits = [self._splits(pieces[k]) for k in new]
+        self._learn({s for own in splits for s in own}.difference(self.known))
+        known = self.known.__getitem__
+        for k, own in zip(new, splits, strict=True):
+            out[k] = b"".join(map(known, own))
+        return out
 
     def _exact_split(self):  # noqa: ANN202
         """The pattern with the letters and numbers that the ``tiktoken`` library takes for such, asked of it by every code point."""

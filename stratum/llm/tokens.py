@@ -117,6 +117,10 @@ class Encoder:
             return self._word(text[:-1]) + self._word(text[-1])
         return b"".join(map(self._word, self.words(text)))
 
+    def _encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        get, encode = self.pieces.get, self._encode
+        return [get(p) or encode(p) for p in pieces]
+
     def encode_block(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids), of a block of UTF-8 texts."""
         n = len(buf)
@@ -146,8 +150,7 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
         which = pieces.indices.to_numpy()
         distinct = pieces.dictionary.to_pylist()
-        get, encode = self.pieces.get, self._encode
-        ids = [get(p) or encode(p) for p in distinct]
+        ids = self._encode_all(distinct)
         often = np.bincount(which, minlength=len(distinct)) > 1
         if len(self.known) > KEEP_WORDS:
             self.known.clear()

@@ -47,7 +47,7 @@ def random_texts(n, seed):
 
 
 def test_ids_of_all_planes_equal_both_libraries():
-    texts = random_texts(30_000, 11)
+    texts = random_texts(8_000, 11)
     assert lists(bpe.RankEncoder(bpe.default_ranks()), texts) == [LIBRARY.encode_ordinary(t) for t in texts]
     assert lists(tokens.Encoder(tokens.default_vocabulary()), texts) == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -56,16 +56,15 @@ def test_classes_of_known_code_points_are_the_libraries():
     """Every code point that isn't sent to the library's own splitter has the class that both tables give it."""
     import regex
 
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    odd = {c for c in every if unicodedata.category(c) == "Cn"}
+    known = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co"))
     for name in (r"\p{L}", r"\p{N}", r"\s"):
-        library = {c for x, _ in pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(every) for c in x}
-        assert (library ^ set(regex.findall(name, every))) <= odd
-        assert name != r"\p{L}" or (library ^ {c for c in every if c.isalpha()}) <= odd
+        library = {c for x, _ in pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(known) for c in x}
+        assert library == set(regex.findall(name, known))
+        assert name != r"\p{L}" or library == {c for c in known if c.isalpha()}
 
 
 @given(st.lists(st.lists(st.sampled_from(BESIDE + ODD), max_size=12).map("".join), max_size=8))
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=80, deadline=None)
 def test_pieces_beside_odd_code_points(texts):
     assert lists(bpe.RankEncoder(bpe.default_ranks()), texts) == [LIBRARY.encode_ordinary(t) for t in texts]
 
@@ -80,7 +79,7 @@ def plain_merge(piece, ranks):
 
 
 @given(st.dictionaries(st.text("abc", min_size=2, max_size=5), st.integers(0, 20), max_size=20), st.text("abc", min_size=1, max_size=60))
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=150, deadline=None)
 def test_segment_tree_merges_like_the_plain_rule(tokens_, piece):
     """Ranks may tie here, where the leftmost pair goes first."""
     ranks = {b"a": 100, b"b": 101, b"c": 102} | {t.encode(): r for t, r in tokens_.items()}
@@ -88,6 +87,14 @@ def test_segment_tree_merges_like_the_plain_rule(tokens_, piece):
     assert bpe.merged(piece, ranks) == ([ranks[piece]] if piece in ranks else plain_merge(piece, ranks))
 
 
+@given(st.lists(st.text("abcd", min_size=2, max_size=5), unique=True, max_size=25), st.lists(st.text("abcd", min_size=1, max_size=64), min_size=1, max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_trees_side_by_side_merge_like_the_plain_rule(tokens_, pieces):
+    ranks = {t.encode(): r for r, t in enumerate(tokens_)} | {bytes([b]): 1000 + b for b in range(256)}
+    ids, ends = bpe.Forest(ranks).merged([p.encode() for p in pieces])
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [plain_merge(p.encode(), ranks) for p in pieces]
+
+
 def test_long_pieces_take_about_n_log_n_steps():
     rnd = random.Random(4)
     piece = bytes(rnd.randrange(97, 123) for _ in range(60_000))
