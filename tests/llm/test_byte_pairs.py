@@ -21,6 +21,7 @@ with open(bpe.default_ranks(), "rb") as lines:
     RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 TOKENIZER = Tokenizer.from_file(tokens.default_vocabulary())
+ENCODER = bpe.RankEncoder(bpe.default_ranks())
 #: Code points that tables of different Unicode versions class apart, and what may stand beside them.
 ODD = ["\U00018e20", "\U0003267e", "\U0003d661", "՘", "࢏", "\U00011de3"]
 BESIDE = ["'s", "'ll", " ", "\n", "\t", "a", "Z", "9", ".", "'", " ", "　", "\x1c", "é", "日", "<|endoftext|>"]
@@ -48,7 +49,7 @@ def random_texts(n, seed):
 
 def test_ids_of_all_planes_equal_both_libraries():
     texts = random_texts(8_000, 11)
-    assert lists(bpe.RankEncoder(bpe.default_ranks()), texts) == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert lists(ENCODER, texts) == [LIBRARY.encode_ordinary(t) for t in texts]
     assert lists(tokens.Encoder(tokens.default_vocabulary()), texts) == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -66,7 +67,7 @@ def test_classes_of_known_code_points_are_the_libraries():
 @given(st.lists(st.lists(st.sampled_from(BESIDE + ODD), max_size=12).map("".join), max_size=8))
 @settings(max_examples=80, deadline=None)
 def test_pieces_beside_odd_code_points(texts):
-    assert lists(bpe.RankEncoder(bpe.default_ranks()), texts) == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert lists(ENCODER, texts) == [LIBRARY.encode_ordinary(t) for t in texts]
 
 
 def plain_merge(piece, ranks):
