@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stratum.functions.paths import inside, language
+from stratum.operators.greedy import Filled, parted
 
 CHUNK = "repo_slug string, file_path string, language string, strategy string, start_byte int, end_byte int, start_line int, end_line int, content binary"
 
@@ -179,7 +180,7 @@ def fill_batches(sizes: list[int], limit: int, most: int) -> list[int]:
 def batches_by_budget(rows: DataFrame, size: str, limit: int, most: int, order: str, by: str = "file_path") -> DataFrame:
     """Rows with ``batch``, filled in order up to ``limit`` of column ``size`` and ``most`` rows; batches never span files.
 
-    Spark sorts each file's rows; they stream through, so a task holds no file whole.
+    Rows that lie in one task stream through; a file of more rows is spread over many (``greedy``).
     """
     schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])
 
@@ -193,7 +194,7 @@ def batches_by_budget(rows: DataFrame, size: str, limit: int, most: int, order:
                 out.append(filling.add(n or 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "batch"])
 
-    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+    return parted(rows, by, order, size, Filled(limit, most), "batch", lambda sorted_: sorted_.mapInArrow(run, schema))
 
 
 def token_count(text):  # noqa: ANN001, ANN201

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from stratum.operators.greedy import Reached, parted
+
 # Tokens of a rendered conversation.
 SPECIAL = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
 # Fixed value: the pre-tokenisation pattern.
@@ -80,13 +82,8 @@ def crop_corpus(docs: DataFrame, order: str, text: str, doc_cap: int, max_chars:
     return rows.join(before, "__block").withColumn("__run", run).where(F.col("__run") <= max_chars).drop("__n", "__block", "__before", "__run")
 
 
-def in_order(rows: DataFrame, by: str, order: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """(by, what ``fold`` gives) of each group's other columns, which it gets a row at a time, sorted by ``order``.
-
-    For folds in which each row's result hangs on those before it.  Groups are sorted by Spark,
-    which spills, and streamed through the fold, so a task holds only what the fold keeps, however
-    large a group is.
-    """
+def folded(rows: DataFrame, by: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """(by, what ``fold`` gives) of each group's other columns, of partitions that hold whole groups in order."""
     fields = StructType.fromDDL(f"__by {dict(rows.dtypes)[by]}, {schema}")
     shape = to_arrow_schema(fields)
 
@@ -96,8 +93,17 @@ def in_order(rows: DataFrame, by: str, order: str, fold: Callable[[Iterator[tupl
         while some := list(islice(found, 16_384)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), shape, strict=True)], schema=shape)
 
-    rest = [c for c in rows.columns if c != by]
-    return rows.select(by, *rest).repartition(by).sortWithinPartitions(by, order).mapInArrow(run, fields).withColumnRenamed("__by", by)
+    return rows.select(by, *(c for c in rows.columns if c != by)).mapInArrow(run, fields).withColumnRenamed("__by", by)
+
+
+def in_order(rows: DataFrame, by: str, order: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """(by, what ``fold`` gives) of each group's other columns, which it gets a row at a time, sorted by ``order``.
+
+    For folds in which each row's result hangs on those before it.  Groups are sorted by Spark,
+    which spills, and streamed through the fold, so a task holds only what the fold keeps, however
+    large a group is.
+    """
+    return folded(rows.repartition(by).sortWithinPartitions(by, order), by, fold, schema)
 
 
 def closed_shards(docs: Iterable[tuple], chars: int, group: int) -> Iterator[tuple]:
@@ -121,9 +127,14 @@ def assign_shards(sizes: Iterable[int], chars: int, group: int) -> list[int]:
 
 
 def shards(docs: DataFrame, stream: str, order: str, size: str, chars: int, group: int) -> DataFrame:
-    """(stream, order, size, shard) of ordered streams; only keys and sizes go to the fold."""
+    """(stream, order, size, shard) of ordered streams; only keys and sizes are sent.
+
+    Streams that lie in one task pass through it; one of more rows is spread over many (``greedy``).
+    """
     types = dict(docs.dtypes)
-    return in_order(docs.select(stream, order, size), stream, order, lambda rows: closed_shards(rows, chars, group), f"{order} {types[order]}, {size} {types[size]}, shard int")
+    schema = f"{order} {types[order]}, {size} {types[size]}, shard int"
+    fold = lambda rows: folded(rows, stream, lambda own: closed_shards(own, chars, group), schema)
+    return parted(docs.select(stream, order, size), stream, order, size, Reached(chars, group), "shard", fold)
 
 
 def packed(docs: Iterable[tuple], capacity: int, buffer: int, crop: bool) -> Iterator[tuple]:
