@@ -75,14 +75,8 @@ STATE = {
 }
 
 
-def apply_payloads(state: dict[str, DataFrame], sent: DataFrame, run_id: Column | None = None) -> dict[str, DataFrame]:
-    """The state after all ``payloads`` rows of ``sent``, in the order of their synced_at.
-
-    Tenants are only inserted; repositories, versions, hotspots and files are upserted by key, of
-    several payloads of one key the last counts; a version keeps when it was first seen; every
-    payload adds a run.  ``state`` may lack tables, which then start empty.  ``run_id``: what names
-    a run (version key and time, if not given), so a repeated batch gives the same runs.
-    """
+def payload_rows(sent: DataFrame, run_id: Column | None = None) -> dict[str, DataFrame]:
+    """Rows of each table of the state from ``payloads`` rows, one for each key: of several payloads of one key the last counts."""
     meta = F.col("sync_metadata")
     flat = sent.select("*", meta["user_id"].alias("user_id"), meta["synced_at"].alias("synced_at"), meta["schema_version"].alias("schema_version"))
     structure = F.to_json("structure_metrics") if "structure_metrics" in sent.columns else F.lit(None).cast("string")
@@ -101,11 +95,28 @@ def apply_payloads(state: dict[str, DataFrame], sent: DataFrame, run_id: Column
         stay = [c for c in columns if c not in key] if first is None else list(first)
         when = F.struct("synced_at", F.struct(*columns))
         rest = [c for c in columns if c not in (*key, *stay)]
-        once = rows.groupBy(*key).agg(*(F.min_by(c, when).alias(c) for c in stay), *(F.max_by(c, when).alias(c) for c in rest)).select(*columns)
-        old = state.get(name)
-        out[name] = once if old is None else merge(old, once, key, keep_first=stay)
+        out[name] = rows.groupBy(*key).agg(*(F.min_by(c, when).alias(c) for c in stay), *(F.max_by(c, when).alias(c) for c in rest)).select(*columns)
     runs = flat.select((F.sha2(F.concat_ws(":", "version_key", "synced_at"), 256) if run_id is None else run_id).alias("sync_run_id"), "tenant_id", "user_id", "repo_fingerprint", "head_commit", "version_key", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_summary"), F.col("synced_at").alias("created_at"))
-    out["sync_runs"] = runs if "sync_runs" not in state else insert_missing(state["sync_runs"], runs, ["sync_run_id"])
+    out["sync_runs"] = runs.dropDuplicates(["sync_run_id"])
+    return out
+
+
+def apply_payloads(state: dict[str, DataFrame], sent: DataFrame, run_id: Column | None = None) -> dict[str, DataFrame]:
+    """The state after all ``payloads`` rows of ``sent``, in the order of their synced_at.
+
+    Tenants are only inserted; repositories, versions, hotspots and files are upserted by key, of
+    several payloads of one key the last counts; a version keeps when it was first seen; every
+    payload adds a run.  ``state`` may lack tables, which then start empty.  ``run_id``: what names
+    a run (version key and time, if not given), so a repeated batch gives the same runs.
+    """
+    out = {}
+    for name, once in payload_rows(sent, run_id).items():
+        old = state.get(name)
+        if name == "sync_runs":
+            out[name] = once if old is None else insert_missing(old, once, ["sync_run_id"])
+        else:
+            key, first = STATE[name]
+            out[name] = once if old is None else merge(old, once, key, keep_first=[c for c in once.columns if c not in key] if first is None else first)
     return out
 
 

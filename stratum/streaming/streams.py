@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from stratum.operators.sync import merge
+from stratum.sources.keyed import KeyedTables
 
 
 def corpus_stream(spark: SparkSession, folder: str, schema: StructType | str, files_a_batch: int = 1) -> DataFrame:
@@ -22,17 +20,25 @@ def append_log(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
     return stamped.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
 
 
-def sync_stream(stream: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], key: list[str], checkpoint: str) -> StreamingQuery:
-    """Merge each batch into a table: first_seen stays, last_seen moves on; a repeated batch changes nothing."""
-    def put(batch: DataFrame, _: int) -> None:
+def sync_stream(stream: DataFrame, tables: KeyedTables, name: str, checkpoint: str, writer: str = "stream") -> StreamingQuery:
+    """Merge each batch into a keyed table: first_seen stays, last_seen moves on; a repeated batch changes nothing.
+
+    A batch rewrites the buckets of its keys alone.
+    """
+    key = tables.keys[name]
+
+    def put(batch: DataFrame, number: int) -> None:
         # of a batch's rows of a key the one last seen, ties by the other columns, so no row mixes two
         rest = [c for c in batch.columns if c not in key]
         lead = [c for c in ("last_seen", "first_seen") if c in rest]
         row = F.struct(*lead, *(c for c in rest if c not in lead))
         once = batch.groupBy(*key).agg(F.max(row).alias("r"), *([F.min("first_seen").alias("first")] if "first_seen" in rest else []))
         once = once.select(*(F.col("first").alias(c) if c == "first_seen" else F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in batch.columns))
-        old = read()
-        write(once if old is None else merge(old, once, key, keep_first=["first_seen"], keep_last=["last_seen"]))
+        held = once.persist()
+        try:
+            tables.merge({name: held}, {name: [c for c in ("first_seen",) if c in rest]}, {name: [c for c in ("last_seen",) if c in rest]}, (writer, number))
+        finally:
+            held.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.operators import gold
 from stratum.plans import cli
-from stratum.sources import git as git_source, text
+from stratum.sources import git as git_source, keyed, text
 from stratum.streaming import streams
 
 
@@ -86,15 +86,10 @@ def test_streams(spark, tmp_path):
     streams.append_log(stream, str(tmp_path / "log"), str(tmp_path / "c1")).awaitTermination()
     streams.append_log(streams.corpus_stream(spark, src, "k string, t int"), str(tmp_path / "log"), str(tmp_path / "c1")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
-    state = {}
+    tables = keyed.KeyedTables(spark, str(tmp_path / "keyed"), {"seen": ["k"]}, 4)
     seen = stream.select("k", F.col("t").alias("first_seen"), F.col("t").alias("last_seen"))
-
-    def write(df):
-        state["rows"] = [tuple(r) for r in df.collect()]
-
-    read = lambda: spark.createDataFrame(state["rows"], "k string, first_seen int, last_seen int") if state else None
-    streams.sync_stream(seen, read, write, ["k"], str(tmp_path / "c2")).awaitTermination()
+    streams.sync_stream(seen, tables, "seen", str(tmp_path / "c2")).awaitTermination()
     spark.createDataFrame([("a", 9)], "k string, t int").coalesce(1).write.mode("append").parquet(src)
     again = streams.corpus_stream(spark, src, "k string, t int").select("k", F.col("t").alias("first_seen"), F.col("t").alias("last_seen"))
-    streams.sync_stream(again, read, write, ["k"], str(tmp_path / "c2")).awaitTermination()
-    assert sorted(state["rows"]) == [("a", 1, 9), ("b", 2, 2)]
+    streams.sync_stream(again, tables, "seen", str(tmp_path / "c2")).awaitTermination()
+    assert sorted(map(tuple, tables.read("seen").collect())) == [("a", 1, 9), ("b", 2, 2)]
