@@ -158,7 +158,7 @@ class RankEncoder(Encoder):
     def _splits(self, piece: bytes) -> list[str]:
         """A piece's splits by the pattern."""
         text = piece.decode()
-        if not text.isascii() and self.odd(text):
+        if max(piece) >= self.odd_from and self.odd(text):
             self.exact = self.exact or self._exact_split()
             return self.exact(text)
         if text[1:].isalpha() and text[0] == " ":

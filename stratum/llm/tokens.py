@@ -25,12 +25,12 @@ from .text import text_blocks
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 #: Pieces and words kept by a worker between blocks.
-KEEP_PIECES, KEEP_WORDS = 500_000, 150_000
+KEEP_PIECES, KEEP_WORDS = 250_000, 150_000
 BLOCK_BYTES = 8 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _loaded: dict[tuple[type, str], Encoder] = {}
-_unknown: list[str] = []
+_unknown: list[tuple[str, int]] = []
 
 
 def default_vocabulary() -> str:
@@ -39,14 +39,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def unassigned() -> str:
-    """A character class of the code points that Python's Unicode table leaves unassigned."""
+def unassigned() -> tuple[str, int]:
+    """A character class of the code points that Python's Unicode table leaves unassigned, and the first byte of the first of them."""
     if not _unknown:
         import unicodedata
 
         free = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
         edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8))).reshape(-1, 2)
-        _unknown.append("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]")
+        _unknown.append(("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]", chr(edges[0, 0]).encode()[0]))
     return _unknown[0]
 
 
@@ -77,7 +77,8 @@ class Encoder:
     def _empty(self) -> None:
         import re
 
-        self.odd = re.compile(unassigned()).search
+        pattern, self.odd_from = unassigned()
+        self.odd = re.compile(pattern).search
         self.pieces: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -109,7 +110,7 @@ class Encoder:
         if piece in self.added:
             return self.added[piece]
         text = piece.decode()
-        if not text.isascii() and self.odd(text):
+        if max(piece) >= self.odd_from and self.odd(text):
             return self._odd(text)
         if text[1:].isalpha() and text[0] == " ":
             return self._word(text)

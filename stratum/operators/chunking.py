@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from stratum.functions import lexing
 from stratum.functions.paths import inside, language
 from stratum.operators.greedy import Filled, parted
 
@@ -72,33 +72,17 @@ def python_definitions(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
-_BRACED = re.compile(rb"""^(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected|static|final|abstract|async)\s+)*(?:class|interface|enum|record|function\*?)\b|^(?:export\s+)?(?:const|let|var)\s+[\w$]+\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>""", re.MULTILINE)
-_SKIP = re.compile(rb"""//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|[{};]""", re.DOTALL)
-
-
-def braced_definitions(data: bytes) -> list[tuple[int, int]]:
-    """Byte spans of top-level classes, functions and the like, to their closing brace."""
-    out, done = [], 0
-    for m in _BRACED.finditer(data):
-        if m.start() < done:
-            continue
-        depth, end = 0, len(data)
-        for t in _SKIP.finditer(data, m.end()):
-            depth += (t.group() == b"{") - (t.group() == b"}")
-            if depth <= 0 and t.group() in (b"}", b";"):
-                end = t.end()
-                break
-        out.append((m.start(), end))
-        done = end
-    return out
+def braced_definitions(language: str) -> Callable[[bytes], list[tuple[int, int]]]:
+    """Finds byte spans of what Java or JavaScript source declares at the top, to the closing brace."""
+    return lambda data: lexing.definitions(data.decode("latin-1"), language)
 
 
 #: Strategy and definition finder by language; other languages are cut by bytes.
 STRATEGIES: dict[str, tuple[str, Callable[[bytes], list[tuple[int, int]]]]] = {
     "python": ("python_definitions", python_definitions),
-    "java": ("java_definitions", braced_definitions),
-    "javascript": ("javascript_definitions", braced_definitions),
-    "jsx": ("jsx_definitions", braced_definitions),
+    "java": ("java_definitions", braced_definitions("java")),
+    "javascript": ("javascript_definitions", braced_definitions("javascript")),
+    "jsx": ("jsx_definitions", braced_definitions("javascript")),
 }
 
 

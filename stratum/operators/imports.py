@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from stratum.functions import lexing
 from stratum.functions.paths import LANGUAGE_BY_SUFFIX, MAX_PARSED_BYTES, file_suffix, resolve_relative_import
 
 #: Suffixes that are parsed; TypeScript is read as JavaScript.
 PARSED = (".py", ".pyi", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".java")
-_JS = re.compile(r"""//[^\n]*|/\*.*?\*/|\bimport\b\s*(?:[\w$*{}\s,]+?\bfrom\b\s*)?(?:'([^'\n]*)'|"([^"\n]*)")|(?<![\w$.])require\s*\(\s*(?:'([^'\n]*)'|"([^"\n]*)")\s*\)|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`""", re.DOTALL)
-_JAVA = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;""", re.DOTALL | re.MULTILINE)
 
 
 def python_imports(source: str) -> list[str]:
@@ -40,17 +38,13 @@ def python_imports(source: str) -> list[str]:
     return out
 
 
-def javascript_imports(source: str) -> list[str]:
-    return [next(g for g in m.groups() if g is not None) for m in _JS.finditer(source) if any(g is not None for g in m.groups())]
-
-
-def java_imports(source: str) -> list[str]:
-    return [m[1] for m in _JAVA.finditer(source) if m[1]]
-
-
 def imports_of(path: str, source: str) -> list[str]:
     language = LANGUAGE_BY_SUFFIX.get("." + path.rsplit(".", 1)[-1].lower())
-    return {"python": python_imports, "java": java_imports}.get(language, javascript_imports)(source)
+    if language == "python":
+        return python_imports(source)
+    # the lexer reads bytes as characters
+    found = (lexing.java_imports if language == "java" else lexing.javascript_imports)(source.encode(errors="replace").decode("latin-1"))
+    return [name.encode("latin-1").decode(errors="replace") for name in found]
 
 
 def import_edges(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.functions import paths
+from stratum.functions import lexing
 from stratum.operators import gold, imports, serving
 
 
@@ -89,8 +90,8 @@ def test_relative_imports(spark, path, name, want):
 
 def test_import_names():
     assert imports.python_imports("import a.b, c as d\nfrom . import *\nfrom .. import *\nfrom a.b import c\nfrom a import b, c\nfrom src.utils import util as u") == ["a.b", "c", ".", "..", "a.b.c", "a.b.c", "src.utils"]
-    assert imports.javascript_imports("import x from 'a'; import 'b'\n// import 'no'\nconst y = require(\"c\"); import {p,\n q} from 'd'; const s = \"require('e')\";") == ["a", "b", "c", "d"]
-    assert imports.java_imports("package p;\nimport java.util.List;\nimport static a.B.c;\n// import x.Y;\nimport q.*;") == ["java.util.List", "a.B.c", "q"]
+    assert lexing.javascript_imports("import x from 'a'; import 'b'\n// import 'no'\nconst y = require(\"c\"); import {p,\n q} from 'd'; const s = \"require('e')\";") == ["a", "b", "c", "d"]
+    assert lexing.java_imports("package p;\nimport java.util.List;\nimport static a.B.c;\n// import x.Y;\nimport q.*;") == ["java.util.List", "a.B.c", "q"]
 
 
 def test_import_graph(spark):
