@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import operator
 import re
 from bisect import bisect_right, insort
@@ -34,6 +35,18 @@ def stride(rows: DataFrame, place: str, rank: int, world: int) -> DataFrame:
     return rows.where(F.pmod(F.col(place), F.lit(world)) == rank)
 
 
+def numbered(rows: DataFrame, order: str, name: str = "index") -> DataFrame:
+    """Rows with their place, from 0, by a whole-number ``order``.
+
+    Rows are counted in blocks of the order, whose counts are added up first, so no task sorts more than a block.
+    """
+    rows = rows.withColumn("__block", F.floor(F.col(order) / 4096))
+    sums = rows.groupBy("__block").agg(F.count("*").alias("__sum"))
+    before = sums.select("__block", (F.sum("__sum").over(Window.orderBy("__block")) - F.col("__sum")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1 + F.col("__before")
+    return rows.join(before, "__block").withColumn(name, place).drop("__block", "__before")
+
+
 def sliced(rows: DataFrame, order: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     """Rows at start, start + step and so on below ``stop`` by a whole-number ``order``, with their new ``index``.
 
@@ -51,13 +64,60 @@ def sliced(rows: DataFrame, order: str, start: int = 0, stop: int | None = None,
     return rows.withColumn("index", ((F.col("__place") - start) / step).cast("int")).drop("__place", "__block", "__before")
 
 
+#: Rounds of a shuffle, and the prime that its keys and hashes are below.
+ROUNDS, PRIME = 40, (1 << 31) - 1
+
+
+def shuffle_keys(seed: int) -> list[tuple[int, int, int, int]]:
+    """(shift, two factors, offset) of each round, drawn from the seed."""
+    numbers = [int.from_bytes(hashlib.sha256(f"{seed}/{r}/{k}".encode()).digest()[:8]) for r in range(ROUNDS) for k in range(4)]
+    return [(numbers[i] >> 2, *(1 + n % (PRIME - 1) for n in numbers[i + 1 : i + 4])) for i in range(0, len(numbers), 4)]
+
+
+def shuffled(place: Column, total: Column | int, seed: int = 42, back: bool = False) -> Column:
+    """Where a place of ``total`` goes in a shuffle that the seed fixes, or (``back``) which place comes there.
+
+    A bijection of 0 to total - 1, for any total, computed for each place alone: nothing is sorted or
+    sent.  A round pairs each place with its mirror about a key and swaps both or neither, by a bit of
+    a hash of the larger; so it undoes itself, and the way back is the rounds in reverse.
+    """
+    total = F.lit(total).cast("long") if isinstance(total, int) else total.cast("long")
+    keys = shuffle_keys(seed)
+    rounds = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(("shift", "a", "b", "c"), k, strict=True))) for k in (reversed(keys) if back else keys)))
+
+    def swap(x: Column, k: Column) -> Column:
+        mirror = F.pmod(k["shift"] % total - x, total)
+        top = F.greatest(x, mirror)
+        mixed = F.pmod(F.pmod(top, F.lit(PRIME)) * k["a"] + F.call_function("div", top, F.lit(PRIME)) % PRIME * k["b"] + k["c"], F.lit(PRIME))
+        return F.when(F.shiftright(mixed, 15) % 2 == 1, mirror).otherwise(x)
+
+    return F.aggregate(rounds, place.cast("long"), swap)
+
+
 def mixture(tasks: Sequence[DataFrame], index: str, seed: int = 42) -> DataFrame:
-    """All rows of all tasks, a task given twice counted twice, in an order that the seed fixes."""
-    out = None
+    """All rows of all tasks, a task given twice counted twice, with ``task`` and ``place``: where the shuffle that the seed fixes puts them.
+
+    ``index``: a whole-number order within a task.  Rows get their places alone, after they are
+    counted; no sort of all rows.  ``mixture_rows`` gives those at some places.
+    """
+    parts, before = [], 0
     for k, t in enumerate(tasks):
-        t = t.withColumn("task", F.lit(k))
-        out = t if out is None else out.unionByName(t)
-    return out.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), "task", index))).orderBy("key", "task", index)
+        parts.append((k, t, before))
+        before += t.count()
+    out = None
+    for k, t, first in parts:
+        own = numbered(t, index, "place").withColumn("task", F.lit(k)).withColumn("place", F.col("place") + first)
+        out = own if out is None else out.unionByName(own)
+    return out.withColumn("place", shuffled(F.col("place"), before, seed)) if before else out
+
+
+def mixture_rows(sizes: Sequence[int], places: DataFrame, place: str = "place", seed: int = 42) -> DataFrame:
+    """``places`` with the ``task`` and the row's ``local`` place in it that a mixture of tasks of such sizes has there; no task is read."""
+    total = sum(sizes)
+    rows = places.where(F.col(place).between(0, total - 1)).withColumn("local", shuffled(F.col(place), max(total, 1), seed, back=True))
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    task = F.coalesce(*(F.when(F.col("local") < end, k) for k, end in enumerate(ends)))
+    return rows.withColumn("task", task).withColumn("local", F.col("local") - F.element_at(F.array(*map(F.lit, [0, *ends[:-1]])), F.col("task") + 1))
 
 
 def sequence(tasks: Sequence[DataFrame], index: str) -> DataFrame:

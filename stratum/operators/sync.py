@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
 
 from stratum.functions.paths import relative_path, repo_ref, salted_hash, version_key
 
@@ -16,9 +18,9 @@ SCHEMA_VERSION = 1
 
 
 def ensure_safe(schema: DataType) -> None:
-    """Raise if a column at any depth of structs and arrays of structs has a forbidden name."""
-    if isinstance(schema, ArrayType):
-        schema = schema.elementType
+    """Raise if a column at any depth of structs, arrays and maps has a forbidden name."""
+    while isinstance(schema, ArrayType | MapType):
+        schema = schema.elementType if isinstance(schema, ArrayType) else schema.valueType
     if isinstance(schema, StructType):
         for f in schema.fields:
             if any(re.search(w, f.name, re.IGNORECASE) for w in FORBIDDEN):
@@ -26,6 +28,47 @@ def ensure_safe(schema: DataType) -> None:
             ensure_safe(f.dataType)
 
 
+def _keys(json_text: Column) -> Column:
+    """Keys of a JSON text at any depth: its strings, one after the other, that a colon follows."""
+    strings = F.regexp_extract_all(json_text, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    return F.filter(strings, lambda x: x.endswith(":"))
+
+
+def forbidden_keys(value: Column, kind: DataType) -> Column:
+    """Whether there is a forbidden key in the data: a map's, a VARIANT's, or one of a text that is JSON, at any depth.
+
+    Names of columns and fields are ``ensure_safe``'s.  Texts without any of the words, and without
+    an escape that could spell one, aren't parsed; a text that isn't JSON has no keys, a null is safe.
+    """
+    word = F.lit("(?i)" + "|".join(FORBIDDEN))
+    none = F.lit(False)
+    if isinstance(kind, StructType):
+        found = [forbidden_keys(value[f.name], f.dataType) for f in kind.fields if not _plain(f.dataType)]
+        return functools.reduce(operator.or_, found, none)
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.exists(value, lambda x: forbidden_keys(x, kind.elementType)), none) if not _plain(kind.elementType) else none
+    if isinstance(kind, MapType):
+        own = F.coalesce(F.exists(F.map_keys(value), lambda k: F.rlike(k.cast("string"), word)), none)
+        return own if _plain(kind.valueType) else own | F.coalesce(F.exists(F.map_values(value), lambda x: forbidden_keys(x, kind.valueType)), none)
+    if isinstance(kind, VariantType):
+        return F.coalesce(F.exists(_keys(F.to_json(value)), lambda k: F.rlike(k, word)), none)
+    if isinstance(kind, StringType):
+        parsed = F.to_json(F.try_parse_json(value))
+        return F.coalesce((F.rlike(value, word) | F.contains(value, F.lit("\\u"))) & F.exists(_keys(parsed), lambda k: F.rlike(k, word)), none)
+    return none
+
+
+def _plain(kind: DataType) -> bool:
+    return not isinstance(kind, StructType | ArrayType | MapType | VariantType | StringType)
+
+
+def refuse_forbidden(rows: DataFrame) -> DataFrame:
+    """The rows, which raise when they are computed if the data of any holds a forbidden key; the schema is looked at now."""
+    ensure_safe(rows.schema)
+    bad = forbidden_keys(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), rows.schema)
+    return rows.where(F.when(bad, F.raise_error(F.lit("forbidden field in payload")).cast("boolean")).otherwise(True))
+
+
 def fingerprint(ref: Column, salt: str) -> Column:
     return salted_hash(repo_ref(ref), salt)
 
@@ -56,8 +99,7 @@ def payloads(repos: DataFrame, tenant: str | Column, user: str, salt: str) -> Da
         F.transform("files", lambda p: F.struct(salted_hash(relative_path(p), salt).alias("file_path_hash"), F.lit(None).cast("string").alias("content_hash"))).alias("file_fingerprints"),
         F.struct(F.lit(user).alias("user_id"), F.col("synced_at"), F.lit(SCHEMA_VERSION).alias("schema_version")).alias("sync_metadata"),
     )
-    ensure_safe(out.schema)
-    return out
+    return refuse_forbidden(out)
 
 
 def enabled(flag: str | None) -> bool:

@@ -102,8 +102,10 @@ class Task:
 
 
 def seeded_head(rows: DataFrame, index: str, most: int, seed: int = 1337) -> DataFrame:
-    """The first rows of a seeded order."""
-    return rows.orderBy(F.xxhash64(index, F.lit(seed)), index).limit(most)
+    """The first ``most`` rows of a seeded shuffle, with their ``place`` in it; ``index``: a whole-number order."""
+    total = rows.count()
+    placed = corpus.numbered(rows, index, "place")
+    return placed.withColumn("place", corpus.shuffled(F.col("place"), max(total, 1), seed)).where(F.col("place") < most)
 
 
 def long_prompts(rows: DataFrame, tokens: str, least: int = 512) -> DataFrame:

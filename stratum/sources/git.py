@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import operator
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from stratum.functions.paths import content_hash, in_ignored_dir, slug
 from stratum.schemas import MANIFEST
 
 MAX_COMMITS = 500
+#: Commits of a partition.
+PART_COMMITS = 1_000
 LOG = "%H%x1f%cI%x1f%aN%x1f%aE%x1f%B%x1e"
 
 
@@ -56,14 +59,19 @@ def default_branch(folder: Path) -> str | None:
 
 
 class GitLog(DataSource):
-    """``spark.read.format("git_log")`` with options path (repeatable, one partition each) and pass (meta or stat)."""
+    """``spark.read.format("git_log")`` with options path (one on each line), pass (meta or stat), most (commits) and part (commits a partition).
+
+    A repository's log is read in parts of consecutive commits, each a partition; ``line_no`` goes on
+    from part to part where a line is a commit, and begins anew in each where lines belong to commits.
+    Filters on ``repo`` and ``part`` leave out partitions, so what they rule out isn't read.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "git_log"
 
     def schema(self) -> str:
-        return "repo string, line_no int, value string"
+        return "repo string, part int, line_no int, value string"
 
     def reader(self, schema):  # noqa: ANN001, ANN201
         return _LogReader(self.options)
@@ -71,16 +79,48 @@ class GitLog(DataSource):
 
 class _LogReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.paths, self.kind, self.most = options["path"].split("\n"), options.get("pass", "meta"), int(options.get("most", MAX_COMMITS))
+        self.paths, self.kind, self.most, self.size = options["path"].split("\n"), options.get("pass", "meta"), int(options.get("most", MAX_COMMITS)), int(options.get("part", PART_COMMITS))
+        self.wanted: list = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        tests = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda x, some: x in some}
+        for f in filters:
+            if type(f) in tests and f.attribute in (("repo",), ("part",)):
+                self.wanted.append((f.attribute[0], tests[type(f)], f.value))
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        out = []
+        for path in self.paths:
+            if not all(test(path, value) for name, test, value in self.wanted if name == "repo"):
+                continue
+            try:
+                commits = int(git("rev-list", "--count", f"-n{self.most}", "HEAD", cwd=path))
+            except subprocess.CalledProcessError:
+                commits = 1  # without a commit: its only part says so when it is read
+            parts = range(-(-commits // self.size))
+            out += [InputPartition((path, k)) for k in parts if all(test(k, value) for name, test, value in self.wanted if name == "part")]
+        return out or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.value is None:
+            return
+        path, part = partition.value
+        first = part * self.size
         form = [f"--pretty=format:{LOG}"] if self.kind == "meta" else ["--numstat", "--pretty=format:__COMMIT__%H"]
-        text = git("log", f"-n{self.most}", *form, cwd=partition.value)
+        text = git("log", f"--skip={first}", f"-n{min(self.size, self.most - first)}", *form, cwd=path)
+        begin = first if self.kind == "meta" else 0
         for k, line in enumerate(text.split("\x1e") if self.kind == "meta" else text.splitlines()):
-            yield partition.value, k, line
+            if line.strip():
+                yield path, part, begin + k, line
+
+
+def read_log(spark: SparkSession, folders: list[str], kind: str, most: int = MAX_COMMITS, part: int = PART_COMMITS) -> DataFrame:
+    """(repo, part, line_no, value) of the last ``most`` commits of each checkout: their records (meta) or changed files (stat)."""
+    spark.dataSource.register(GitLog)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("git_log").options(path="\n".join(folders), most=str(most), part=str(part), **{"pass": kind}).load()
 
 
 def parse_meta(records: DataFrame) -> DataFrame:
@@ -95,7 +135,8 @@ def parse_meta(records: DataFrame) -> DataFrame:
 
 def parse_numstat(lines: DataFrame) -> DataFrame:
     """(repo, sha, line_no, path, additions, deletions): each line belongs to the last header before it; '-' is 0."""
-    before = Window.partitionBy("repo").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    # a part begins with a commit's header
+    before = Window.partitionBy(*(c for c in ("repo", "part") if c in lines.columns)).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("value").startswith("__COMMIT__"), F.substring("value", 11, 64))
     rows = lines.withColumn("value", F.trim("value")).withColumn("sha", F.last(head, ignorenulls=True).over(before))
     part = F.split("value", "\t", 3)
@@ -124,9 +165,7 @@ def file_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest(spark: SparkSession, url: str, folder: str) -> dict[str, DataFrame]:
     """The tables of one checkout: files, commits and touches."""
-    spark.dataSource.register(GitLog)
-    read = lambda kind: spark.read.format("git_log").option("path", folder).option("pass", kind).load()
-    commits = commit_log(read("meta"), read("stat"))
+    commits = commit_log(read_log(spark, [folder], "meta"), read_log(spark, [folder], "stat"))
     touches = commits.select("sha", "ord", F.col("author_date").alias("date"), F.col("author_name").alias("author"), F.explode("files_changed.path").alias("path"))
     repo = spark.range(1).select(F.lit(url).alias("repo_url"), slug(F.lit(url)).alias("repo_slug"), F.lit(head_commit(Path(folder))).alias("head_commit"), F.lit(default_branch(Path(folder))).alias("default_branch"))
     return {"repo": repo, "files": file_list(spark, folder), "commits": commits, "touches": touches}
