@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratum.functions.paths import base_name, file_suffix, top_level
 
 FILE_CHARS, TOTAL_CHARS, LISTED_FILES = 4_000, 16_000, 400
 
+# The mark of a text that was cut, and the white space that is taken off before it.
+MARK = "\n...[truncated]"
+SPACES_AT_END = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
+
 # Patterns of files that go into a prompt first, in order.
 PREFERRED = (
     r"(?i)(^|/)readme(\..+)?$",
@@ -102,34 +106,61 @@ def prompt_conventions(paths: DataFrame, pyproject: str = "") -> DataFrame:
 
 def truncated(text: Column, limit: int) -> Column:
     """The text, or its first ``limit`` characters and a mark."""
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit), r"\s+$", ""), F.lit("\n...[truncated]")))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit), SPACES_AT_END, ""), F.lit(MARK)))
 
 
 def prompt_sections(items: DataFrame, by: Sequence[str] = (), file_chars: int = FILE_CHARS, total: int = TOTAL_CHARS) -> DataFrame:
     """(by, place, path, excerpt): selected files (path, content) in order of interest until the budget is gone.
 
-    A cut excerpt's mark counts too, so what is left depends on every file before: a fold for each group.
+    A file uses what its excerpt has, its mark included, so all that a file can change is where the
+    next begins: as long as a whole excerpt is sure to fit, running sums tell.  Only the files from
+    there to the end of the budget go one after the other through a fold, without those that are
+    empty, which use nothing.  Every file that isn't empty uses at least a character, so no group has
+    more than ``total`` of them: Spark cuts the rest off before any row is sent, and a hot group's
+    files are picked in all tasks.  A null content is an empty one; files of one path are taken in the order
+    of their contents.
     """
     rank = F.coalesce(*(F.when(F.replace(F.col("path"), F.lit("\\"), F.lit("/")).rlike(p), k) for k, p in enumerate(PREFERRED)), F.lit(100))
-    # no file can use more than its own limit, so no more than that goes to the fold
-    rows = items.select(*by, "path", F.substring("content", 1, file_chars + 1).alias("content"), F.length("content").alias("chars"), rank.alias("rank"))
-    keys = list(by) or ["one"]
-    if not by:
-        rows = rows.withColumn("one", F.lit(0))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out = total, []
-        for r in pdf.sort_values(["rank", "path"], kind="stable").itertuples():
-            if left <= 0:
-                break
-            limit = min(file_chars, left)
-            text = r.content if r.chars <= limit else r.content[:limit].rstrip() + "\n...[truncated]"
-            left -= len(text)
-            out.append((*(getattr(r, k) for k in keys), len(out), r.path, text))
-        return pd.DataFrame(out, columns=[*keys, "place", "path", "excerpt"])
-
-    types = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {types[k]}" for k in keys) + ", place int, path string, excerpt string").drop(*([] if by else ["one"]))
+    key = F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(0).alias("one"))
+    content = F.coalesce(F.col("content"), F.lit(""))
+    # no file can use more than its own limit, so no more than that is sent
+    rows = items.select(key.alias("key"), rank.alias("rank"), F.col("path").alias("path"), F.substring(content, 1, file_chars + 1).alias("content"))
+    order = [F.col(c).asc_nulls_first() for c in ("rank", "path", "content")]
+    # a task's own first files, then those of all tasks
+    full = rows.where("content <> ''").withColumn("task", F.spark_partition_id())
+    full = full.withColumn("n", F.row_number().over(Window.partitionBy("key", "task").orderBy(*order))).where(F.col("n") <= total)
+    full = full.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("n") <= total)
+    cut = F.concat(F.regexp_replace(F.substring("content", 1, file_chars), SPACES_AT_END, ""), F.lit(MARK))
+    whole = F.when(F.length("content") <= file_chars, F.col("content")).otherwise(cut)
+    so_far = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    full = full.withColumn("whole", whole).withColumn("before", F.coalesce(F.sum(F.length("whole")).over(so_far), F.lit(0).cast("long")))
+    sure = full.where(F.col("before") + file_chars <= total).select("key", "rank", "path", "content", F.col("whole").alias("excerpt"))
+    # the files from the first that the rest of the budget may cut
+    rest = full.where(F.col("before") + file_chars > total).select("key", "n", "rank", "path", "content", "before")
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, rank int, path string, content string, excerpt string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, at = 0, None
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                if (here := repr(r["key"])) != at:
+                    at, left = here, total - r["before"]
+                if left > 0:
+                    limit = min(file_chars, left)
+                    text = r["content"] if len(r["content"]) <= limit else r["content"][:limit].rstrip() + MARK
+                    left -= len(text)
+                    out.append((r["key"], r["rank"], r["path"], r["content"], text))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((batch.schema.field("key").type, pa.int32(), pa.string(), pa.string(), pa.string()))], ["key", "rank", "path", "content", "excerpt"])
+
+    ends = rest.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, schema)
+    taken = sure.unionByName(ends)
+    # empty files that stand before the one with which the budget is gone
+    used = taken.groupBy("key").agg(F.sum(F.length("excerpt")).alias("used"), F.max(F.struct("rank", "path", "content")).alias("end"))
+    none = rows.where("content = ''").join(used, "key", "left").where(F.col("used").isNull() | (F.col("used") < total) | (F.struct("rank", "path", "content") < F.col("end")))
+    every = taken.unionByName(none.select("key", "rank", "path", "content", F.lit("").alias("excerpt")))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1
+    return every.withColumn("place", place).select(*(F.col("key")[c].alias(c) for c in by), "place", "path", "excerpt")
 
 
 def bullet_lines(rows: DataFrame, template: str, *columns: str, order: Sequence[Column | str] = (), top: int | None = None) -> DataFrame:
