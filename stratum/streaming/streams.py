@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from stratum.sources.keyed import KeyedTables
 
@@ -45,3 +50,38 @@ def sync_stream(stream: DataFrame, tables: KeyedTables, name: str, checkpoint: s
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+
+
+def running_turns(stream: DataFrame, by: str, order: str, text: str, most: int = 10, seconds: int = 30 * 24 * 3600) -> DataFrame:
+    """(by, turns): of each session that a batch touches, its last ``most`` turns as they are then, blank ones left out after the cut.
+
+    The same turns as ``serving.last_turns`` over all that came, however it was split into batches
+    and whatever order it came in; a turn that comes again is the same turn.  State holds ``most`` turns
+    of a session, as JSON (so columns are numbers, texts or booleans), and forgets a session that was
+    quiet for ``seconds``.  Turns with a null session are left out.  Spark looks for quiet sessions in
+    batches without data too, so a query that is to end (``availableNow``) needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off when it starts.
+    """
+    turn = StructType([f for f in stream.schema.fields if f.name != by])
+    names = turn.names
+    at, said = names.index(order), names.index(text)
+    rank = lambda t: (t[at] is not None, t[at] if t[at] is not None else 0, repr(t))
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        turns = {tuple(t) for t in json.loads(state.get[0])} if state.exists else set()
+        for part in parts:
+            new = part[names].astype(object).where(part[names].notna(), None)
+            turns |= {tuple(v.item() if hasattr(v, "item") else v for v in t) for t in new.itertuples(index=False, name=None)}
+            turns = set(sorted(turns, key=rank)[-most:])
+        last = sorted(turns, key=rank)
+        state.update((json.dumps(last),))
+        state.setTimeoutDuration(seconds * 1000)
+        shown = [dict(zip(names, t, strict=True)) for t in last if (t[said] or "").strip(" ")]
+        yield pd.DataFrame({"session": [key[0]], "turns": [shown]})
+
+    out = StructType([StructField("session", stream.schema[by].dataType), StructField("turns", ArrayType(turn))])
+    kept = stream.where(F.col(by).isNotNull()).groupBy(by).applyInPandasWithState(update, out, "turns string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.withColumnRenamed("session", by)
