@@ -242,14 +242,15 @@ def last_turns(turns: DataFrame, by: str, order: str, text: str, most: int = 10)
     return turns.withColumn("__rank", rank).where((F.col("__rank") <= most) & (F.trim(F.col(text)) != "")).drop("__rank").orderBy(by, order)
 
 
-def convention_checklist(one: DataFrame) -> DataFrame:
-    """(place, label, detail) rows of a conventions record, in fixed order."""
-    rows = F.array(
-        F.struct(F.lit("Test framework").alias("label"), F.col("test_framework.name").alias("detail")),
-        F.struct(F.lit("Test directories"), F.array_join("test_dirs", ", ")),
-        F.struct(F.lit("Linters"), F.array_join(F.transform("linters", lambda x: x["name"]), ", ")),
-        F.struct(F.lit("CI"), F.array_join(F.transform("ci_pipelines", lambda x: x["platform"]), ", ")),
-        F.struct(F.lit("Contribution docs"), F.array_join("contribution_docs", ", ")),
-        F.struct(F.lit("Package manager"), F.col("package_manager")),
-    )
-    return one.select(F.posexplode(rows).alias("place", "row")).select("place", "row.label", "row.detail").where("detail is not null and detail <> ''")
+def convention_checklist(records: DataFrame, *by: str) -> DataFrame:
+    """(by, place, label, detail) rows of each conventions record, in fixed order."""
+    found = {
+        "Test framework": F.col("test_framework.name"),
+        "Test directories": F.array_join("test_dirs", ", "),
+        "Linters": F.array_join(F.transform("linters", lambda x: x["name"]), ", "),
+        "CI": F.array_join(F.transform("ci_pipelines", lambda x: x["platform"]), ", "),
+        "Contribution docs": F.array_join("contribution_docs", ", "),
+        "Package manager": F.col("package_manager"),
+    }
+    rows = F.array(*(F.struct(F.lit(label).alias("label"), detail.alias("detail")) for label, detail in found.items()))
+    return records.select(*by, F.posexplode(rows).alias("place", "row")).select(*by, "place", "row.label", "row.detail").where("detail is not null and detail <> ''")

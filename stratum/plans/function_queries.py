@@ -203,13 +203,6 @@ def hotspot_lines(spark: SparkSession, d: str) -> DataFrame:
     return serving.bullet_lines(with_day(gold.hotspots(touches(spark, d), 200)), "%s: %s changes, last on %s", "path", "touch_count", "last_touched")
 
 
-@query("SELECT o_custkey, o_orderkey, o_totalprice, c_name FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) JOIN customer ON c_custkey = o_custkey WHERE r = 1 AND c_nationkey < 5")
-def user_documents(spark: SparkSession, d: str) -> DataFrame:
-    users = table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("repo_id"), "c_name")
-    documents = table(spark, d, "orders").select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("version"), "o_totalprice")
-    return tasks.user_documents(users, documents).select(F.col("repo_id").alias("o_custkey"), F.col("version").alias("o_orderkey"), "o_totalprice", "c_name")
-
-
 @query("SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN '{\"n\":' || n_nationkey || '}' ELSE '{}' END AS value FROM nation")
 def put_values(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nation")
@@ -281,26 +274,6 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", paths.chunk_id(F.col("source"), path, F.lit(0), F.octet_length("text"), F.col("text")).alias("chunk_id"))
 
 
-@query("SELECT p_partkey, '[' || (p_size / 4.0::DOUBLE) || ',' || -p_size || ']' AS vector FROM part WHERE p_size % 4 <> 0")
-def vector_literals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where("p_size % 4 <> 0").select("p_partkey", vectors.vector_literal(F.array(F.col("p_size") / 4.0, -F.col("p_size").cast("double"))).alias("vector"))
-
-
-@query(f"""WITH {DOC_NAMES}, u AS (SELECT DISTINCT path FROM names) SELECT 0 AS place, 'Test framework' AS label, 'pytest' AS detail UNION ALL SELECT 1, 'Test directories', 'tests' UNION ALL SELECT 2, 'Linters', 'eslint,ruff,black'
-UNION ALL SELECT 3, 'CI', 'github_actions' UNION ALL SELECT 5, 'Package manager', 'poetry'""")
-def conventions_report(spark: SparkSession, d: str) -> DataFrame:
-    files = doc_names(spark, d)
-    contents = spark.createDataFrame([("pyproject.toml", "[tool.pytest.ini_options]\n[tool.ruff]\n[tool.black]\n")], "path string, content string")
-    found = gold.conventions(files, contents, order="doc_id")
-    one = [(0, "Test framework", found["test_framework"], "name"), (1, "Test directories", found["test_dirs"], "test_dir"), (2, "Linters", found["linters"], "name"), (3, "CI", found["ci_pipelines"], "platform"), (4, "Contribution docs", found["contribution_docs"], "path"), (5, "Package manager", found["package_manager"], "value")]
-    out = None
-    for place, label, rows, column in one:
-        # linters come in order of their rules, the others are one value each
-        line = rows.agg(F.array_join(F.collect_list(column), ",").alias("detail")).select(F.lit(place).alias("place"), F.lit(label).alias("label"), "detail").where("detail <> ''")
-        out = line if out is None else out.unionByName(line)
-    return out
-
-
 SENT = """sent AS (SELECT o_orderkey, c_mktsegment AS tenant, sha256('pepper::' || lower(c_name)) AS mark, CAST(o_orderdate AS VARCHAR) AS head, sha256(c_mktsegment || ':' || sha256('pepper::' || lower(c_name)) || ':' || CAST(o_orderdate AS VARCHAR)) AS version_key, printf('%010d', o_orderkey) AS sent_at
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 

@@ -386,12 +386,6 @@ def batch_budget(spark: SparkSession, d: str) -> DataFrame:
     return chunking.batches_by_budget(rows, "size", 1_000_000, 16, "doc_id", "source")
 
 
-@query()
-def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
-    rows = doc_names(spark, d).select("source", F.concat("path", F.lit("#"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
-    return serving.prompt_sections(rows, by=["source"])
-
-
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def chat_history(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").orderBy("conv_id", "turn").select("conv_id", "turn", "role", "text")
@@ -523,13 +517,6 @@ def step_bonus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", corpus.step_bonus(text).alias("bonus"))
 
 
-@query("SELECT doc_id, task FROM (SELECT doc_id, 0 AS task FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, 2 FROM documents WHERE lang = 'fr')")
-def mixture(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    en, fr = docs.where("lang = 'en'"), docs.where("lang = 'fr'")
-    return corpus.mixture([en, fr, fr], "doc_id").select("doc_id", "task")
-
-
 @query("SELECT CAST((r - 5) // 7 AS INT) AS \"index\", doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r >= 5 AND r < 500 AND (r - 5) % 7 = 0")
 def slice_step(spark: SparkSession, d: str) -> DataFrame:
     return corpus.sliced(table(spark, d, "documents").select("doc_id"), "doc_id", 5, 500, 7)
@@ -659,7 +646,7 @@ def agent_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from stratum.plans import function_queries  # noqa: F401  registers its own
+    from stratum.plans import data_queries, function_queries  # noqa: F401  each registers its own
 
     return dict(QUERIES)
 

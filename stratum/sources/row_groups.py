@@ -91,7 +91,7 @@ class Shards:
                         return
                     left = None if left is None else left - 1
                     yield (*here, {"epoch": epoch, "file": name, "group": group + 1})
-            if not some and at == "":
+            if not some and (at, first) == ("", 0):
                 return  # an epoch without a row group for this reader
             epoch, at, first = epoch + 1, "", 0
 

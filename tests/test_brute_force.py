@@ -53,7 +53,7 @@ def test_windows(text, size, back, least):
 
 
 def test_prompt_budget(spark):
-    rows = registry.prompt_budget(spark, DATA).toPandas()
+    rows = registry.queries()["prompt_budget"](spark, DATA).toPandas()
     items = registry.doc_names(spark, DATA).select("source", F.concat("path", F.lit("#"), F.col("doc_id").cast("string")).alias("path"), "text").toPandas()
     rank = lambda p: next((k for k, x in enumerate(serving.PREFERRED) if pd.Series([p]).str.contains(x.replace("(?i)", ""), case=False, regex=True)[0]), 100)
     for source, own in items.groupby("source"):
