@@ -151,14 +151,19 @@ def file_figures(touches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def authorship(touches: DataFrame, files: DataFrame | None = None, top: int = TOP_AUTHORS, by: Sequence[str] = ()) -> DataFrame:
-    """(by, path, total_commits, distinct_authors, primary_contributors) of files that have commits."""
+    """(by, path, total_commits, distinct_authors, primary_contributors) of files that have commits.
+
+    ``files`` with an ``ord`` give their place in the list too, and rows in its order; the first place counts.
+    """
+    listed_files = None if files is None else files.groupBy(*by, "path").agg(*([F.min("ord").alias("ord")] if "ord" in files.columns else []), F.count("*").alias("__n")).drop("__n")
     if files is not None:
-        touches = touches.join(files.select(*by, "path").distinct(), [*by, "path"], "left_semi")
+        touches = touches.join(listed_files, [*by, "path"], "left_semi")
     people = author_counts(touches, by)
     order = Window.partitionBy(*by, "path").orderBy(F.desc("commit_count"), "first", "author")
     ranked = people.withColumn("rank", F.row_number().over(order))
     listed = F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", F.col("author").alias("name"), "commit_count")))
-    return ranked.groupBy(*by, "path").agg(F.sum("commit_count").alias("total_commits"), F.count("*").alias("distinct_authors"), F.transform(F.sort_array(listed), lambda x: F.struct(x["name"].alias("name"), x["commit_count"].alias("commit_count"))).alias("primary_contributors"))
+    out = ranked.groupBy(*by, "path").agg(F.sum("commit_count").alias("total_commits"), F.count("*").alias("distinct_authors"), F.transform(F.sort_array(listed), lambda x: F.struct(x["name"].alias("name"), x["commit_count"].alias("commit_count"))).alias("primary_contributors"))
+    return out if files is None or "ord" not in files.columns else out.join(listed_files, [*by, "path"]).orderBy(*by, "ord")
 
 
 def risk_levels(spots: DataFrame, pairs: DataFrame, owners: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -202,6 +202,47 @@ def context(sections: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "body"))), lambda x: x["body"]), "\n\n").alias("text"))
 
 
+#: Parts of a repository's context in order: their names, the lines above them, and what stands for one without lines.
+CONTEXT_PARTS = (
+    ("top_level", "Top-level directories by file count:", "- No top-level directory summary available"),
+    ("file_types", "Most common file types:", "- No file type summary available"),
+    ("start_here", "Suggested starting points:", "- No obvious entry files detected"),
+    ("hotspots", "Hotspots:", "- No hotspot summary provided"),
+    ("risk", "Risk areas:", "- No risk summary provided"),
+    ("co_changes", "Frequently co-changed files:", "- No co-change summary provided"),
+    ("contributors", "Most active contributors:", "- No contributor summary provided"),
+    ("authorship", "Ownership examples:", "- No authorship summary provided"),
+    ("conventions", "Detected conventions:", "- No strong conventions detected from provided files"),
+)  # Fixed values: these lines.
+
+
+def chosen_lines(known: DataFrame, computed: DataFrame, by: str) -> DataFrame:
+    """(by, part, place, line): of each part of a repository the lines of its snapshot, or the computed ones where the snapshot has none."""
+    both = known.select(by, "part", "place", "line", F.lit(0).alias("from")).unionByName(computed.select(by, "part", "place", "line", F.lit(1).alias("from")))
+    first = F.min("from").over(Window.partitionBy(by, "part"))
+    return both.withColumn("first", first).where(F.col("from") == F.col("first")).select(by, "part", "place", "line")
+
+
+def contexts(repos: DataFrame, lines: DataFrame, by: str) -> DataFrame:
+    """(by, context) of repositories (by, head, tail): the head, every part with its lines or what stands for none, and the tail.
+
+    Null heads and tails are left out; a repository without any lines has all parts all the same.
+    """
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")  # a part has a dozen lines at most
+    parts = lines.groupBy(by, "part").agg(shown.alias("body")).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("part", "body"))).alias("bodies"))
+    rows = repos.select(by, "head", "tail").join(parts, by, "left")
+    body = lambda name, none: F.coalesce(F.element_at("bodies", F.lit(name)), F.lit(none))
+    text = F.concat_ws("\n\n", "head", *(F.concat(F.lit(title + "\n"), body(name, none)) for name, title, none in CONTEXT_PARTS), "tail")
+    return rows.select(by, F.trim(text).alias("context"))
+
+
+def asked_prompt(before: str, after: str, user: Column, context: Column) -> Column:
+    """``before``, the user's request in a part of its own where there is one, ``after`` and the context."""
+    said = F.regexp_replace(F.regexp_replace(F.coalesce(user, F.lit("")), SPACES_AT_END, ""), "^" + SPACES_AT_END[:-1], "")
+    part = F.when(said != "", F.concat(F.lit("\n\nAdditional user request:\n"), said, F.lit("\n"))).otherwise("")
+    return F.concat(F.lit(before), part, F.lit(after), context)
+
+
 def grep(files: DataFrame, needle: str, most: int = 50, regex: bool = False, by: str = "path") -> DataFrame:
     """(path, line, text): matching lines, case aside, in path and line order, ``most`` at most."""
     lines = files.where(F.lower("content").contains(needle.lower())) if not regex else files

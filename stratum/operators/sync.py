@@ -187,6 +187,12 @@ def replace_keyed(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFra
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
 
 
+def delete_keyed(old: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Entries of ``old`` without a key of ``gone``; a null key is a key like others."""
+    keys = gone.select(*(F.col(k).alias(f"__{k}") for k in key)).distinct()
+    return old.join(keys, functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key)), "left_anti")
+
+
 def latest(rows: DataFrame, by: Sequence[str], version: str) -> DataFrame:
     """The row with the highest version of each key."""
     order = Window.partitionBy(*by).orderBy(F.desc(version))

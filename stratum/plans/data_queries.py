@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratum.operators import chunking, corpus, gold, imports, serving, sync, tasks
-from stratum.plans.registry import doc_names, query, table
+from stratum.plans.registry import doc_names, query, table, touches
 from stratum.sources import row_groups
 
 
@@ -174,3 +174,51 @@ def conventions_report(spark: SparkSession, d: str) -> DataFrame:
         line = rows.agg(F.array_join(F.collect_list(column), ",").alias("detail")).select(F.lit(place).alias("place"), F.lit(label).alias("label"), "detail").where("detail <> ''")
         out = line if out is None else out.unionByName(line)
     return out
+
+
+@query("""WITH t AS (SELECT o_orderkey AS sha, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT 'part/' || l_partkey AS path, (l_partkey * 7919) % 1000003 AS ord, COUNT(*) AS total_commits, COUNT(DISTINCT o_custkey) AS distinct_authors FROM t WHERE l_partkey % 10 <> 3 GROUP BY l_partkey""")
+def authorship_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Ownership of the files of a list that leaves some out, with their places in it."""
+    listed = table(spark, d, "part").where("p_partkey % 10 <> 3").select(F.concat(F.lit("part/"), "p_partkey").alias("path"), (F.col("p_partkey") * 7919 % 1_000_003).alias("ord"))
+    return gold.authorship(touches(spark, d), listed).select("path", "ord", "total_commits", "distinct_authors")
+
+
+@query("""WITH c AS (SELECT source, lang, COUNT(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL),
+f AS (SELECT source, string_agg('- ' || lang || ': ' || n || ' files', chr(10) ORDER BY n DESC, lang) AS computed, CASE WHEN source LIKE '%1%' THEN '- known ' || source END AS known, SUM(n) AS files FROM c GROUP BY source)
+SELECT source, sha256('Guide.' || CASE WHEN files % 2 = 0 THEN chr(10) || chr(10) || 'Additional user request:' || chr(10) || 'about ' || source || chr(10) ELSE '' END || ' Context: ' || 'Total files discovered: ' || files || chr(10) || chr(10)
+  || 'Top-level directories by file count:' || chr(10) || '- No top-level directory summary available' || chr(10) || chr(10) || 'Most common file types:' || chr(10) || coalesce(known, computed) || chr(10) || chr(10)
+  || 'Suggested starting points:' || chr(10) || '- No obvious entry files detected' || chr(10) || chr(10) || 'Hotspots:' || chr(10) || CASE WHEN source LIKE '%1%' THEN '- hot ' || source ELSE '- No hotspot summary provided' END || chr(10) || chr(10)
+  || 'Risk areas:' || chr(10) || '- No risk summary provided' || chr(10) || chr(10) || 'Frequently co-changed files:' || chr(10) || '- No co-change summary provided' || chr(10) || chr(10) || 'Most active contributors:' || chr(10) || '- No contributor summary provided' || chr(10) || chr(10)
+  || 'Ownership examples:' || chr(10) || '- No authorship summary provided' || chr(10) || chr(10) || 'Detected conventions:' || chr(10) || '- No strong conventions detected from provided files') AS prompt FROM f""")
+def guide_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of all sources: lines of a snapshot where there is one, computed lines else, and a request of some."""
+    from pyspark.sql import Window
+
+    counts = table(spark, d, "documents").where("source is not null and lang is not null").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang"))
+    computed = counts.select("source", F.lit("file_types").alias("part"), place.alias("place"), F.format_string("- %s: %s files", "lang", "n").alias("line"))
+    some = counts.select("source").distinct().where("source like '%1%'")
+    known = some.select("source", F.explode(F.array(F.struct(F.lit("file_types").alias("part"), F.concat(F.lit("- known "), "source").alias("line")), F.struct(F.lit("hotspots").alias("part"), F.concat(F.lit("- hot "), "source").alias("line")))).alias("x")).select("source", "x.part", F.lit(1).alias("place"), "x.line")
+    repos = counts.groupBy("source").agg(F.sum("n").alias("files")).select("source", "files", F.format_string("Total files discovered: %s", "files").alias("head"), F.lit(None).cast("string").alias("tail"))
+    texts = serving.contexts(repos, serving.chosen_lines(known, computed, "source"), "source").join(repos.select("source", "files"), "source")
+    user = F.when(F.col("files") % 2 == 0, F.concat(F.lit("  about "), "source", F.lit(" \n"))).otherwise(" ")
+    return texts.select("source", F.sha2(serving.asked_prompt("Guide.", " Context: ", user, F.col("context")), 256).alias("prompt"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, k, octet_length(encode(line)) + 1 AS size FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text <> '')),
+b AS (SELECT doc_id, coalesce(list(e - 1 ORDER BY e) FILTER (WHERE k < n), []) AS nl, max(e) - 1 AS total FROM (SELECT doc_id, k, COUNT(*) OVER (PARTITION BY doc_id) AS n, SUM(size) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM l) GROUP BY doc_id),
+c AS (SELECT doc_id, nl, total, 0::HUGEINT AS s, CASE WHEN 1200 >= total THEN total ELSE coalesce(list_max(list_filter(nl, lambda x: x < 1200 AND x >= 300)) + 1, 1200) END AS e FROM b
+UNION ALL SELECT doc_id, nl, total, s, CASE WHEN s + 1200 >= total THEN total ELSE coalesce(list_max(list_filter(nl, lambda x: x < s + 1200 AND x >= s + 300)) + 1, s + 1200) END FROM (SELECT doc_id, nl, total, greatest(e - 120, s + 1) AS s FROM c WHERE e < total))
+SELECT doc_id, CAST(s AS INT) AS start_byte, CAST(e AS INT) AS end_byte, CAST(len(list_filter(nl, lambda x: x < s)) + 1 AS INT) AS start_line, CAST(len(list_filter(nl, lambda x: x < greatest(s, e - 1))) + 1 AS INT) AS end_line FROM c""")
+def chunk_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the chunks of all texts begin and end, in bytes and lines."""
+    files = table(spark, d, "documents").select(F.lit("r").alias("repo_slug"), F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return chunking.chunk_files(files).select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("doc_id"), "start_byte", "end_byte", "start_line", "end_line")
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE length(text) > 800)")
+def kept_chats(spark: SparkSession, d: str) -> DataFrame:
+    """Chats after those with a long message are deleted whole."""
+    rows = table(spark, d, "conversations")
+    return sync.delete_keyed(rows, rows.where(F.length("text") > 800), ["conv_id"]).select("conv_id", "turn", "role")

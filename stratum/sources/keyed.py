@@ -8,7 +8,9 @@ a run that is cut off leaves the tables as they were, and one that is repeated f
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -22,8 +24,10 @@ from stratum.sources.text import _at, exists, read_object
 class KeyedTables:
     """Tables (name: key columns) under one manifest; the number of buckets is kept from the first merge on."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys: Mapping[str, Sequence[str]], buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, folder: str, keys: Mapping[str, Sequence[str]], buckets: int = 64, bucket_on: Mapping[str, Sequence[str]] | None = None) -> None:
+        """``bucket_on``: of some tables, the key columns that buckets hang on, by which rows can be deleted together; all, if not given."""
         self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), {n: list(k) for n, k in keys.items()}, buckets
+        self.on = self.keys | {n: list(k) for n, k in (bucket_on or {}).items()}
 
     def manifest(self) -> dict:
         """What counts now."""
@@ -49,7 +53,7 @@ class KeyedTables:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _bucket(self, name: str, buckets: int) -> Column:
-        return F.pmod(F.hash(*self.keys[name]), F.lit(buckets))
+        return F.pmod(F.hash(*self.on[name]), F.lit(buckets))
 
     def _commit(self, changes: Mapping[str, tuple[DataFrame, Callable[[DataFrame | None], DataFrame]]], batch: tuple[str, int] | None) -> bool:
         """Rewrite, of each table, the buckets in which the given keys fall, as the function makes them of the old ones."""
@@ -61,7 +65,7 @@ class KeyedTables:
             buckets = known["buckets"]
             if name in known["schemas"]:
                 was = StructType.fromJson(known["schemas"][name])
-                if any(was[k].dataType != rows.schema[k].dataType for k in self.keys[name]):  # buckets hang on the keys' types
+                if any(was[k].dataType != rows.schema[k].dataType for k in self.on[name]):  # buckets hang on the keys' types
                     raise ValueError(f"the keys of {name} had other types")
             touched = sorted(r[0] for r in rows.select(self._bucket(name, buckets)).distinct().collect())  # as many numbers as there are buckets at most
             if not touched:
@@ -108,11 +112,24 @@ class KeyedTables:
 
         return self._commit({name: one(name, rows) for name, rows in changes.items()}, batch)
 
-    def delete(self, name: str, keys: DataFrame, batch: tuple[str, int] | None = None) -> bool:
-        """Take out the rows of the given keys; a table that isn't there stays so."""
-        if name not in self.manifest()["schemas"]:
-            return False
-        return self._commit({name: (keys, lambda old: old.join(keys.select(*self.keys[name]).distinct(), self.keys[name], "left_anti").select(old.columns))}, batch)
+    def delete(self, name: str, keys: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Take out the rows of the given keys, or of the given part of a key that buckets hang on; how many went."""
+        known = self.manifest()
+        if name not in known["schemas"]:
+            return 0
+        by = [c for c in self.keys[name] if c in keys.columns]
+        if not set(self.on[name]) <= set(by):
+            raise ValueError(f"rows of {name} are found by {', '.join(self.on[name])}")
+        keys = keys.select(*by).distinct()
+        gone = 0
+
+        def rest(old: DataFrame) -> DataFrame:
+            nonlocal gone
+            same = functools.reduce(operator.and_, (F.col(f"o.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by))
+            gone = old.alias("o").join(keys.alias("k"), same, "left_semi").count()
+            return old.alias("o").join(keys.alias("k"), same, "left_anti")
+
+        return gone if self._commit({name: (keys, rest)}, batch) else 0
 
     def vacuum(self, keep: int = 2) -> int:
         """Drop all but the last ``keep`` manifests, and the folders that none of these names; how many folders went."""

@@ -69,16 +69,31 @@ def test_two_runs_at_once_dont_mix(spark, tables, monkeypatch):
 
 
 def test_delete_and_empty_changes(spark, tables):
-    assert tables.delete("t", rows(spark, (7, "a", 0, 0, ""), (99, "a", 0, 0, "")))
-    assert len(content(tables)) == 39
-    assert tables.merge({"t": rows(spark)}) and len(content(tables)) == 39 and not tables.delete("none", rows(spark))
+    assert tables.delete("t", rows(spark, (7, "a", 0, 0, ""), (99, "a", 0, 0, ""), (8, None, 0, 0, ""))) == 2
+    assert len(content(tables)) == 38
+    assert tables.merge({"t": rows(spark)}) and len(content(tables)) == 38 and not tables.delete("none", rows(spark))
     every = tables.read("t").where("part = 'a'")
-    tables.delete("t", every)
+    assert tables.delete("t", every) == 19
     assert {r[1] for r in content(tables)} == {None}
     with pytest.raises(ValueError, match="other types"):
         tables.merge({"t": rows(spark, (1, "a", 1, 1, "")).withColumn("k", F.col("k").cast("int"))})
 
 
+def test_a_chat_is_deleted_whole(spark, tmp_path):
+    """All rows of a part of the key, which buckets hang on."""
+    chats = keyed.KeyedTables(spark, str(tmp_path / "c"), {"chats": ["access_key", "repo_slug", "id"]}, 4, {"chats": ["access_key", "repo_slug"]})
+    said = spark.range(30).selectExpr("'k' || (id % 3) as access_key", "'r' || (id % 2) as repo_slug", "id", "'m' as message")
+    chats.merge({"chats": said})
+    before = chats.manifest()["paths"]["chats"]
+    one = spark.createDataFrame([("k1", "r0")], "access_key string, repo_slug string")
+    assert chats.delete("chats", one) == 5 and chats.delete("chats", one) == 0
+    after = chats.manifest()["paths"]["chats"]
+    assert sum(before.get(b) != after.get(b) for b in before) == 1
+    assert sorted(r["id"] for r in chats.read("chats").collect()) == [i for i in range(30) if not (i % 3 == 1 and i % 2 == 0)]
+    with pytest.raises(ValueError, match="found by"):
+        chats.delete("chats", one.select("access_key"))
+
+
 def test_synchronised_state(spark, tmp_path):
     """The same rows as the tables held as frames, whatever is sent again."""
     repos = spark.range(6).selectExpr("'https://h/r' || (id % 3) as repo_url", "'r' as repo_slug", "'c' || (id div 3) as head_commit", "'t' || id as synced_at", "array(struct('p' || id as path, cast(id as int) as touch_count, '2026' as last_touched)) as hotspots", "array('f' || id) as files")
