@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, Slice, parts, ship, small, write_bytes
+from .common import BROADCAST_ROWS, Scratch, Slice, parts, ship, write_bytes
 
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -109,7 +109,13 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     groups = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
     groups = scratch.write(groups, "groups")
-    rows = rows.join(small(groups, groups.count()), "digest", "left")
+    found = groups.count()
+    if found <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        # rows that can't match, short and null ones with few digests among them, stay where they are
+        short = F.octet_length("payload") < least
+        rows = rows.where(~short).join(groups, "digest", "left").unionByName(rows.where(short).withColumn("first", F.lit(None).cast("long")))
     rows = rows.select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

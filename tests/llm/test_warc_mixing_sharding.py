@@ -31,6 +31,19 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.read_warc(warc.write_warc(pages.limit(0), scratch.path("none"))).collect() == []
 
 
+def test_more_digests_than_may_be_broadcast(spark, monkeypatch):
+    """Null and short pages, most of all, don't meet in the join by digest."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(k, None if k % 2 else "") for k in range(300)] + [(1000 + k, f"page {k % 4} " * 30) for k in range(20)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    scratch = Scratch(spark, "test")
+    made = warc.write_warc(pages, scratch.path("b"))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_warc(scratch.write(made, "index")).collect()}
+    assert got == {i: ("revisit", 1000 + (i - 1000) % 4) if i >= 1004 else ("response", None) for i, _ in rows}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and plan.count("octet_length") >= 2
+
+
 def test_targets_share_by_weight_and_stop_at_the_cap(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 890), (None, 0)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
