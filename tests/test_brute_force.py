@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratum.operators import chunking, corpus, metrics, serving, sync
 from stratum.plans import registry
+from stratum.sources import keyed
 from stratum.streaming import streams
 
 DATA = "/root/testdata/sf0.001"
@@ -170,14 +171,10 @@ def test_payloads_applied_twice_change_nothing(spark):
 def test_a_streamed_batch_keeps_whole_rows(spark, tmp_path):
     schema = "k int, a string, b string, first_seen string, last_seen string"
     spark.createDataFrame([(1, "z", "old", "2", "3"), (1, "a", "new", "4", "5"), (2, "q", "r", "1", "1")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    held = {}
+    tables = keyed.KeyedTables(spark, str(tmp_path / "out"), {"t": ["k"]}, 2)
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-
-    def write(df):
-        held["rows"] = df.collect()
-
-    streams.sync_stream(stream, lambda: None, write, ["k"], str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, held["rows"])) == [(1, "a", "new", "2", "5"), (2, "q", "r", "1", "1")]
+    streams.sync_stream(stream, tables, "t", str(tmp_path / "cp")).awaitTermination()
+    assert sorted(map(tuple, tables.read("t").collect())) == [(1, "a", "new", "2", "5"), (2, "q", "r", "1", "1")]
 
 
 def test_fits_leave_out_rows_with_nulls(spark):

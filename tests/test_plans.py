@@ -47,7 +47,7 @@ def test_scans_read_only_what_is_used(spark):
 
 
 PYTHON_NODE = re.compile(r"EvalPython|InPandas|InArrow")
-PYTHON = {"chunk_naive", "chunk_stats", "batch_budget", "prompt_budget", "shard_assign", "pack_bestfit_crop", "pack_bestfit_pad", "ridge_fit", "step_bonus", "import_edges", "imports_map", "answer_parts", "chain_parts", "tokenizer_round_trip", "tool_calls"}
+PYTHON = {"chunk_naive", "chunk_stats", "batch_budget", "prompt_budget", "shard_assign", "pack_bestfit_crop", "pack_bestfit_pad", "ridge_fit", "step_bonus", "import_edges", "imports_map", "answer_parts", "chain_parts", "tokenizer_round_trip", "tool_calls", "code_chunks", "code_imports", "chunk_spans"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
