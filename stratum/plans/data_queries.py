@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratum.operators import chunking, corpus, gold, imports, serving, sync, tasks
+from stratum.operators import chunking, corpus, gold, imports, metrics, serving, sync, tasks
 from stratum.plans.registry import doc_names, query, table, touches
 from stratum.sources import row_groups
 
@@ -222,3 +222,23 @@ def kept_chats(spark: SparkSession, d: str) -> DataFrame:
     """Chats after those with a long message are deleted whole."""
     rows = table(spark, d, "conversations")
     return sync.delete_keyed(rows, rows.where(F.length("text") > 800), ["conv_id"]).select("conv_id", "turn", "role")
+
+
+@query("""WITH c AS (SELECT lang, COUNT(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+m AS (SELECT source, AVG(n_chars::DOUBLE) FILTER (WHERE lang = 'en') AS en, AVG(n_chars::DOUBLE) FILTER (WHERE lang = 'fr' AND doc_id % 2 = 0) AS fr FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT '## Languages' AS line UNION ALL SELECT '- ' || lang || ': ' || n FROM c UNION ALL SELECT '## Summary' UNION ALL SELECT '| Metric | en | fr |' UNION ALL SELECT '|---|---|---|'
+UNION ALL SELECT '| ' || source || ' | ' || coalesce(printf('%.4f', en), '-') || ' | ' || coalesce(printf('%.4f', fr), '-') || ' |' FROM m""")
+def corpus_report(spark: SparkSession, d: str) -> DataFrame:
+    """A report of languages, and of mean lengths by source with a column for each of two languages."""
+    docs = table(spark, d, "documents")
+    facts = docs.where("lang is not null").groupBy(F.col("lang").alias("key")).agg(F.count("*").alias("value")).orderBy("key")
+    mean = lambda c: F.avg(F.when(c, F.col("n_chars").cast("double")))
+    summary = docs.where("source is not null").groupBy("source").agg(mean(F.col("lang") == "en").alias("en"), mean((F.col("lang") == "fr") & (F.col("doc_id") % 2 == 0)).alias("fr"))
+    return metrics.report([("Languages", facts)], summary, "source", ["en", "fr"])
+
+
+@query("SELECT doc_id, source FROM documents WHERE source = (SELECT DISTINCT source FROM documents WHERE contains(lower(source), 'rc17'))")
+def labelled_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the one source that a part of its name tells."""
+    rows = table(spark, d, "documents").where("source is not null").select("doc_id", "source")
+    return rows.where(F.col("source") == metrics.resolve_label(rows, "RC17", "source"))
